@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .common import read_table
+from .embeddings import near_vectors
+from .mixing import mix
 from .quality import quality_rules
+from .simhash import near_duplicates
 
 #: Folder of the public tokenisers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -21,11 +24,27 @@ BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash classes of all documents."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document with the byte-level vocabulary."""
     return encode_documents(read_table(spark, sf_dir, "documents"), BYTE_BPE, keep=["doc_id"], keep_ids=False)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words a mix of all documents takes of each."""
+    mixed = mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structural counts and fertility verdict of every document."""
     out = quality_rules(read_table(spark, sf_dir, "documents"), PIECES, keep=["doc_id"])
@@ -33,7 +52,31 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embeddings": op1_embeddings,
+    "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
+    "op5_mixing": op5_mixing,
     "op9_quality_rules": op9_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+#: Brute force over all pairs of vectors with the same label.
+OP1_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x for x in embedding if x <> 0]) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(l.b, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(l.b, vec_id)) AS kept
+FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_embeddings": OP1_SQL}

@@ -11,8 +11,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import warc
 from .bpe import encode_documents
-from .common import read_table
+from .common import new_path, read_table
 from .embeddings import near_vectors
 from .mixing import mix
 from .quality import quality_rules
@@ -51,12 +52,21 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("chars_per_token", 6).alias("chars_per_token"), F.round("byte_share", 6).alias("byte_share"), F.round("token_entropy", 6).alias("token_entropy"), "band")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written into the shared folder and read back."""
+    path = new_path(spark, "archives")
+    warc.write(read_table(spark, sf_dir, "pages"), path)
+    found = warc.read(spark, path, payloads=False).where("gap IS NULL")
+    return found.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
     "op5_mixing": op5_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_warc": op10_warc,
 }
 
 #: Brute force over all pairs of vectors with the same label.

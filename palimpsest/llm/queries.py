@@ -18,6 +18,7 @@ from .embeddings import near_vectors
 from .mixing import mix
 from .quality import quality_rules
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 
 #: Folder of the public tokenisers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -46,6 +47,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without repeated strings of 200 bytes."""
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structural counts and fertility verdict of every document."""
     out = quality_rules(read_table(spark, sf_dir, "documents"), PIECES, keep=["doc_id"])
@@ -65,6 +71,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
     "op5_mixing": op5_mixing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
 }

@@ -15,6 +15,7 @@ from . import warc
 from .bpe import encode_documents
 from .common import new_path, read_table
 from .embeddings import near_vectors
+from .langid import cross_identify
 from .mixing import mix
 from .quality import quality_rules
 from .simhash import near_duplicates
@@ -41,6 +42,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), BYTE_BPE, keep=["doc_id"], keep_ids=False)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from two thirds of them."""
+    return cross_identify(read_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words a mix of all documents takes of each."""
     mixed = mix(read_table(spark, sf_dir, "documents"))
@@ -70,6 +76,7 @@ QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
+    "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,

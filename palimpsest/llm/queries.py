@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from . import warc
 from .bpe import encode_documents
+from .chat import format_preferences, swapped_pairs, turns_of
 from .common import new_path, read_table
 from .embeddings import near_vectors
 from .langid import cross_identify
+from .lm import cross_entropy_difference
 from .mixing import mix
 from .quality import quality_rules
 from .simhash import near_duplicates
@@ -58,6 +60,20 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of all documents; the target are those labelled good and not toxic."""
+    target = read_table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return cross_entropy_difference(read_table(spark, sf_dir, "documents"), target)
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and completions of all conversations, each paired with a swapped last answer."""
+    pairs = swapped_pairs(turns_of(read_table(spark, sf_dir, "conversations")))
+    done = format_preferences(pairs, ["conv_id", "rejected_from"])
+    trained = [F.aggregate(f"{c}_trained", F.lit(0), lambda n, s: n + s["stop"] - s["start"]).cast("long").alias(f"{c}_trained_chars") for c in ("chosen", "rejected")]
+    return done.select("conv_id", "rejected_from", F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"), *[F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen_completion", "rejected_completion")], *trained)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structural counts and fertility verdict of every document."""
     out = quality_rules(read_table(spark, sf_dir, "documents"), PIECES, keep=["doc_id"])
@@ -79,6 +95,8 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_lm_scoring": op7_lm_scoring,
+    "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
 }
@@ -103,4 +121,40 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce
 FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_embeddings": OP1_SQL}
+#: The last answers are swapped along the ids of a block of 64; the common prefix is all turns before.
+OP8_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role,
+    regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<\1>', 'g') AS text, coalesce(text, '') AS raw,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations
+), c AS (
+  SELECT conv_id, count(*) AS n, max(CASE WHEN role = 'assistant' THEN k END) AS a FROM t GROUP BY conv_id
+), own AS (
+  SELECT c.conv_id, n, a, t.text, t.raw FROM c LEFT JOIN t ON t.conv_id = c.conv_id AND t.k = c.a
+), nxt AS (
+  SELECT *, CASE WHEN a IS NOT NULL THEN coalesce(lead(conv_id) OVER w, first(conv_id) OVER b) END AS other
+  FROM own WINDOW w AS (PARTITION BY conv_id // 64, a IS NOT NULL ORDER BY conv_id),
+    b AS (PARTITION BY conv_id // 64, a IS NOT NULL ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), p AS (
+  SELECT x.conv_id, x.other, x.n, x.a, y.text AS other_text,
+    CASE WHEN x.a IS NULL THEN x.n WHEN x.raw = y.raw THEN x.a ELSE x.a - 1 END AS np
+  FROM nxt x LEFT JOIN own y ON y.conv_id = x.other
+), r AS (
+  SELECT t.conv_id, k, role, text, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS turn FROM t
+), s AS (
+  SELECT p.conv_id,
+    coalesce(string_agg(turn, '' ORDER BY k) FILTER (k <= np), '') AS prompt,
+    coalesce(string_agg(turn, '' ORDER BY k) FILTER (k > np), '') AS chosen,
+    coalesce(sum(length(text) + 10) FILTER (k > np AND role = 'assistant'), 0) AS chosen_chars
+  FROM p JOIN r ON r.conv_id = p.conv_id GROUP BY p.conv_id
+)
+SELECT p.conv_id, p.other AS rejected_from, CAST(np AS BIGINT) AS n_prompt_turns, sha256(prompt) AS prompt_sha256,
+  sha256(chosen) AS chosen_completion_sha256,
+  sha256(CASE WHEN np = a - 1 THEN '<|im_start|>assistant' || chr(10) || other_text || '<|im_end|>' || chr(10) ELSE '' END) AS rejected_completion_sha256,
+  CAST(chosen_chars AS BIGINT) AS chosen_trained_chars,
+  CAST(CASE WHEN np = a - 1 THEN length(other_text) + 10 ELSE 0 END AS BIGINT) AS rejected_trained_chars
+FROM p JOIN s USING (conv_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_embeddings": OP1_SQL, "op8_chat_format": OP8_SQL}

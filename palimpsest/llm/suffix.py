@@ -24,7 +24,7 @@ import numpy as np
 #: Common prefixes are counted up to so many symbols; no value beyond it is told apart.
 CAP = 250
 #: Strings of names up to this length are sorted in memory.
-BASE = 2_000_000
+BASE = 4_000_000
 #: Tuples handled at once.
 BATCH = 1 << 20
 
@@ -171,6 +171,8 @@ class _Least:
         chosen = np.flatnonzero(targets >= 0)
         order = chosen[np.argsort(targets[chosen], kind="stable")]
         to = targets[order]
+        if not self.cap:  # only the order is asked for
+            return order, to, np.zeros(len(order), np.uint8)
         first = np.ones(len(order), bool)
         first[1:] = to[1:] != to[:-1]
         last = np.append(first[1:], True) if len(order) else first

@@ -106,7 +106,8 @@ def train(df: DataFrame, target: DataFrame, doc_id: str, text: str, words: int =
     known = vocabulary(df, text, words)
     kinds = len(known) + 2
     sent = df.sparkSession.sparkContext.broadcast(known)
-    ids = target.select(F.col(target.columns[0]).alias("__of")).where("__of is not null").distinct().withColumn("__is", F.lit(True))
+    # joined by a shuffle at every size: the ids have no bound that would allow a broadcast
+    ids = target.select(F.col(target.columns[0]).alias("__of")).where("__of is not null").distinct().withColumn("__is", F.lit(True)).hint("merge")
     marked = df.select(F.col(f"`{doc_id}`").alias("__id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text")).join(ids, F.col("__id") == F.col("__of"), "left")
     counts = materialise(_counts(marked.select(F.coalesce("__is", F.lit(False)).alias("target"), F.col("__text").alias("text")), sent, kinds, slots), "counts")
     sums = np.zeros((2, slots + 2 * kinds), np.int64)

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size
+from .common import by_size, worker_cache
 
 #: Entries kept by each memo of a worker; the memo is emptied when it is full, which costs time only.
 MEMO = 300_000
@@ -391,14 +391,9 @@ class PrefixBpe:
             return self.decode([t for t in ids if t in of])
 
 
-_loaded: dict[str, PrefixBpe] = {}
-
-
 def loaded(file: str) -> PrefixBpe:
     """The encoder of a file, once per worker process."""
-    if file not in _loaded:
-        _loaded[file] = PrefixBpe(file)
-    return _loaded[file]
+    return worker_cache(("bpe", file), lambda: PrefixBpe(file))
 
 
 def encode_documents(df: DataFrame, file: str, text: str = "text", keep_ids: bool = True, keep_text: bool = False, keep: list[str] | None = None) -> DataFrame:

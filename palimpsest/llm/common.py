@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import ctypes.util
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -86,6 +89,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+_slot: list = []
+
+
+def worker_cache(key: object, make: Callable[[], object]):
+    """What ``make`` gives, kept in this worker until another key is asked for.
+
+    Workers outlive stages; one slot for all operators keeps an earlier stage's tables out of a later
+    one's memory.
+    """
+    if not _slot or _slot[0] != key:
+        _slot.clear()
+        gc.collect()
+        libc = ctypes.CDLL(ctypes.util.find_library("c"))
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)  # hand freed memory back
+        _slot.extend([key, make()])
+    return _slot[1]
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``df`` with every Arrow batch replaced by ``fn`` of it (None: no rows)."""
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size
+from .common import by_size, worker_cache
 
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -136,13 +136,9 @@ class Fertility:
         return word_chars / len(tokens), bytes_used / len(tokens), float(-(share * np.log2(share)).sum())
 
 
-_loaded: dict[str, Fertility] = {}
-
-
 def loaded(file: str) -> Fertility:
-    if file not in _loaded:
-        _loaded[file] = Fertility(file)
-    return _loaded[file]
+    """The vocabulary of a file, once per worker process."""
+    return worker_cache(("fertility", file), lambda: Fertility(file))
 
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, by_size, materialise
+from .common import arrow_map, by_size, materialise, worker_cache
 from .suffix import repeated_starts
 
 #: Bytes of the strings that anchors are hashes of.
@@ -70,13 +70,9 @@ class Hasher:
         return x ^ (x >> np.uint64(29))
 
 
-_hashers: list[Hasher] = []
-
-
 def hashers() -> list[Hasher]:
-    if not _hashers:
-        _hashers.extend(Hasher(seed, 2 * BLOCK) for seed in (11, 12))
-    return _hashers
+    """Two independent hashers, once per worker process."""
+    return worker_cache("hashers", lambda: [Hasher(seed, 2 * BLOCK) for seed in (11, 12)])
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -175,6 +171,7 @@ def _shards(found: DataFrame, window: int, limit: int) -> DataFrame:
             symbols[at : at + len(data)] += 1
             starts.append(at)
             at += len(data) + 1
+        worker_cache("shard", int)  # make room
         repeated = repeated_starts(symbols, window, limit)
         out: list[tuple[int, int, int, int]] = []
         for (anchor, content, data), start in zip(rows, starts, strict=True):

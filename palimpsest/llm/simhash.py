@@ -36,16 +36,18 @@ def covering_masks(bits: list[int], radius: int) -> list[int]:
     return [sum(1 << bit for bit in bits if (of[bit] & v).bit_count() & 1) for v in range(1, vectors + 1)]
 
 
-def nested_masks(radius: int, levels: int) -> list[dict[int, list[int]]]:
-    """By level: for each mask of the level before (0 at first), the masks that split its buckets."""
-    every = (1 << BITS) - 1
+def nested_masks(radius: int) -> list[dict[int, list[int]]]:
+    """By level: for each mask of the level before (0 at first), the masks that split its buckets.
+
+    Masks that leave fewer than 2^(radius+1) - 1 bits free are not split: such a set of bits might leave
+    a new mask empty. Their buckets hold at most 2^free fingerprints anyway, which ends the recursion.
+    """
+    least = (1 << (radius + 1)) - 1
     out, held = [], [0]
-    for _ in range(levels):
-        split = {m: sorted({m | more for more in covering_masks([b for b in range(BITS) if not m >> b & 1], radius)} - {m}) or [every] for m in held}
-        out.append(split)
-        held = sorted({m for ms in split.values() for m in ms} - {every})
-        if not held:
-            break
+    while held:
+        free = {m: [b for b in range(BITS) if not m >> b & 1] for m in held}
+        out.append({m: sorted({m | more for more in covering_masks(free[m], radius)}) for m in held})
+        held = sorted({m for ms in out[-1].values() for m in ms if BITS - m.bit_count() >= least})
     return out
 
 
@@ -87,7 +89,7 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = 64) -> DataFrame:
 
     Buckets of up to ``bucket`` fingerprints are joined with themselves, larger ones split further.
     """
-    tables = nested_masks(radius, 8)
+    tables = nested_masks(radius)
     at = fps.select("fp", F.lit(0).cast("long").alias("mask"))
     found: list[DataFrame] = []
     for level, splits in enumerate(tables):
@@ -97,13 +99,15 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = 64) -> DataFrame:
         sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
         keyed = materialise(keyed.join(sizes, ["mask", "key"]), "buckets")
         last = level == len(tables) - 1
-        small = keyed if last else keyed.where(F.col("n") <= bucket)
+        # the masks of all buckets of a level leave about as many bits free; of the last too few to split
+        whole = F.lit(True) if last else (F.col("n") <= bucket) | ~F.col("mask").isin(*[_signed(m) for m in tables[level + 1]])
+        small = keyed.where(whole)
         left = small.select("mask", "key", F.col("fp").alias("a"))
         right = small.select("mask", "key", F.col("fp").alias("b"))
         found.append(left.join(right, ["mask", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b"))
         if last:
             break
-        at = keyed.where(F.col("n") > bucket).select("fp", "mask")
+        at = keyed.where(~whole).select("fp", "mask")
         if at.isEmpty():
             break
     out = found[0]

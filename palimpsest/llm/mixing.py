@@ -85,7 +85,9 @@ def mix(
     sums = slim.groupBy("__source").agg(F.sum("__size").alias("__source_size"), F.count("*").alias("__n"), F.sum(F.col("__size") * F.col("__want")).alias("__wanted"))
     sums = materialise(sums, "sources")
     goal = targets(sums.select(F.col("__source").alias("source"), F.col("__source_size").alias("source_size")), list(weights), share)
-    goal = materialise(sums.join(goal.select("source", F.col("target").alias("__target")), F.col("__source").eqNullSafe(F.col("source"))).drop("source"), "targets")
+    goal = materialise(sums.join(goal.select("source", F.col("target").alias("__target")), F.col("__source").eqNullSafe(F.col("source"))).drop("source").withColumn("__factor", F.when(F.col("__wanted") > 0, F.col("__target") / F.col("__wanted")).otherwise(0.0)), "targets")
+    if prefer:
+        goal = _settled(slim, goal)
     cuts = materialise(_cuts(_ranked(slim, goal), goal), "cuts")
     rows = _ranked(df.select(*[F.col(f"`{c}`") for c in held], origin, size, key, want), cuts)
     me = F.struct("__rank", "__hash", "__size")
@@ -94,10 +96,29 @@ def mix(
     return rows.select(*[F.col(f"`{c}`") for c in held], "__size", "__source_size", "__target", taken)
 
 
+def _settled(slim: DataFrame, goal: DataFrame) -> DataFrame:
+    """``goal`` with factors by which preferences, cut at ``MOST`` copies, add up to the target.
+
+    Each round gives what the cut takes from documents at ``MOST`` to the others; a source is done when
+    no further document reaches the cut, so rounds are few.
+    """
+    while True:
+        at = slim.join(goal.select(F.col("__source").alias("of"), "__factor"), F.col("__source").eqNullSafe(F.col("of")))
+        full = F.col("__factor") * F.col("__want") >= MOST
+        sums = at.groupBy("of").agg(F.sum(F.when(full, F.col("__size")).otherwise(0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("__size") * F.col("__want"))).alias("open"))
+        found = goal.join(sums, F.col("__source").eqNullSafe(F.col("of"))).drop("of")
+        next_ = F.when(F.col("open") > 0, F.greatest("__factor", (F.col("__target") - MOST * F.col("full")) / F.col("open"))).otherwise(F.col("__factor"))
+        found = materialise(found.withColumn("next", next_), "factors")
+        moving = not found.where(F.col("next") > F.col("__factor") * (1 + 1e-9)).isEmpty()
+        goal = found.withColumn("__factor", F.col("next")).drop("next", "full", "open")
+        if not moving:
+            return goal
+
+
 def _ranked(rows: DataFrame, goal: DataFrame) -> DataFrame:
     """``rows`` with their source's figures, ``__sure`` copies, and ``__rank`` (null: no further copy)."""
     at = rows.join(goal.withColumnRenamed("__source", "__of"), F.col("__source").eqNullSafe(F.col("__of"))).drop("__of")
-    copies = F.least(F.lit(MOST), F.when(F.col("__wanted") > 0, F.col("__target") * F.col("__want") / F.col("__wanted")).otherwise(0.0))
+    copies = F.least(F.lit(MOST), F.col("__factor") * F.col("__want"))
     at = at.withColumn("__copies", copies).withColumn("__sure", F.floor("__copies")).withColumn("__p", F.col("__copies") - F.col("__sure"))
     u = (F.shiftrightunsigned(F.col("__hash"), 12).cast("double") + 0.5) / float(1 << 52)
     return at.withColumn("__rank", F.when((F.col("__p") > 0) & (F.col("__size") > 0), (u / (1 - u)) * (1 - F.col("__p")) / F.col("__p")))

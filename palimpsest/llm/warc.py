@@ -137,7 +137,10 @@ def parse(data: bytes, at: int) -> Record:
         raise Damaged("no content length")
     start = stop + len(ENDS)
     end = start + int(length)
-    if data[end : end + 4] != ENDS:
+    whole = data[end : end + 4] == ENDS
+    if missing := [h for h in ("warc-type", "warc-record-id") if not headers.get(h)]:
+        raise Damaged(f"no {missing[0]}", end + 4 if whole else None)
+    if not whole:
         raise Damaged("the record does not end where its length says")
     block = data[start:end]
     http: dict[str, str] = {}

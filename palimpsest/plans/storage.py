@@ -13,7 +13,8 @@ def work_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not hasattr(work_dir, "own"):
         work_dir.own = tempfile.mkdtemp(prefix="palimpsest-")

@@ -10,8 +10,8 @@ The corpus is dealt out so that equal windows always meet, and each part is solv
 3. Representatives with the same anchor go to the same shard, where external induced sorting
    (``suffix.py``) gives suffix order and common prefixes: a window repeats if a neighbour in that order
    shares ``window`` bytes with it. Shards are cut between anchors at ``SHARD`` bytes.
-4. An anchor with very many different segments (a line that stands in a large part of all documents) would
-   make a shard of its own; its windows are told apart by their whole content instead, which deals them
+4. An anchor whose different segments would outgrow a shard (a line that stands in a large part of all
+   documents) has its windows told apart by their whole content instead, which deals them
    out evenly. No case is capped or dropped.
 5. Repeated windows go back to all segments of that content, and to their documents.
 """
@@ -34,9 +34,9 @@ GRAM = 64
 #: Windows in a segment at most.
 RUN = 1024
 #: Bytes of a shard at least, if an anchor's segments don't fill it.
-SHARD = 8_000_000
-#: Different segments of an anchor from which its windows are told apart singly.
-MANY = 256
+SHARD = 6_000_000
+#: Bytes of an anchor's different segments beyond which its windows are told apart singly.
+BIG = 4_000_000
 #: Bytes hashed at once.
 BLOCK = 1 << 20
 
@@ -227,15 +227,16 @@ def repeated_spans(texts: DataFrame, window: int, limit: int) -> DataFrame:
     contents = live.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("id", "h", "start")).alias("at"), F.first("n").alias("n"), F.max("again").alias("again"))
     contents = materialise(contents, "contents")
     # a single content has no other window to compare with, unless its anchor stands there twice; contents that all repeat need none
-    groups = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least"), F.max("again").alias("again")).where("(kinds > 1 or again) and least = 1").select("anchor", "kinds")
-    wanted = contents.join(groups, "anchor").select("anchor", "content", "kinds", F.col("at.id").alias("id"), F.col("at.h").alias("h"), F.col("at.start").alias("start"), (F.col("n") + window - 1).alias("size"))
+    groups = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + (window - 1)).alias("bytes"), F.min("copies").alias("least"), F.max("again").alias("again"))
+    groups = groups.where("(kinds > 1 or again) and least = 1").select("anchor", "bytes")
+    wanted = contents.join(groups, "anchor").select("anchor", "content", "bytes", F.col("at.id").alias("id"), F.col("at.h").alias("h"), F.col("at.start").alias("start"), (F.col("n") + window - 1).alias("size"))
     of = texts.select(F.col("id").alias("of_id"), F.col("h").alias("of_h"), "data")
     cut = wanted.join(of, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h")))
-    cut = cut.select("anchor", "content", "kinds", F.substring("data", (F.col("start") + 1).cast("int"), F.col("size")).alias("data"))
+    cut = cut.select("anchor", "content", "bytes", F.substring("data", (F.col("start") + 1).cast("int"), F.col("size")).alias("data"))
     # rows that repeat a whole text give a representative twice, which then counts as repeated anyway
     cut = materialise(cut, "representatives")
-    few = cut.where(F.col("kinds") <= MANY).select("anchor", "content", "data")
-    many = cut.where(F.col("kinds") > MANY).select("anchor", "content", "data")
+    few = cut.where(F.col("bytes") <= BIG).select("anchor", "content", "data")
+    many = cut.where(F.col("bytes") > BIG).select("anchor", "content", "data")
     windows = _shards(few, window, limit).unionAll(_single_windows(many, window))
     whole = contents.where("copies > 1").select("anchor", "content", F.lit(0).alias("lo"), F.col("n").alias("hi"))
     ones = contents.where("copies = 1").select("anchor", "content")

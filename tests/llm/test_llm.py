@@ -199,10 +199,10 @@ def passages(texts, window=200):
     return out
 
 
-@pytest.mark.parametrize("many", [256, 1])
-def test_repeats(spark, monkeypatch, many):
+@pytest.mark.parametrize("big", [4_000_000, 1])
+def test_repeats(spark, monkeypatch, big):
     random.seed(7)
-    monkeypatch.setattr(suffix_dedup, "MANY", many)
+    monkeypatch.setattr(suffix_dedup, "BIG", big)
 
     def prose(n):
         return " ".join("".join(random.choice("abcdeé") for _ in range(random.randint(2, 7))) for _ in range(n))

@@ -291,6 +291,36 @@ def test_scoring(spark):
     assert got[17]["target_loss"] == pytest.approx(p[0]) and got[17]["loss_difference"] == pytest.approx(p[0] - p[1])
 
 
+def test_scoring_counts_every_word_and_bigram(spark, monkeypatch):
+    """Against plain dictionaries, with more words than 50,000 and more bigrams than 2^20 counters keep apart."""
+    random.seed(5)
+    texts = [" ".join(f"w{random.randrange(60_000)}" for _ in range(300)) for _ in range(1200)] + ["w1 w2", "", None, "w1 w1 W1", "w7"]
+    good = set(range(0, len(texts), 3))
+    monkeypatch.setattr(lm, "BLOCK", 200_000, raising=False)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in lm.cross_entropy_difference(df, spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()}
+    words = [(t or "").lower().split() for t in texts]
+    kinds = len({w for ws in words for w in ws})
+    assert len(got) == len(texts) and kinds > 50_000
+    models = []
+    for of in (good, set(range(len(texts)))):
+        one, pair, context = {}, {}, {}
+        for ws in (words[i] for i in of):
+            for v, w in zip(["", *ws], ws, strict=False):
+                one[w], pair[v, w], context[v] = one.get(w, 0) + 1, pair.get((v, w), 0) + 1, context.get(v, 0) + 1
+        models.append((one, pair, context, sum(one.values())))
+    for i in [*range(0, 1200, 50), *range(1200, len(texts))]:
+        want = []
+        for one, pair, context, total in models:
+            bits = [-math.log2((pair.get((v, w), 0) + lm.MU * (one.get(w, 0) + 0.5) / (total + 0.5 * (kinds + 2))) / (context.get(v, 0) + lm.MU)) for v, w in zip(["", *words[i]], words[i], strict=False)]
+            want.append(sum(bits) / len(bits) if bits else None)
+        assert got[i]["n_tokens"] == len(words[i])
+        if words[i]:
+            assert [got[i]["target_loss"], got[i]["background_loss"], got[i]["loss_difference"]] == pytest.approx([*want, want[0] - want[1]])
+        else:
+            assert got[i]["target_loss"] is None and got[i]["loss_difference"] is None
+
+
 # ------------------------------------------------------------------ mixing, chat, WARC
 
 

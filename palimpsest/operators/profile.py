@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows beyond which ``aggregates(exact=None)`` estimates distinct values.
-EXACT_ROWS = 5_000_000
 SAMPLE = 200
 DETECTOR_SAMPLE = 40
 
@@ -29,15 +27,13 @@ def unpivoted(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(F.explode(cells).alias("cell")).select("cell.column", "cell.value")
 
 
-def aggregates(df: DataFrame, columns: list[str] | None = None, exact: bool | None = None) -> DataFrame:
+def aggregates(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
     """``column``, ``rows``, ``non_null``, ``distinct_values``, ``average_length``, ``null_share``.
 
-    ``exact=None`` counts distinct values exactly up to ``EXACT_ROWS`` rows and estimates them beyond. An
-    empty table gives a row of zeros for each column.
+    Distinct values are counted at every size; only ``exact=False`` estimates them. An empty table gives a
+    row of zeros for each column.
     """
     columns = df.columns if columns is None else columns
-    if exact is None:
-        exact = df.count() <= EXACT_ROWS
     cells = unpivoted(df, columns)
     if exact:
         by_value = cells.groupBy("column", "value").agg(F.count("*").alias("n"))

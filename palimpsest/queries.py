@@ -210,12 +210,12 @@ def _profile_sql(of: str, columns: list[str]) -> str:
 
 @query(_profile_sql("customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]))
 def column_aggregate(spark, sf_dir):
-    return profile.aggregates(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+    return profile.aggregates(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], exact=True)
 
 
 @query(_profile_sql("lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus"]))
 def column_aggregate_lineitem(spark, sf_dir):
-    return profile.aggregates(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus"])
+    return profile.aggregates(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus"], exact=True)
 
 
 @query("SELECT event_type AS type, count(*) AS rows, count(CASE WHEN user_id % 3 > 0 THEN 1 END) AS non_null, (count(*) - count(CASE WHEN user_id % 3 > 0 THEN 1 END)) / count(*) AS null_share FROM events GROUP BY event_type")

@@ -162,3 +162,17 @@ def test_control(spark, tmp_path):
 def test_entry(spark):
     assert entry.entry(spark).where("passed").count() == 8
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_profile_counts_exactly_at_every_size(spark, monkeypatch):
+    from palimpsest import lifecycle, queries
+    from palimpsest.operators import profile
+
+    monkeypatch.setattr(profile, "EXACT_ROWS", 100, raising=False)  # where estimates used to begin
+    folder = "/root/testdata/sf0.01"
+    for name, of, column in (("column_aggregate", "customer", "c_name"), ("column_aggregate_lineitem", "lineitem", "l_orderkey")):
+        got = {r["column"]: r["distinct_values"] for r in queries.QUERIES[name](spark, folder).collect()}
+        assert got[column] == queries.table(spark, folder, of).select(column).distinct().count()
+    db = lifecycle.Database({"customer": queries.table(spark, folder, "customer")}, {})
+    found = {f.address.column: f.distinct for f in lifecycle.profile(db, None)}
+    assert found["c_name"] == db.tables["customer"].select("c_name").distinct().count()

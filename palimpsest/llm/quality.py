@@ -51,6 +51,8 @@ BANDS = {
     "hangul": Band(0.25, 4.0, 0.95, 3.0),
     "han": Band(0.25, 4.0, 0.95, 3.0),
     "other": Band(0.2, 12.0, 1.0, 2.0),
+    # without letters, such as dumps of numbers or symbols: no easier than Latin prose
+    "none": Band(1.45, 9.0, 0.15, 3.5),
 }
 #: First code points of ranges and their script (None: no letters to judge by).
 RANGES = [
@@ -74,6 +76,12 @@ def script_of(text: str) -> str:
     return max(BANDS, key=lambda s: (counts[s], s == "other")) if counts.total() else "other"
 
 
+def band_of(text: str) -> str:
+    """The script; ``none`` for a text without letters, of which emoji and symbols are none."""
+    script = script_of(text)
+    return "none" if script == "other" and not any(c.isalpha() for c in text) else script
+
+
 def repeated_words(ids: np.ndarray, window: int = 3) -> int:
     """How many words lie in windows of ``window`` words that the list of word ids holds twice or more."""
     n = len(ids)
@@ -159,7 +167,7 @@ def judge(texts: list[str], langs: list[str | None], vocabulary: Fertility, band
         repeats = repeated_words(ids)
         failed = n < min_words or 100 * repeats > max_repeat * n
         per_token, byte_share, entropy = vocabulary.measures(ids, word_chars)
-        name = lang if lang in bands else script_of(text)
+        name = lang if lang in bands else band_of(text)
         band = bands.get(name, bands["other"])
         # a text of few words can't reach a high entropy
         least = min(band.min_entropy, 0.6 * math.log2(n)) if n > 1 else 0.0

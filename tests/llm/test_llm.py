@@ -247,6 +247,15 @@ def test_quality(spark):
     assert quality.script_of("привет мир") == "cyrillic" and quality.script_of("日本") == "han" and quality.script_of("12 3") == "other"
 
 
+def test_quality_rejects_texts_without_letters(spark):
+    random.seed(6)
+    emoji, signs = [chr(c) for c in range(0x1F600, 0x1F640)], "!?;:+=~^@/.,()[]{}"
+    noise = [[str(k) for k in random.sample(range(1000, 99999), 80)], ["".join(random.choices(emoji, k=3)) for _ in range(80)], ["".join(random.choices(signs, k=4)) for _ in range(80)]]
+    found = {r["doc_id"]: r for r in quality.quality_rules(docs(spark, [" ".join(x) for x in noise]), PIECES, keep=["doc_id"]).collect()}
+    assert [(found[i]["base_failed"], found[i]["kept"]) for i in range(3)] == [(False, False)] * 3
+    assert quality.band_of("12 3 😀") == "none" and quality.band_of("สวัสดี") == "other"
+
+
 def test_language(spark):
     random.seed(1)
     words = {"aa": ["alpha", "beta", "gamma", "delta"], "bb": ["uno", "dos", "tres", "cuatro"]}

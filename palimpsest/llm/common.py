@@ -12,7 +12,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Word separators: the ASCII white space that ``bytes.split()`` also splits on.
 SPACE = r"[\x20\x09-\x0D]"
@@ -108,7 +110,22 @@ def worker_cache(key: object, make: Callable[[], object]):
     return _slot[1]
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def row_of(columns: list[str]) -> Column:
+    """Columns that an operator carries along, in a struct ``row``: their names meet none of its own."""
+    return F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"f{k}") for k, c in enumerate(columns)]).alias("row")
+
+
+def fields_of(columns: list[str]) -> list[Column]:
+    """The columns that ``row_of`` put away."""
+    return [F.col(f"row.f{k}").alias(c) for k, c in enumerate(columns)]
+
+
+def row_schema(df: DataFrame, more: str) -> StructType:
+    """``row`` as it is in ``df``, and the columns of the DDL ``more``."""
+    return StructType([df.schema["row"], *StructType.fromDDL(more).fields])
+
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """``df`` with every Arrow batch replaced by ``fn`` of it (None: no rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

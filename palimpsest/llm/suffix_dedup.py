@@ -6,28 +6,33 @@ The corpus is dealt out so that equal windows always meet, and each part is solv
    content alone. Neighbouring windows mostly share their anchor, so a text falls into segments: runs of
    windows with one anchor. Anchors whose string stands only once in the corpus can't hold a repeated window.
 2. Segments of equal content are brought together; all their windows repeat. One of each stays as their
-   representative, with the bytes it needs.
+   representative, with the bytes it needs. Equal means the same anchor, length and 64-bit XXH3 of the
+   segment's bytes.
 3. Representatives with the same anchor go to the same shard, where external induced sorting
-   (``suffix.py``) gives suffix order and common prefixes: a window repeats if a neighbour in that order
+   (``suffix.py``: recursion and queues on disk beyond ``limit`` bytes of memory) gives suffix order and
+   common prefixes, which come from the bytes themselves: a window repeats if a neighbour in that order
    shares ``window`` bytes with it. Shards are cut between anchors at ``SHARD`` bytes.
-4. An anchor whose different segments would outgrow a shard (a line that stands in a large part of all
-   documents) has its windows told apart by their whole content instead, which deals them
-   out evenly. No case is capped or dropped.
+4. An anchor of more than ``BIG`` bytes of different segments (a line that stands in a large part of all
+   documents with different words around it) would be an unbounded group in one task. Its windows are
+   told apart by 128-bit XXH3 of their bytes instead, which deals them out evenly. No case is capped or
+   dropped.
 5. Repeated windows go back to all segments of that content, and to their documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, by_size, materialise, worker_cache
-from .suffix import repeated_starts
+from .common import arrow_map, by_size, fields_of, materialise, row_of, row_schema, worker_cache
+from .suffix import Space, repeated_starts
 
 #: Bytes of the strings that anchors are hashes of.
 GRAM = 64
@@ -39,6 +44,8 @@ SHARD = 6_000_000
 BIG = 4_000_000
 #: Bytes hashed at once.
 BLOCK = 1 << 20
+#: Bytes of memory for the queues and arrays of a shard; the rest of them lies on disk.
+MEMORY = 1 << 24
 
 
 class Hasher:
@@ -70,9 +77,9 @@ class Hasher:
         return x ^ (x >> np.uint64(29))
 
 
-def hashers() -> list[Hasher]:
-    """Two independent hashers, once per worker process."""
-    return worker_cache("hashers", lambda: [Hasher(seed, 2 * BLOCK) for seed in (11, 12)])
+def hasher() -> Hasher:
+    """The hasher of anchors, once per worker process. Strings it fails to tell apart share a shard, no more."""
+    return worker_cache("hasher", lambda: Hasher(11, 2 * BLOCK))
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -94,7 +101,7 @@ def segments(data: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tupl
     none = np.zeros(0, np.int64)
     if n < window:
         return none, none, none, none, none, none > 0
-    a, b = hashers()
+    a = hasher()
     sums = a.sums(data)
     grams = a.of(sums, slice(0, n - gram + 1), slice(gram, n + 1), slice(0, n - gram + 1))
     least = sliding_least(grams, window - gram + 1)
@@ -111,7 +118,8 @@ def segments(data: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tupl
     sizes = np.minimum(sizes, ends[text[heads]] - window + 1 - heads)
     keep = (sizes > 0) & whole[heads]
     heads, sizes = heads[keep], sizes[keep]
-    content = b.of(b.sums(data), heads, heads + sizes + window - 1, heads) ^ (sizes.astype(np.uint64) << np.uint64(50))
+    raw = memoryview(data)
+    content = np.fromiter((xxhash.xxh3_64_intdigest(raw[k:e]) for k, e in zip(heads.tolist(), (heads + sizes + window - 1).tolist(), strict=True)), np.uint64, len(heads))
     first = np.concatenate([[0], ends[:-1]])
     # strings that are the least of some window around them; the anchor's places are among them
     width = window - gram + 1
@@ -125,10 +133,15 @@ def segments(data: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tupl
     return text[heads], heads - first[text[heads]], sizes, least[heads].view(np.int64), content.view(np.int64), times > 1
 
 
-def _texts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _texts(df: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
     """``id``, ``h`` (which tells texts of one id apart) and ``data`` (bytes)."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(body).alias("h"), body.cast("binary").alias("data"))
+    return df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(body).alias("h"), body.cast("binary").alias("data"), *more)
+
+
+def texts_with(df: DataFrame, keep: list[str], doc_id: str, text: str) -> DataFrame:
+    """The texts of ``df`` with the columns ``keep`` in a struct ``row``."""
+    return _texts(df, doc_id, text, row_of(keep))
 
 
 def _occurrences(texts: DataFrame, window: int) -> DataFrame:
@@ -160,38 +173,54 @@ def _occurrences(texts: DataFrame, window: int) -> DataFrame:
     return arrow_map(texts, run, "id long, h long, start long, n int, anchor long, content long, again boolean")
 
 
-def _shards(found: DataFrame, window: int, limit: int) -> DataFrame:
-    """Repeated windows of ``found`` (anchor, content, bytes) by suffix order: ``lo`` <= window < ``hi``."""
-
-    def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch | None:
-        symbols = np.zeros(sum(len(r[2]) + 1 for r in rows), np.uint16)
-        at, starts = 0, []
-        for _, _, data in rows:
-            symbols[at : at + len(data)] = np.frombuffer(data, np.uint8)
-            symbols[at : at + len(data)] += 1
-            starts.append(at)
-            at += len(data) + 1
-        worker_cache("shard", int)  # make room
-        repeated = repeated_starts(symbols, window, limit)
+class Shard:
+    """Strings of one shard, written to a file as they come, and their repeated windows."""
+
+    def __init__(self, folder: str, window: int, limit: int):
+        self.space, self.window = Space(folder, limit), window
+        self.file = tempfile.TemporaryFile(dir=folder)
+        self.rows: list[tuple[int, int, int]] = []
+        self.size = 0
+
+    def add(self, anchor: int, content: int, data: bytes) -> None:
+        symbols = np.zeros(len(data) + 1, np.uint16)
+        np.add(np.frombuffer(data, np.uint8), 1, out=symbols[:-1], casting="unsafe", dtype=np.uint16)
+        symbols.tofile(self.file)
+        self.rows.append((anchor, content, len(data)))
+        self.size += len(symbols)
+
+    def solve(self) -> Iterator[pa.RecordBatch]:
+        """Rows (anchor, content, lo, hi) of repeated windows ``lo`` to ``hi``, by suffix order."""
+        if not self.rows:
+            return
+        self.file.flush()
+        repeated = repeated_starts(np.memmap(self.file, np.uint16, "r", shape=(self.size,)), self.window, self.space)
         out: list[tuple[int, int, int, int]] = []
-        for (anchor, content, data), start in zip(rows, starts, strict=True):
-            marks = np.diff(repeated[start : start + len(data) - window + 1].astype(np.int8), prepend=0, append=0)
+        start = 0
+        for anchor, content, n in self.rows:
+            marks = np.diff(repeated[start : start + n - self.window + 1].astype(np.int8), prepend=0, append=0)
             out += [(anchor, content, lo, hi) for lo, hi in zip(np.flatnonzero(marks == 1).tolist(), np.flatnonzero(marks == -1).tolist(), strict=True)]
-        return _spans(out) if out else None
+            start += n + 1
+        self.file.close()
+        if out:
+            yield _spans(out)
+
+
+def _shards(found: DataFrame, window: int, limit: int) -> DataFrame:
+    """Repeated windows of ``found`` (anchor, content, bytes) by suffix order: ``lo`` <= window < ``hi``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, bytes]] = []
-        size = 0
-        for batch in batches:
-            for anchor, content, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= SHARD and rows[-1][0] != anchor:
-                    if (done := solve(rows)) is not None:
-                        yield done
-                    rows, size = [], 0
-                rows.append((anchor, content, data))
-                size += len(data)
-        if rows and (done := solve(rows)) is not None:
-            yield done
+        worker_cache("shard", int)  # make room
+        with tempfile.TemporaryDirectory(prefix="suffix-") as folder:
+            shard, last = Shard(folder, window, limit), None
+            for batch in batches:
+                for anchor, content, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if shard.size >= SHARD and last != anchor:
+                        yield from shard.solve()
+                        shard = Shard(folder, window, limit)
+                    shard.add(anchor, content, data)
+                    last = anchor
+            yield from shard.solve()
 
     return found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, content long, lo int, hi int")
 
@@ -205,18 +234,18 @@ def _single_windows(found: DataFrame, window: int) -> DataFrame:
     """Repeated windows of ``found`` by the content of each window, for anchors with many segments."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list[np.ndarray]] = [[] for _ in range(5)]
+        out: list[list[np.ndarray]] = [[] for _ in range(3)]
+        digests: list[bytes] = []
         for anchor, content, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x = np.frombuffer(data, np.uint8)
-            n = len(x) - window + 1
-            hashes = [h.of(h.sums(x), slice(0, n), slice(window, len(x) + 1), slice(0, n)).view(np.int64) for h in hashers()]
-            for to, y in zip(out, (np.full(n, anchor), np.full(n, content), np.arange(n, dtype=np.int32), *hashes), strict=True):
+            raw, n = memoryview(data), len(data) - window + 1
+            digests += [xxhash.xxh3_128_digest(raw[k : k + window]) for k in range(n)]
+            for to, y in zip(out, (np.full(n, anchor), np.full(n, content), np.arange(n, dtype=np.int32)), strict=True):
                 to.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["anchor", "content", "lo", "w1", "w2"])
+        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in out), pa.array(digests, pa.binary())], names=["anchor", "content", "lo", "w"])
 
-    single = arrow_map(found, run, "anchor long, content long, lo int, w1 long, w2 long")
-    twice = single.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
-    return single.join(twice, ["w1", "w2"]).select("anchor", "content", "lo", (F.col("lo") + 1).alias("hi"))
+    single = arrow_map(found, run, "anchor long, content long, lo int, w binary")
+    twice = single.groupBy("w").agg(F.count("*").alias("times")).where("times > 1").select("w")
+    return single.join(twice, "w").select("anchor", "content", "lo", (F.col("lo") + 1).alias("hi"))
 
 
 def repeated_spans(texts: DataFrame, window: int, limit: int) -> DataFrame:
@@ -259,34 +288,33 @@ def cut_out(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), runs
 
 
-def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 200, keep: list[str] | None = None, kept_text: str | None = None, limit: int = 1 << 27) -> DataFrame:
+def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 200, keep: list[str] | None = None, kept_text: str | None = None, limit: int = MEMORY) -> DataFrame:
     """The columns ``keep`` (default: the id) and ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``.
 
     With ``kept_text`` a column of that name holds what is left as text; a character of which a part was
-    cut off is left out of it. ``limit``: bytes of memory for a shard's queues, text and types each, beyond
-    which they lie on disk. Null texts are empty; texts shorter than ``window`` stay whole; repeated rows
+    cut off is left out of it. ``limit``: bytes of memory for a shard's queues and arrays, beyond which they
+    lie on disk, in the worker's temporary folder while the shard is solved, as Spark's own spills do. Null texts are empty; texts shorter than ``window`` stay whole; repeated rows
     are copies of each other like any other; a null id is an id of its own; an empty table gives an empty
     one. Columns of ``df`` with the names made here are replaced.
     """
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + [kept_text] * (kept_text is not None)
     keep = [c for c in ([doc_id] if keep is None else keep) if c not in made]
     texts = _texts(df, doc_id, text)
-    spans = repeated_spans(texts, window, limit).select(F.col("id").alias("__i"), F.col("h").alias("__j"), F.col("spans").alias("__spans"))
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{doc_id}`").cast("long").alias("__id"), F.xxhash64(body).alias("__h"), body.cast("binary").alias("__data"))
-    rows = rows.join(spans, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__j")), "left").select(*[F.col(f"`{c}`") for c in keep], "__spans", "__data")
-    fields = rows.schema.fields[: len(keep)]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_bytes long, n_removed long, n_spans long, kept_sha256 string"] + ([f"`{kept_text}` string"] if kept_text else []))
+    spans = repeated_spans(texts, window, limit).select(F.col("id").alias("of_id"), F.col("h").alias("of_h"), "spans")
+    # the columns kept travel in a struct, so their names meet no others
+    rows = texts_with(df, keep, doc_id, text).join(spans, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h")), "left").select("row", "spans", "data")
+    kinds = {"n_bytes": "long", "n_removed": "long", "n_spans": "long"}
+    schema = row_schema(rows, ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in made))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
-        for found, raw in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1), strict=True):
+        for found, raw in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
             data = raw.as_py()
             left, runs = cut_out(data, [(s["a"], s["b"]) for s in found or ()])
             row = (len(data), len(data) - len(left), runs, hashlib.sha256(left).hexdigest())
             out.append((*row, left.decode("utf-8", "ignore")) if kept_text else row)
-        kinds = [pa.int64()] * 3 + [pa.string()] * 2
-        new = [pa.array([r[k] for r in out], kinds[k]) for k in range(len(made))]
-        return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names=[*keep, *made])
+        types = [pa.int64()] * 3 + [pa.string()] * 2
+        new = [pa.array([r[k] for r in out], types[k]) for k in range(len(made))]
+        return pa.RecordBatch.from_arrays([batch.column(0), *new], names=["row", *made])
 
-    return arrow_map(rows, run, schema)
+    return arrow_map(rows, run, schema).select(*fields_of(keep), *[f"`{c}`" for c in made])

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -168,10 +169,13 @@ def test_embeddings(spark):
 
 def test_suffix_order(tmp_path, monkeypatch):
     random.seed(3)
+    seen = Counter()
     for r in range(150):
         t = [random.randint(0, random.randint(1, 5)) for _ in range(random.randint(1, 60))] * random.randint(1, 3)
         monkeypatch.setattr(suffix, "BATCH", random.choice([1, 3, 1 << 20]))
-        got = list(suffix.falling(np.array(t), str(tmp_path), random.choice([1, 50, 1 << 27]), random.choice([1, 5, 1000])))
+        space = suffix.Space(str(tmp_path), random.choice([1, 64, 500, 5000, 1 << 27]))
+        got = list(suffix.falling(np.array(t, random.choice([np.uint16, np.int64])), space))
+        seen += space.seen
         order, common = [int(x) for a, _ in got for x in a], [int(x) for _, c in got for x in c]
         assert order == sorted(range(len(t)), key=lambda i: t[i:], reverse=True)
         for k in range(1, len(order)):
@@ -180,6 +184,23 @@ def test_suffix_order(tmp_path, monkeypatch):
             while n < min(len(a), len(b), suffix.CAP) and a[n] == b[n]:
                 n += 1
             assert common[k] == n
+    assert seen["levels"] > 50 and seen["spills"] > 1000 and seen["sorts"] > 50
+    assert not list(tmp_path.iterdir())
+
+
+def test_suffix_order_beyond_memory(tmp_path):
+    """With the memory of the query, a shard of its size recurses, sorts names externally and spills."""
+    random = np.random.default_rng(9)
+    words = [bytes(random.integers(97, 123, random.integers(2, 9)).tolist()) for _ in range(3000)]
+    data = b" ".join(words[k] for k in (random.zipf(1.3, 1_300_000) % 3000).tolist())[: suffix_dedup.SHARD]
+    data = data[:3_000_000] + data[1_000_000:1_000_700] + data[3_000_000:]
+    text = np.frombuffer(data, np.uint8).astype(np.uint16) + 1
+    space = suffix.Space(str(tmp_path), suffix_dedup.MEMORY)
+    got = suffix.repeated_starts(text, 200, space)
+    assert text.nbytes * 9 > suffix_dedup.MEMORY and space.seen["levels"] >= 2 and space.seen["spills"] >= 1 and space.seen["sorts"] >= 1
+    times = Counter(data[k : k + 200] for k in range(len(data) - 199))
+    assert [times[data[k : k + 200]] > 1 for k in range(len(data) - 199)] == got[: len(data) - 199].tolist()
+    assert got.sum() >= 2 * 501
 
 
 def passages(texts, window=200):

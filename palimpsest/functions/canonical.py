@@ -6,12 +6,21 @@ fit its kind fails the run; it is never passed through.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 KINDS = ("Text", "EmailAddress", "Integer", "Decimal", "Boolean", "Timestamp", "Binary")
 #: Largest exponent that a decimal text may have.
 EXPONENT = 10_000
+#: Decimal texts that are canonical as they stand.
+DECIMAL_DONE = r"^(0|-?[1-9][0-9]*|-?(0|[1-9][0-9]*)\.[0-9]*[1-9])$"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _not_blank(c: Column) -> Column:
@@ -41,20 +50,34 @@ def integer(c: Column) -> Column:
 
 def decimal(c: Column) -> Column:
     """Exact decimal text: exponents written out, no leading zeros, no zeros at the fraction's end."""
-    t = _not_blank(F.trim(c))
-    form = r"^([+-]?)([0-9]*)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]+))?$"
-    whole, part = F.regexp_extract(t, form, 2), F.regexp_extract(t, form, 3)
-    power = F.coalesce(F.regexp_extract(t, form, 4).try_cast("int"), F.lit(0))
-    digits, scale = F.concat(whole, part), F.length(part) - power
-    digits = F.when(scale < 0, F.concat(digits, F.repeat(F.lit("0"), -scale))).otherwise(digits)
-    scale = F.greatest(scale, F.lit(0))
-    digits = F.lpad(digits, F.greatest(F.length(digits), scale + 1), "0")
-    left = F.regexp_replace(F.substring(digits, F.lit(1), F.length(digits) - scale), r"^0+(?=\d)", "")
-    right = F.regexp_replace(F.substring(digits, F.length(digits) - scale + 1, scale), "0+$", "")
-    plain = F.when(F.length(right) > 0, F.concat(left, F.lit("."), right)).otherwise(left)
-    signed = F.when(t.startswith("-") & (plain != "0"), F.concat(F.lit("-"), plain)).otherwise(plain)
-    valid = t.rlike(form) & (F.length(F.concat(whole, part)) > 0) & (F.abs(power) <= EXPONENT) & (F.regexp_extract(t, form, 4).try_cast("int").isNotNull() | (F.regexp_extract(t, form, 4) == ""))
-    return F.when(t.isNull(), None).when(valid, signed).otherwise(_fail("decimal", t))
+    form = r"^[+-]?([0-9]*)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]+))?$"
+
+    def read(t: Column) -> Column:
+        parts = F.struct(t.alias("t"), *[F.regexp_extract(t, form, k + 1).alias(name) for k, name in enumerate(("whole", "part", "power"))])
+        return F.when(t.isNull() | t.rlike(DECIMAL_DONE), t).when(t.rlike(form), let(parts, shift)).otherwise(_fail("decimal", t))
+
+    def shift(p: Column) -> Column:
+        """The digits without a point, and how many of them are the fraction."""
+        power = F.when(p["power"] == "", 0).otherwise(p["power"].try_cast("int"))
+        number = F.struct(p["t"].alias("t"), F.concat(p["whole"], p["part"]).alias("digits"), (F.length(p["part"]) - power).alias("scale"), (F.abs(power) <= EXPONENT).alias("small"))
+        return let(number, lambda n: F.when((F.length(n["digits"]) > 0) & n["small"], let(padded(n), point)).otherwise(_fail("decimal", n["t"])))
+
+    def padded(n: Column) -> Column:
+        scale = F.greatest(n["scale"], F.lit(0))
+        digits = F.concat(n["digits"], F.repeat(F.lit("0"), F.greatest(-n["scale"], F.lit(0))))
+        return F.struct(n["t"].startswith("-").alias("minus"), F.lpad(digits, F.greatest(F.length(digits), scale + 1), "0").alias("digits"), scale.alias("scale"))
+
+    def point(n: Column) -> Column:
+        whole = F.length(n["digits"]) - n["scale"]
+        left = F.regexp_replace(F.substring(n["digits"], F.lit(1), whole), r"^0+(?=\d)", "")
+        right = F.regexp_replace(F.substring(n["digits"], whole + 1, n["scale"]), "0+$", "")
+        return let(F.struct(left.alias("left"), right.alias("right"), n["minus"].alias("minus")), written)
+
+    def written(n: Column) -> Column:
+        sign = F.when(n["minus"] & ~((n["left"] == "0") & (n["right"] == "")), "-").otherwise("")
+        return F.concat(sign, n["left"], F.when(n["right"] == "", "").otherwise(F.concat(F.lit("."), n["right"])))
+
+    return let(_not_blank(F.trim(c)), read)
 
 
 def boolean(c: Column) -> Column:
@@ -69,22 +92,28 @@ def boolean(c: Column) -> Column:
 
 def timestamp(c: Column) -> Column:
     """UTC with seven digits of a second; a text without offset is UTC whatever the session's zone."""
-    t = _not_blank(F.trim(c))
-    zoned = t.rlike(r"(?i)[0-9](Z|[+-][0-9]{1,2}(:?[0-9]{2})?)$") & t.rlike(r"[0-9]:[0-9]")
-    at = F.when(zoned, t).when(t.rlike("[0-9]:[0-9]"), F.concat(t, F.lit("Z"))).otherwise(F.concat(t, F.lit(" 00:00:00Z")))
-    micros = F.unix_micros(at.try_cast("timestamp"))
-    day = F.floor(micros / F.lit(86_400_000_000)).cast("int")
-    rest = F.pmod(micros, F.lit(86_400_000_000))
-    hundred = F.coalesce(F.nullif(F.regexp_extract(t, r"\.[0-9]{6}([0-9])", 1), F.lit("")), F.lit("0"))
+    def read(t: Column) -> Column:
+        zoned = t.rlike(r"(?i)[0-9]:[0-9].*[0-9](Z|[+-][0-9]{1,2}(:?[0-9]{2})?)$")
+        at = F.when(zoned, t).when(t.rlike("[0-9]:[0-9]"), F.concat(t, F.lit("Z"))).otherwise(F.concat(t, F.lit(" 00:00:00Z")))
+        return F.when(t.isNull(), t).otherwise(let(F.struct(t.alias("t"), F.unix_micros(at.try_cast("timestamp")).alias("micros")), split))
+
+    def split(n: Column) -> Column:
+        rest = F.pmod(n["micros"], F.lit(86_400_000_000))
+        day = F.floor(n["micros"] / F.lit(86_400_000_000)).cast("int")
+        hundred = F.coalesce(F.nullif(F.regexp_extract(n["t"], r"\.[0-9]{6}([0-9])", 1), F.lit("")), F.lit("0"))
+        return F.when(n["micros"].isNull(), _fail("timestamp", n["t"])).otherwise(let(F.struct(day.alias("day"), rest.alias("rest"), hundred.alias("hundred")), written))
 
     def two(n: Column) -> Column:
         return F.lpad(F.floor(n).cast("string"), 2, "0")
 
-    out = F.concat(
-        F.date_from_unix_date(day).cast("string"), F.lit("T"), two(rest / 3_600_000_000), F.lit(":"), two(rest / 60_000_000 % 60), F.lit(":"), two(rest / 1_000_000 % 60),
-        F.lit("."), F.lpad((rest % 1_000_000).cast("string"), 6, "0"), hundred, F.lit("Z"),
-    )
-    return F.when(t.isNull(), None).when(micros.isNotNull(), out).otherwise(_fail("timestamp", t))
+    def written(n: Column) -> Column:
+        rest = n["rest"]
+        return F.concat(
+            F.date_from_unix_date(n["day"]).cast("string"), F.lit("T"), two(rest / 3_600_000_000), F.lit(":"), two(rest / 60_000_000 % 60), F.lit(":"), two(rest / 1_000_000 % 60),
+            F.lit("."), F.lpad((rest % 1_000_000).cast("string"), 6, "0"), n["hundred"], F.lit("Z"),
+        )
+
+    return let(_not_blank(F.trim(c)), read)
 
 
 def binary(c: Column) -> Column:

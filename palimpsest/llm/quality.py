@@ -4,7 +4,11 @@ A public vocabulary tells how "word-like" a text is: clean prose of a language i
 for its characters, hardly ever falls back to bytes, and spreads its tokens. Each text's words are encoded
 one by one with a SentencePiece vocabulary; three measures are held against a band for the text's script
 (or its language, where a band names one): characters per token, share of byte-fallback tokens, entropy
-of the tokens. A text is rejected if a measure lies outside.
+of the tokens. A text is rejected if a measure lies outside. Bounds allow short texts more: the mean of few
+tokens strays further, and few tokens spread less.
+
+``fit_bands`` measures bands for a corpus of one's own; ``LANGUAGES`` holds those it gave for the invented
+prose of the test tables.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, worker_cache
+from .common import by_size, fields_of, row_of, row_schema, worker_cache
 
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -35,11 +39,21 @@ class Band(NamedTuple):
     max_chars_per_token: float
     max_byte_share: float
     min_entropy: float
+    #: The lower bound of characters per token is lower by this over the root of the number of words.
+    spread: float = 0.0
+
+    def least_chars(self, words: int) -> float:
+        return self.min_chars_per_token - self.spread / math.sqrt(max(words, 1))
+
+    def least_entropy(self, words: int) -> float:
+        """The bound holds for texts of ``FULL`` words or more, and falls by ``SLOPE`` with each halving."""
+        return self.min_entropy - SLOPE * math.log2(max(1.0, FULL / max(words, 1)))
 
 
-#: By language code or script. Latin prose has 2 to 5 characters a token; scripts the vocabulary knows by
-#: single characters only have about 1, and fall back to bytes for the rest. The lower bounds leave room
-#: for invented or rare words.
+SPREAD, FULL, SLOPE = 1.6, 400, 0.29
+#: By script. Latin prose has 2 to 5 characters a token; scripts the vocabulary knows by single characters
+#: only have about 1, and fall back to bytes for the rest. The lower bounds leave room for invented or rare
+#: words.
 BANDS = {
     "latin": Band(1.45, 9.0, 0.15, 3.5),
     "cyrillic": Band(1.2, 9.0, 0.15, 3.5),
@@ -54,6 +68,14 @@ BANDS = {
     # without letters, such as dumps of numbers or symbols: no easier than Latin prose
     "none": Band(1.45, 9.0, 0.15, 3.5),
 }
+#: By language code: ``fit_bands`` over all 10,000 documents of the test tables at scale 0.1, of which it
+#: takes those that pass the base rules and hold few symbols; rounded down. Upper bounds are those of Latin.
+LANGUAGES = {
+    "de": Band(2.16, 9.0, 0.15, 6.35, SPREAD),
+    "en": Band(2.07, 9.0, 0.15, 6.4, SPREAD),
+    "es": Band(1.87, 9.0, 0.15, 6.25, SPREAD),
+    "fr": Band(1.86, 9.0, 0.15, 6.25, SPREAD),
+}
 #: First code points of ranges and their script (None: no letters to judge by).
 RANGES = [
     (0x0, None), (0x41, "latin"), (0x5B, None), (0x61, "latin"), (0x7B, None), (0xC0, "latin"), (0x250, "other"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x590, "hebrew"),
@@ -87,11 +109,12 @@ def repeated_words(ids: np.ndarray, window: int = 3) -> int:
     n = len(ids)
     if n <= window:
         return 0
-    key = np.zeros(n - window + 1, np.int64)
-    for k in range(window):
-        if k:  # number the prefixes anew, which keeps the keys exact in 64 bits
-            key = np.unique(key, return_inverse=True)[1] if window > 3 or int(ids.max()) >= 1 << 20 else key
-        key = (key << 21) + ids[k : n - window + 1 + k]
+    kinds = int(ids.max()) + 1
+    key = ids[: n - window + 1]
+    for k in range(1, window):
+        if (int(key.max()) + 1) * kinds >= 1 << 62:  # number the prefixes anew: keys are exact in 64 bits
+            key = np.unique(key, return_inverse=True)[1].reshape(-1)
+        key = key * kinds + ids[k : n - window + 1 + k]
     held = np.sort(key)
     twice = held[1:][held[1:] == held[:-1]]
     if not len(twice):
@@ -169,9 +192,7 @@ def judge(texts: list[str], langs: list[str | None], vocabulary: Fertility, band
         per_token, byte_share, entropy = vocabulary.measures(ids, word_chars)
         name = lang if lang in bands else band_of(text)
         band = bands.get(name, bands["other"])
-        # a text of few words can't reach a high entropy
-        least = min(band.min_entropy, 0.6 * math.log2(n)) if n > 1 else 0.0
-        within = band.min_chars_per_token <= per_token <= band.max_chars_per_token and byte_share <= band.max_byte_share and entropy >= least
+        within = band.least_chars(n) <= per_token <= band.max_chars_per_token and byte_share <= band.max_byte_share and entropy >= band.least_entropy(n)
         out.append((n, word_chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeats, per_token, byte_share, entropy, name, failed, within and not failed))
     return out
 
@@ -180,14 +201,14 @@ def quality_rules(df: DataFrame, file: str, keep: list[str], text: str = "text",
     """The columns ``keep`` with counts, fertility measures, ``base_failed`` and ``kept`` for every row.
 
     ``file`` is a SentencePiece vocabulary with byte fallback. ``lang`` names a column whose value picks a
-    band of ``bands`` (default ``BANDS``) where it has one; the script of the text decides otherwise.
-    Row by row, without a shuffle: repeated rows stay, a null or empty text has no words and fails the
-    base rules, an empty table gives an empty one. Names in ``keep`` that are made here are left out.
+    band of ``bands`` (default ``BANDS``) where it has one; the script of the text decides otherwise, and
+    where the language is null. Row by row, without a shuffle: repeated rows stay, a null or empty text has
+    no words and fails the base rules, an empty table gives an empty one. Columns in ``keep`` may have any
+    name; those whose names are made here are left out.
     """
     made = [c.split()[0] for c in f"{COUNTS}, {VERDICT}".split(", ")]
     keep = [c for c in keep if c not in made]
-    inner = df.select(*[F.col(f"`{c}`") for c in keep], (F.col(f"`{lang}`") if lang else F.lit(None)).cast("string").alias("__lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-2]), COUNTS, VERDICT])
+    inner = df.select(row_of(keep), (F.col(f"`{lang}`") if lang else F.lit(None)).cast("string").alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     bands = dict(BANDS, **(bands or {}))
     kinds = [pa.int64()] * 5 + [pa.float64()] * 3 + [pa.string(), pa.bool_(), pa.bool_()]
 
@@ -195,9 +216,27 @@ def quality_rules(df: DataFrame, file: str, keep: list[str], text: str = "text",
         gc.disable()
         vocabulary = loaded(file)
         for batch in (part for whole in batches for part in by_size(whole)):
-            texts, langs = (batch.column(batch.num_columns - k).to_pylist() for k in (1, 2))
-            rows = judge(texts, langs, vocabulary, bands, min_words, max_repeat)
+            rows = judge(batch.column(2).to_pylist(), batch.column(1).to_pylist(), vocabulary, bands, min_words, max_repeat)
             new = [pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *new], names=[*keep, *made])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new], names=["row", *made])
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(run, row_schema(inner, f"{COUNTS}, {VERDICT}")).select(*fields_of(keep), *made)
+
+
+def fit_bands(df: DataFrame, file: str, text: str = "text", lang: str = "lang", sample: int = 20_000, share: float = 0.001, symbols: float = 0.02) -> dict[str, Band]:
+    """Bands by language from the clean texts of a corpus, for ``quality_rules``.
+
+    Clean are texts that pass the base rules and in which at most a share of ``symbols`` of all characters
+    are symbols. Of each language about ``sample`` rows are measured, chosen by a hash of their text; the
+    share ``share`` of the clean ones lies below each lower bound. Other bounds are those of Latin.
+    """
+    rows = df.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    at = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
+    rows = rows.join(sizes, "lang").where(at < F.lit(float(sample)) / F.col("rows")).select("lang", "text")
+    seen = quality_rules(rows, file, ["lang"]).where(~F.col("base_failed") & (F.col("n_symbols") <= symbols * F.col("word_chars")))
+    chars = F.col("chars_per_token") + SPREAD / F.sqrt("n_words")
+    entropy = F.col("token_entropy") + SLOPE * F.log2(F.greatest(F.lit(1.0), FULL / F.col("n_words")))
+    found = seen.groupBy("lang").agg(F.percentile_approx(chars, F.lit(share), F.lit(100_000)).alias("chars"), F.percentile_approx(entropy, F.lit(share), F.lit(100_000)).alias("entropy"))
+    base = BANDS["latin"]
+    return {r["lang"]: Band(r["chars"], base.max_chars_per_token, base.max_byte_share, r["entropy"], SPREAD) for r in found.collect()}

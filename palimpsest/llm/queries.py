@@ -19,7 +19,7 @@ from .embeddings import near_vectors
 from .langid import cross_identify
 from .lm import cross_entropy_difference
 from .mixing import mix
-from .quality import quality_rules
+from .quality import LANGUAGES, quality_rules
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
 
@@ -76,7 +76,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structural counts and fertility verdict of every document."""
-    out = quality_rules(read_table(spark, sf_dir, "documents"), PIECES, keep=["doc_id"])
+    out = quality_rules(read_table(spark, sf_dir, "documents"), PIECES, keep=["doc_id"], lang="lang", bands=LANGUAGES)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("chars_per_token", 6).alias("chars_per_token"), F.round("byte_share", 6).alias("byte_share"), F.round("token_entropy", 6).alias("token_entropy"), "band")
 
 

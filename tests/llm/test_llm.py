@@ -277,6 +277,55 @@ def test_quality_rejects_texts_without_letters(spark):
     assert quality.band_of("12 3 😀") == "none" and quality.band_of("สวัสดี") == "other"
 
 
+def test_quality_counts_beyond_21_bits():
+    ids = np.array([0, 1 << 21, 7, 9, 1, 0, 7, 11, 12])
+    assert quality.repeated_words(ids) == 0 and quality.repeated_words(np.array([0, 1 << 40, 7, 9, 0, 1 << 40, 7])) == 6
+    assert quality.repeated_words(np.array([(1 << 31) - 1, (1 << 31) - 2] * 4)) == 8
+
+
+def test_quality_each_measure_rejects(spark):
+    """Texts that the base rules keep and that one measure alone rejects; the verdict against brute force."""
+    import sentencepiece
+
+    random.seed(8)
+    prose = [w for w in PROSE.split() if w.isalpha()]
+    short = " ".join("".join(random.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(400))  # few characters a token
+    bytes_ = " ".join(f"{w}\U00013000" if len(w) > 5 else w for w in prose)  # byte fallback in every long word
+    few = " ".join(prose[k % 6] for k in (int(x) for x in random.choices(range(6), k=400)))  # few different tokens
+    few = " ".join(x + ("" if k % 9 else "s") for k, x in enumerate(few.split()))
+    texts = [short, bytes_, few, PROSE, " ".join(random.sample(prose, 60)), *EDGES]
+    langs = ["en", "xx", "en", "en", None] + ["en"] * len(EDGES)
+    df = spark.createDataFrame([(i, t, x, "clash", 1) for i, (t, x) in enumerate(zip(texts, langs, strict=True))], "doc_id long, text string, lang string, row string, f0 int")
+    got = {r["doc_id"]: r for r in quality.quality_rules(df, PIECES, keep=["doc_id", "row", "f0", "text", "lang"], lang="lang", bands=quality.LANGUAGES, max_repeat=100).collect()}
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for i, text in enumerate(texts):
+        words = (text or "").encode().split()
+        ids = [x for w in words for x in model.encode(w.decode())]
+        r, band = got[i], quality.LANGUAGES["en"] if langs[i] == "en" else quality.BANDS[quality.band_of(text or "")]
+        per = len(b"".join(words).decode()) / len(ids) if ids else 0.0
+        share = sum(model.is_byte(x) for x in ids) / len(ids) if ids else 0.0
+        entropy = -sum(n / len(ids) * math.log2(n / len(ids)) for n in Counter(ids).values()) if ids else 0.0
+        assert (r["chars_per_token"], r["byte_share"], r["token_entropy"]) == pytest.approx((per, share, entropy))
+        n = max(1, len(words))
+        out = [not band.min_chars_per_token - band.spread / math.sqrt(n) <= per <= band.max_chars_per_token, share > band.max_byte_share, entropy < band.min_entropy - 0.29 * max(0, math.log2(400 / n))]
+        assert r["base_failed"] == (len(words) < 50) and r["kept"] == (not r["base_failed"] and not any(out)), i
+        assert (r["row"], r["f0"], r["text"]) == ("clash", 1, text)
+        if i < 3:
+            assert out == [i == 0, i == 1, i == 2] and not r["base_failed"]
+    assert got[3]["kept"] and got[4]["kept"]
+    assert quality.quality_rules(df.where("false"), PIECES, keep=["doc_id"]).count() == 0
+
+
+def test_quality_bands_of_a_corpus(spark):
+    random.seed(2)
+    words = PROSE.split()
+    texts = [" ".join(random.choices(words, k=100)) for _ in range(200)] + [" ".join(f"{w}###" for w in words), "short", None]
+    bands = quality.fit_bands(docs(spark, texts), PIECES, share=0.01)
+    found = quality.quality_rules(docs(spark, texts), PIECES, keep=["doc_id"], lang="lang", bands=bands).orderBy("doc_id").collect()
+    assert set(bands) == {"en"} and sum(r["kept"] for r in found[:200]) >= 190 and not found[200]["kept"]
+    assert quality.fit_bands(docs(spark, texts).where("false"), PIECES) == {}
+
+
 def test_language(spark):
     random.seed(1)
     words = {"aa": ["alpha", "beta", "gamma", "delta"], "bb": ["uno", "dos", "tres", "cuatro"]}

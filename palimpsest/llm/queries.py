@@ -18,7 +18,7 @@ from .common import new_path, read_table
 from .embeddings import near_vectors
 from .langid import cross_identify
 from .lm import cross_entropy_difference
-from .mixing import mix
+from .mixing import longer, mix
 from .quality import LANGUAGES, quality_rules
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
@@ -50,8 +50,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words a mix of all documents takes of each."""
-    mixed = mix(read_table(spark, sf_dir, "documents"))
+    """The words a mix of all documents takes of each; within a source longer documents are preferred."""
+    mixed = mix(read_table(spark, sf_dir, "documents"), prefer=longer(F.col("text")))
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
 
 

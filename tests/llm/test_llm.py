@@ -449,6 +449,64 @@ def test_pareto_inclusion(spark):
     assert odd == pytest.approx(0.75, abs=0.05) and sum(r["__taken"] for r in got) == 1000
 
 
+def test_mixing_repeated_rows_keep_the_target(spark):
+    """One row makes up 90 % of a source; some of its repeats are taken, and the target is met."""
+    rows = [(i, " ".join(["w"] * (5 + i % 50)), "s", "a", i, 0) for i in range(500)] + [(777, "w " * 20, "s", "b", 777, 1)] * 4500
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __source string, __hash int, row int")
+    for prefer in (None, mixing.longer(F.col("text"))):
+        for parts in (7,):
+            got = mixing.mix(df.repartition(parts, "doc_id").coalesce(5), share=0.4, weights=(1.0,), prefer=prefer).collect()
+            target = got[0]["__target"]
+            assert target == pytest.approx(0.4 * sum(len(r[1].split()) for r in rows)) and len(got) == 5000
+            assert abs(sum(r["__taken"] for r in got) - target) <= 20
+            copies = [r["__taken"] for r in got if r["doc_id"] == 777]
+            assert 0 < sum(copies) < 4500 * 20 and set(copies) <= {0, 20, 40}
+            assert {r["__source"] for r in got} == {"a", "b"} and all(r["row"] in (0, 1) for r in got)
+
+
+def test_mixing_goes_on_behind_long_documents(spark):
+    """A document longer than what is left shuts none out; the draw against a plain loop over ranks."""
+    random.seed(14)
+    rows = [(i, "w " * (3000 if i % 40 == 0 else random.randint(1, 60)), f"s{i % 3}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for share in (0.3, 1.6):
+        for prefer in (None, mixing.longer(F.col("text"))):
+            got = mixing.mix(df, share=share, prefer=prefer).collect()
+            for s in ("s0", "s1", "s2"):
+                of = [r for r in got if r["source"] == s]
+                taken, target = sum(r["__taken"] for r in of), of[0]["__target"]
+                gap = target - taken  # no document left would make it smaller
+                assert abs(gap) <= 30 or all(abs(gap - r["__size"]) >= abs(gap) for r in of if r["__taken"] < (2 if share > 1 else 1) * r["__size"]), (share, s, gap)
+    got = mixing.mix(df, share=0.3).collect()
+    key = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("h")).collect()}
+    for s in ("s0", "s1", "s2"):
+        of = [r for r in got if r["source"] == s]
+        left, p, want = of[0]["__target"], of[0]["__target"] / of[0]["__source_size"], set()
+
+        def rank(r, p=p):
+            u = ((key[r["doc_id"]] % (1 << 64) >> 12) + 0.5) / (1 << 52)
+            return u / (1 - u) * (1 - p) / p, key[r["doc_id"]]
+
+        queue, target, first = sorted(of, key=rank), left, True
+        while True:
+            most, some, rest = (float("inf") if first else left / 2), 0, []
+            for n, r in enumerate(queue):
+                if r["__size"] > most:
+                    continue
+                if r["__size"] > left:
+                    rest = queue[n + 1 :]
+                    break
+                want.add(r["doc_id"])
+                left -= r["__size"]
+                some += 1
+            queue, first = rest, False
+            if not some or left <= target * mixing.NEAR:
+                break
+        fit = min((r for r in of if r["doc_id"] not in want), key=lambda r: (abs(left - r["__size"]), rank(r)))
+        want |= {fit["doc_id"]} if abs(left - fit["__size"]) < left else set()
+        assert {r["doc_id"] for r in of if r["__taken"]} == want
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 2, "user", "bye"), (2, 0, "system", "s"), (2, 1, "assistant", "a <|im_end|> b"), (3, 0, "user", None), (4, 0, None, "x"), (65, 0, "assistant", "alone"), (None, 0, "user", "n")]
     turns = chat.turns_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))

@@ -3,14 +3,17 @@
 Known words score by their log frequency in each language. An unseen word falls back to its longest known
 character n-grams, then to shorter ones, with a fixed penalty for each step down, and at last to a floor.
 
-Frequencies are counted over all training rows of a sample whose size is a parameter, as grouped sums; the
-model that goes to the workers holds at most ``WORDS`` words and ``GRAMS`` n-grams of each length a language.
+Frequencies are counted over all training rows of a sample whose size is a parameter, as grouped sums. The
+model that goes to the workers is sparse: (item, language, gain) rows for the languages that have an item,
+over a floor for those that lack it. It holds at most ``WORDS`` words and ``GRAMS`` n-grams of each length a
+language, and at most about ``ITEMS`` rows over all languages, which bounds its broadcast.
 """
 
 from __future__ import annotations
 
 import gc
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, by_size, materialise
+from .common import arrow_map, by_size, fields_of, materialise, row_schema, worker_cache
 
 #: Expected training documents of each language; a hash of the text chooses them.
 SAMPLE = 4000
@@ -28,6 +31,11 @@ SAMPLE = 4000
 WORDS = 50_000
 GRAMS = 20_000
 LONGEST = 5
+#: Rows of the model over all languages: with very many languages each keeps fewer items, ``FEWEST`` at least.
+ITEMS = 8_000_000
+FEWEST = 200
+#: Numbers in a worker's memo of word scores.
+MEMO = 20_000_000
 #: Subtracted in log space for each step from words to shorter and shorter n-grams.
 STEP_DOWN = 1.0
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -45,47 +53,73 @@ def grams_of(word: str, size: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies by language: words, and n-grams by length."""
+    """Log frequencies by language of words (size 0) and n-grams (by length), sparse.
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]]):
-        self.languages, self.words, self.grams = languages, words, grams
-        self.memo: dict[str, np.ndarray] = {}
+    ``items``: (item, size, language's place, gain over the floor), rows of an item together; ``floors``:
+    by size and language, what a lacking item counts.
+    """
+
+    def __init__(self, languages: list[str], floors: np.ndarray, items: pa.Table):
+        self.languages, self.floors, self.items = languages, floors, items
+        self.tables: list[dict[str, tuple[int, int]]] = [{} for _ in range(LONGEST + 1)]
+        names, sizes = items.column("item").to_pylist(), items.column("size").to_pylist()
+        self.place, self.gain = (items.column(c).to_numpy() for c in ("place", "gain"))
+        start = 0
+        for k in range(1, len(names) + 1):
+            if k == len(names) or names[k] != names[start] or sizes[k] != sizes[start]:
+                self.tables[sizes[start]][names[start]] = (start, k)
+                start = k
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.scores = np.zeros((1024, len(self.languages)))
 
     def word_score(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        held = self.memo.get(word)
-        if held is None:
-            held = self._back_off(word)
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            self.memo[word] = held
-        return held
-
-    def _back_off(self, word: str) -> np.ndarray:
-        for step, size in enumerate(range(LONGEST, 0, -1), 1):
-            table = self.grams[size - 1]
-            found = [table[g] for g in grams_of(word, size) if g in table]
+        """The score of a word in each language, by the word itself or its longest known n-grams."""
+        for step, size in enumerate([0, *range(LONGEST, 0, -1)]):
+            table = self.tables[size]
+            found = [x for x in map(table.get, grams_of(word, size) if size else [word]) if x is not None]
             if found:
-                return np.mean(found, axis=0) - STEP_DOWN * step
+                gain = np.zeros(len(self.languages))
+                for a, b in found:
+                    gain[self.place[a:b]] += self.gain[a:b]
+                return self.floors[size] + gain / len(found) - STEP_DOWN * step
         return np.zeros(len(self.languages))
 
+    def _number(self, words: list[str]) -> list[int]:
+        fresh = set(words).difference(self.numbers)
+        if fresh and (len(self.numbers) + len(fresh)) * max(1, len(self.languages)) > MEMO:
+            self._clear()
+            fresh = set(words)
+        for word in fresh:
+            k = len(self.numbers)
+            if k == len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.scores[k] = self.word_score(word)
+            self.numbers[word] = k
+        return list(map(self.numbers.__getitem__, words))
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """The most likely language (the first of ties) and its probability, given the mean word score."""
-        counts = words_of(text or "")
-        if not counts or not self.languages:
+        words = LETTERS.findall((text or "").lower())
+        if not words or not self.languages:
             return "und", 0.0
         total = np.zeros(len(self.languages))
-        for word, n in counts.items():
-            total += n * self.word_score(word)
+        for k in range(0, len(words), BLOCK):
+            numbers = self._number(words[k : k + BLOCK])  # they hold until the next call
+            total += self.scores[numbers].sum(0)
         # words of a text are not independent: its root mean is what its length is worth
-        total = total / math.sqrt(counts.total())
+        total = total / math.sqrt(len(words))
         odds = np.exp(total - total.max())
         best = int(total.argmax())
         return self.languages[best], float(odds[best] / odds.sum())
 
 
+#: Words looked at once.
+BLOCK = 100_000
+
+
 def _counts(rows: DataFrame) -> DataFrame:
     """``lang``, ``size`` (0: a word), ``item``, ``n`` over training rows (lang, text)."""
 
@@ -110,12 +144,11 @@ def _counts(rows: DataFrame) -> DataFrame:
     return by_word.select("lang", F.lit(0).alias("size"), "item", "n").unionAll(by_gram)
 
 
-def _frequent(counts: DataFrame) -> DataFrame:
-    """The most frequent items of each language and size.
+def _frequent(counts: DataFrame, most: Column) -> DataFrame:
+    """The ``most`` most frequent items of each language and size.
 
     Ranked in two steps, so that no task sorts a whole language: first within 64 parts of it.
     """
-    most = F.when(F.col("size") == 0, WORDS).otherwise(GRAMS)
     for part in ([F.pmod(F.xxhash64("item"), F.lit(64))], []):
         w = Window.partitionBy("lang", "size", *part).orderBy(F.col("n").desc(), "item")
         counts = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("rank")
@@ -132,18 +165,17 @@ def train(rows: DataFrame, text: str, lang: str, sample: int = SAMPLE) -> Model:
     share = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
     rows = rows.join(materialise(sizes, "languages"), "lang").where(share < F.lit(float(sample)) / F.col("rows"))
     counts = materialise(_counts(rows.select("lang", "text")), "counts")
-    totals = {(r["lang"], r["size"]): (r["n"], r["kinds"]) for r in counts.groupBy("lang", "size").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
-    kept = _frequent(counts).toArrow()  # bounded by WORDS and GRAMS a language
+    totals = {(r["lang"], r["size"]): r["n"] + r["kinds"] for r in counts.groupBy("lang", "size").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
     languages = sorted({k[0] for k in totals})
-    column = {x: i for i, x in enumerate(languages)}
     # an item that a language lacks counts as a fraction of one that it has seen once
-    floors = [np.array([math.log(0.1 / (totals[x, size][0] + totals[x, size][1])) if (x, size) in totals else -30.0 for x in languages]) for size in range(LONGEST + 1)]
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-    for x, size, item, n in zip(*(kept.column(c).to_pylist() for c in ("lang", "size", "item", "n")), strict=True):
-        if item not in tables[size]:
-            tables[size][item] = floors[size].copy()
-        tables[size][item][column[x]] = math.log(n / (totals[x, size][0] + totals[x, size][1]))
-    return Model(languages, tables[0], tables[1:])
+    floors = np.array([[math.log(0.1 / totals[x, size]) if (x, size) in totals else -30.0 for x in languages] for size in range(LONGEST + 1)]).reshape(LONGEST + 1, len(languages))
+    each = max(FEWEST, ITEMS // max(1, (LONGEST + 1) * len(languages)))
+    kept = _frequent(counts, F.when(F.col("size") == 0, min(WORDS, each)).otherwise(min(GRAMS, each))).toArrow().sort_by([("size", "ascending"), ("item", "ascending")])
+    place = np.searchsorted(np.array(languages, object), np.array(kept.column("lang").to_pylist(), object)) if kept.num_rows else np.zeros(0, np.int64)
+    size = kept.column("size").to_numpy()
+    whole = np.array([[totals.get((x, k), 1) for x in languages] for k in range(LONGEST + 1)], float).reshape(LONGEST + 1, len(languages))
+    gain = np.log(kept.column("n").to_numpy() / whole[size, place]) - floors[size, place]
+    return Model(languages, floors, pa.table({"item": kept.column("item"), "size": kept.column("size"), "place": pa.array(place.astype(np.int32)), "gain": pa.array(gain)}).combine_chunks())
 
 
 def held_out(doc_id: Column) -> Column:
@@ -157,20 +189,20 @@ def identify(df: DataFrame, model: Model, keep: list[str | Column], text: str =
     ``und`` with score 0 where a text is null or has no letter, or where nothing has been learned. Row by
     row: repeated rows stay; an empty table gives an empty one.
     """
-    inner = df.select(*keep, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    names = [c for c in inner.columns[:-1] if c not in ("lang_pred", "score")]
-    inner = inner.select(*[f"`{c}`" for c in names], "__text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1]), "lang_pred string, score double"])
-    sent = df.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams))
+    named = [c for c in df.select(*keep).columns]
+    extra = [F.col(f"`{c}`") if isinstance(c, str) else c for c in keep]
+    names = [(k, c) for k, c in enumerate(named) if c not in ("lang_pred", "score")]
+    inner = df.select(F.struct(F.lit(0).alias("none"), *[extra[k].alias(f"f{i}") for i, (k, _) in enumerate(names)]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    sent, mark = df.sparkSession.sparkContext.broadcast((model.languages, model.floors, model.items)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
-        model = Model(*sent.value)
+        model = worker_cache(("languages", mark), lambda: Model(*sent.value))
         for batch in (part for whole in batches for part in by_size(whole)):
-            found = [model.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, "lang_pred", "score"])
+            found = [model.predict(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["row", "lang_pred", "score"])
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(run, row_schema(inner, "lang_pred string, score double")).select(*fields_of([c for _, c in names]), "lang_pred", "score")
 
 
 def cross_identify(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> DataFrame:

@@ -26,11 +26,19 @@ from pyspark.sql import functions as F
 from .common import arrow_map, materialise
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Records in a file at most, so that a reader can hold one file.
+#: Bytes of an archive at most, so that a reader can hold one, unless one record is larger; records beyond
+#: ``LARGE`` bytes have archives of their own.
+ARCHIVE = 1 << 28
+LARGE = 1 << 20
+#: Records in an archive at most.
 RECORDS = 20_000
+#: Bytes that a gzip member may inflate to; a larger one is quarantined.
+MEMBER = 1 << 30
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 ENDS = b"\r\n\r\n"
+#: Bytes of a record's headers at most, but for its address.
+HEADERS = 1024
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -49,7 +57,8 @@ def _clean(c: Column) -> Column:
 
 
 def records(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2020-01-01T00:00:00Z", least: int = 0) -> DataFrame:
-    """The column ``value``: the text of one record per row of ``df``, without its closing line ends.
+    """The columns ``value``, the text of one record per row of ``df`` without its closing line ends, and
+    ``large``.
 
     Payloads of fewer than ``least`` bytes always make a response. A null html is an empty payload; a
     null url gives no target; a row without id is named ``-`` and is a revisit if its payload has a row
@@ -70,16 +79,25 @@ def records(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str
         F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:x-page:"), F.col("first"), F.lit(">"))).otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block), F.lit(ENDS.decode()),
     )
-    return rows.select(F.concat(head, block).alias("value"))
+    return rows.select(F.concat(head, block).alias("value"), (F.col("bytes") > LARGE).alias("large"))
 
 
 def write(df: DataFrame, path: str, compression: str | None = None, **names) -> None:
     """Writes the records of ``df`` as archives into the folder ``path``.
 
-    ``compression="gzip"`` makes each file one gzip member. No rows give an empty folder.
+    ``compression="gzip"`` makes each file one gzip member. No rows give an empty folder. Archives are
+    bounded by bytes: the largest record says how many go into one, for large and other records apart.
     """
-    sink = records(df, **names).write.option("lineSep", ENDS.decode()).option("maxRecordsPerFile", RECORDS)
-    (sink.option("compression", compression) if compression else sink).text(path)
+    rows = records(df, **names)
+    html = F.octet_length(F.coalesce(F.col(f"`{names.get('html', 'html')}`"), F.lit("")))
+    large = html > LARGE
+    sizes = df.select(html.alias("n"), large.alias("large"), F.octet_length(F.coalesce(F.col(f"`{names.get('url', 'url')}`").cast("string"), F.lit(""))).alias("url"))
+    most = {r["large"]: r["most"] for r in sizes.groupBy("large").agg(F.max(F.col("n") + F.col("url")).alias("most")).collect()}
+    for k, kind in enumerate(sorted(most) or [False]):
+        per_file = max(1, min(RECORDS, ARCHIVE // (most.get(kind, 0) + HEADERS)))
+        part = rows if len(most) < 2 else rows.where(F.col("large") == kind)
+        sink = part.select("value").write.mode("append" if k else "errorifexists").option("lineSep", ENDS.decode()).option("maxRecordsPerFile", per_file)
+        (sink.option("compression", compression) if compression else sink).text(path)
 
 
 class Record(NamedTuple):
@@ -157,9 +175,11 @@ def _member(data: bytes, at: int) -> tuple[bytes, int]:
     """The content of the gzip member at ``at`` and where it ends."""
     unzip = zlib.decompressobj(31)
     try:
-        content = unzip.decompress(memoryview(data)[at:]) + unzip.flush()
+        content = unzip.decompress(memoryview(data)[at:], MEMBER)
     except zlib.error as e:
         raise Damaged(f"bad gzip member: {e}") from e
+    if unzip.unconsumed_tail:
+        raise Damaged(f"the gzip member holds more than {MEMBER} bytes")
     if not unzip.eof:
         raise Damaged("the gzip member does not end")
     return content, len(data) - len(unzip.unused_data)

@@ -29,10 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, worker_cache
+from .common import by_size, fields_of, row_of, row_schema, worker_cache
 
 #: Entries kept by each memo of a worker; the memo is emptied when it is full, which costs time only.
 MEMO = 300_000
+#: Characters that both memos hold at most, however long their entries are.
+MEMO_CHARS = 40_000_000
 NEVER = 1 << 60
 #: Pre-tokens of up to so many bytes are encoded side by side.
 WIDE = 32
@@ -145,6 +147,7 @@ class PrefixBpe:
         self._fits: dict[int, bool] = {}
         self._words: dict[str, tuple[int, ...]] = {}
         self._pieces_memo: dict[str, tuple[int, ...]] = {}
+        self._held = 0
         #: Tokens that their own merges make; any other is never the result of an encoding.
         made = {t for t, (_, left, right) in self.parts.items() if self._seam_free(left, right, self.parts[t][0])}
         self.match = SuffixAutomaton(sorted((b, t) for b, t in ((self.bytes_of[t], t) for t in vocab.values() if t not in self.special.values()) if len(b) == 1 or t in made))
@@ -346,10 +349,12 @@ class PrefixBpe:
         other text is split as a whole.
         """
         words, pieces = self._words, self._pieces_memo
-        if len(words) > 2 * MEMO:
+        if len(words) > 2 * MEMO or self._held > MEMO_CHARS:
             words.clear()
-        if len(pieces) > MEMO:
+        if len(pieces) > MEMO or self._held > MEMO_CHARS:
             pieces.clear()
+        if not pieces and not words:
+            self._held = 0
         keyed: list[list[str]] = []
         for text in texts:
             if any(s in text for s in self.apart) or self._odd.search(text) is not None:
@@ -367,6 +372,7 @@ class PrefixBpe:
         fresh = set().union(*keyed).difference(words)
         parts = {w: (w,) if w in self.special or w[1:].isalpha() and (w[0] == " " or w[0].isalpha()) else self._pieces(w) for w in fresh}
         new = {p for ps in parts.values() for p in ps}.difference(pieces)
+        self._held += sum(map(len, fresh)) + sum(map(len, new))
         raw = [(p.encode(), p) for p in new]
         short = [x for x in raw if len(x[0]) <= WIDE]
         long = sorted(x for x in raw if len(x[0]) > WIDE)
@@ -406,17 +412,15 @@ def encode_documents(df: DataFrame, file: str, text: str = "text", keep_ids: boo
     """
     made = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids + ["decoded"] * keep_text
     rest = [c for c in (df.columns if keep is None else keep) if c not in made]
-    inner = df.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1]), "n_tokens long, ids_sha256 string, decoded_sha256 string"] + ["ids array<int>"] * keep_ids + ["decoded string"] * keep_text)
-
-    names = [*inner.columns[:-1], "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids, *["decoded"] * keep_text]
+    inner = df.select(row_of(rest), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    schema = row_schema(inner, ", ".join(["n_tokens long, ids_sha256 string, decoded_sha256 string"] + ["ids array<int>"] * keep_ids + ["decoded string"] * keep_text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the memos hold no cycles, and walking them again and again takes a third of the time
         bpe = loaded(file)
         for batch in (part for whole in batches for part in by_size(whole)):
             n, ids_hash, text_hash, all_ids, all_texts = [], [], [], [], []
-            for ids in bpe.encode_batch(batch.column(batch.num_columns - 1).to_pylist()):
+            for ids in bpe.encode_batch(batch.column(1).to_pylist()):
                 decoded = bpe.decode(ids)
                 n.append(len(ids))
                 ids_hash.append(hashlib.sha256(",".join(map(bpe.digits.__getitem__, ids)).encode()).hexdigest())
@@ -427,6 +431,6 @@ def encode_documents(df: DataFrame, file: str, text: str = "text", keep_ids: boo
                     all_texts.append(decoded)
             new = [pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
             new += [pa.array(all_ids, pa.list_(pa.int32()))] * keep_ids + [pa.array(all_texts, pa.string())] * keep_text
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new], names=["row", *made])
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(run, schema).select(*fields_of(rest), *made)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +24,15 @@ from .quality import LANGUAGES, quality_rules
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
 
-#: Folder of the public tokenisers' files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
-PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+
+def tokenizer(name: str) -> str:
+    """The file of a public tokeniser; ``TOKENIZERS_DIR`` names another folder of them."""
+    folder = os.environ.get("TOKENIZERS_DIR")
+    return f"{folder}/{name}" if folder else str(public_tokenizers.path(name))
+
+
+BYTE_BPE = tokenizer("byte_bpe_50k.json")
+PIECES = tokenizer("piece_bpe_32k.model")
 
 
 def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +42,7 @@ def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents."""
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("group")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,11 +87,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives of all pages, written into the shared folder and read back."""
+    """Archives of all pages, written into the shared folder and read back; a quarantined gap in them fails."""
     path = new_path(spark, "archives")
     warc.write(read_table(spark, sf_dir, "pages"), path)
-    found = warc.read(spark, path, payloads=False).where("gap IS NULL")
-    return found.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
+    found = warc.read(spark, path, payloads=False)
+    lost = F.raise_error(F.concat_ws(" ", "file", "offset", "gap")).cast("long")
+    return found.select(F.when(F.col("gap").isNotNull(), lost).otherwise(warc.page_of(F.col("record_id"))).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
 
 
 QUERIES = {

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, by_size, materialise
+from .common import arrow_map, by_size, fields_of, materialise, row_of, row_schema
 from .graph import connected_components
 
 BITS = 64
@@ -69,15 +69,15 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """``__id`` and ``__fp`` (the fingerprint as a signed long) of every row."""
+def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, keep: list[str] | None = None) -> DataFrame:
+    """``__id`` and ``__fp`` (the fingerprint as a signed long) of every row, and ``row`` with the columns ``keep``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [fingerprint(t, words) for part in by_size(batch) for t in part.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(got, np.uint64).view(np.int64))], names=["__id", "__fp"])
+        got = [fingerprint(t, words) for part in by_size(batch) for t in part.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(got, np.uint64).view(np.int64))], names=["row", "__id", "__fp"])
 
-    kept = df.select(F.col(f"`{doc_id}`").cast("long").alias("__id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    return arrow_map(kept, run, "__id long, __fp long")
+    kept = df.select(row_of(keep or []), F.col(f"`{doc_id}`").cast("long").alias("__id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    return arrow_map(kept, run, row_schema(kept, "__id long, __fp long"))
 
 
 def _signed(mask: int) -> int:
@@ -116,8 +116,10 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = 64) -> DataFrame:
     return out.distinct()
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, words: int = 3) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` for every row.
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, words: int = 3, keep: list[str] | None = None) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` and ``group`` for every row.
+
+    ``group`` names a component whatever its ids; the columns ``keep`` follow.
 
     Documents whose fingerprints differ in at most ``radius`` bits are linked; ``component_id`` is the
     smallest id reachable by links. Equal fingerprints are brought together first, so copies make no pairs.
@@ -125,11 +127,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     component id unless all of its component are null; repeated rows and ids each give a row; an empty
     table gives an empty one.
     """
-    fps = materialise(fingerprints(df, doc_id, text, words), "fingerprints")
+    fps = materialise(fingerprints(df, doc_id, text, words, keep), "fingerprints")
     nodes = fps.groupBy(F.col("__fp").alias("fp")).agg(F.min("__id").alias("least"))
     parts = connected_components(links(nodes.select("fp"), radius))
     # nodes without links are components of their own
     nodes = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     roots = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.select("fp", "root").join(roots, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return fps.join(named, "__fp").select(F.col("__id").alias(doc_id), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = nodes.select("fp", "root").join(roots, "root").select(F.col("fp").alias("__fp"), "component_id", "root")
+    return fps.join(named, "__fp").select(F.col("__id").alias(doc_id), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("root").alias("group"), *fields_of(keep or []))

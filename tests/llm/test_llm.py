@@ -342,6 +342,49 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.cross_identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_equals_brute_force(spark):
+    """Every word, n-gram, back-off and floor against plain dictionaries."""
+    import regex
+
+    random.seed(12)
+    stems = {"aa": ["katto", "talo", "vesi", "metsä"], "bb": ["haus", "baum", "wasser", "straße"], "cc": ["дом", "вода", "лес"]}
+    texts = [(i, " ".join(random.choice(stems[x]) + random.choice(["", "n", "en", "e", "s"]) for _ in range(random.randint(1, 30))), x) for i, x in enumerate(["aa", "bb", "cc", "aa"] * 25)]
+    texts += [(300, "talossa hausern 12 zzz", None), (301, "вод", None), (302, "Ωmega", "bb"), (303, " ".join(["talo", "haus"] * 60_000), None)]
+    df = spark.createDataFrame([(*t, "clash", 1) for t in texts], "doc_id long, text string, lang string, row string, f0 int")
+    letters = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+    count = {}
+    for i, text, lang in texts:
+        if lang and zlib.crc32(str(i).encode()) % 3 != 1:
+            for w in letters.findall(text.lower()):
+                for size in range(6):
+                    for g in langid.grams_of(w, size) if size else [w]:
+                        count.setdefault((lang, size), Counter())[g] += 1
+    langs = sorted({k[0] for k in count})
+    want = {}
+    for i, text, _ in texts:
+        words = letters.findall(text.lower())
+        total = []
+        for x in langs:
+            s = 0.0
+            for w, times in Counter(words).items():
+                for step, size in enumerate([0, 5, 4, 3, 2, 1]):
+                    every = langid.grams_of(w, size) if size else [w]
+                    known = [g for g in every if any(g in count.get((y, size), ()) for y in langs)]
+                    if known:
+                        c = count[x, size]
+                        whole = c.total() + len(c)
+                        s += times * (sum(math.log((c[g] or 0.1) / whole) for g in known) / len(known) - langid.STEP_DOWN * step)
+                        break
+            total.append(s / math.sqrt(len(words)))
+        odds = [math.exp(t - max(total)) for t in total]
+        want[i] = (langs[total.index(max(total))], max(odds) / sum(odds))
+    for r in langid.cross_identify(df, sample=10**9).collect():
+        assert r["lang_pred"] == want[r["doc_id"]][0] and r["score"] == pytest.approx(want[r["doc_id"]][1], abs=1e-9), r
+    kept = langid.identify(df, langid.train(df, "text", "lang"), ["doc_id", "row", "f0", "text"]).collect()
+    assert {(r["row"], r["f0"]) for r in kept} == {("clash", 1)} and len(kept) == len(texts)
+    assert langid.cross_identify(df.where("false")).count() == 0
+
+
 def test_scoring(spark):
     texts = ["good words are here", "good words are there", "bad noise"] * 5 + [None, "", "good words", "noise bad"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -544,6 +587,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.records(df, least=1).where("value like '%WARC-Type: revisit%'").count() == 3
 
 
+def test_warc_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE", 20_000)
+    monkeypatch.setattr(warc, "LARGE", 3000)
+    df = spark.createDataFrame([(i, "u", f"{i} " + "x" * (5000 if i % 10 == 0 else 900), "clash") for i in range(100)], "page_id long, url string, html string, payload string").coalesce(1)
+    warc.write(df, str(tmp_path / "w"))
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) > 5 and max(sizes) <= 20_000
+    got = warc.read(spark, str(tmp_path / "w"))
+    assert got.where("gap is null").count() == 100 and got.where("record_type = 'response'").count() == 100
+    warc.write(df.where("false"), str(tmp_path / "none"))
+    assert warc.read(spark, str(tmp_path / "none")).count() == 0
+    monkeypatch.setattr(warc, "MEMBER", 50)
+    assert [r.reason is None for r in warc.salvage(gzip.compress(record(1, b"y" * 500)))] == [False]
+
+
 def record(n, body):
     digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
     return f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:{n}>\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
@@ -595,7 +653,8 @@ def test_pipeline(spark, tmp_path):
     shared = prose(60)
     texts = [prose(120) for _ in range(12)] + [prose(90) + " " + shared, prose(90) + " " + shared, "too short", "again and again " * 60, None]
     texts += [texts[0], texts[1].upper()]
-    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    # words of random letters are no English: the bands fitted to a language would reject them
+    rows = [(i, t, "xx", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     kept = {r["doc_id"] for r in out}
@@ -606,3 +665,48 @@ def test_pipeline(spark, tmp_path):
         else:
             assert shared[5:200] not in bpe.loaded(BYTE_BPE).decode(r["ids"])
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Null ids, repeated ids on different texts, and repeated rows."""
+    import corpus_pipeline
+
+    random.seed(13)
+    a, b, c, d = (" ".join("".join(random.choice("etaoinshr") for _ in range(5)) for _ in range(80)) for _ in range(4))
+    rows = [(None, a), (None, a), (7, a), (None, b), (None, b.upper()), (3, c), (3, d), (3, d), (3, c.upper()), (9, d), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, lang string, mark int, document int")
+    got = corpus_pipeline.near_copies(spark, df, "").collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in got) == sorted([(7, a), (0, b), (3, c), (3, d), (0, "")])
+    assert {(r["mark"], r["document"]) for r in got} == {(1, 2)}
+    empty = df.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty.select("doc_id", "text", "lang", F.lit("s").alias("source"), "mark"), "").count() == 0, name
+
+
+def test_operators_on_empty_tables(spark):
+    turns = chat.turns_of(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert chat.format_preferences(chat.swapped_pairs(turns), ["conv_id", "rejected_from"]).count() == 0
+    none = docs(spark, ["x"]).where("false")
+    assert lm.cross_entropy_difference(none, none.select("doc_id")).count() == 0
+    assert simhash.near_duplicates(none, keep=["text", "kept"]).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Texts of several megabytes go through whole."""
+    from tokenizers import Tokenizer
+
+    random.seed(15)
+    words = ["".join(random.choice("abcdefgh") for _ in range(random.randint(1, 9))) for _ in range(500)]
+    long = " ".join(random.choices(words, k=450_000))
+    long = long[:1_500_000] + long[100_000:100_700] + long[1_500_000:]
+    df = docs(spark, [long, "short text", long])
+    ids = Tokenizer.from_file(BYTE_BPE).encode(long, add_special_tokens=False).ids
+    got = {r["doc_id"]: r for r in bpe.encode_documents(df, BYTE_BPE, keep=["doc_id"], keep_ids=False).collect()}
+    assert got[0]["n_tokens"] == len(ids) and got[0]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    found = {r["doc_id"]: r for r in quality.quality_rules(df, PIECES, keep=["doc_id"]).collect()}
+    assert found[0]["n_words"] == len(long.split()) and found[0]["word_chars"] == sum(map(len, long.split()))
+    marks = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert marks == {0: 0, 1: 1, 2: 0}
+    rest = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs(spark, [long, "short text"])).collect()}
+    assert rest[0]["n_removed"] >= 1400 and rest[0]["n_bytes"] == len(long) and rest[1]["n_removed"] == 0
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(df).collect()} == {0: len(long), 1: 0, 2: len(long)}

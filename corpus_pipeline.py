@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import encode_documents
 from palimpsest.llm.common import materialise, read_table
-from palimpsest.llm.mixing import mix, repeat
-from palimpsest.llm.quality import quality_rules
+from palimpsest.llm.mixing import longer, mix, repeat
+from palimpsest.llm.quality import LANGUAGES, quality_rules
 from palimpsest.llm.queries import BYTE_BPE, PIECES
 from palimpsest.llm.simhash import near_duplicates
 from palimpsest.llm.suffix_dedup import remove_repeats
@@ -20,18 +20,29 @@ from palimpsest.llm.suffix_dedup import remove_repeats
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; so do null texts."""
-    return quality_rules(docs.withColumn("kept", F.lit(True)), PIECES, docs.columns).where("kept").select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("document"), "text", "lang")
+    return quality_rules(whole, PIECES, ["document"], lang="lang", bands=LANGUAGES).where("kept").select("document.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the document with the smallest id stays; rows that repeat an id are one of them.
+    """Of near duplicates the document with the smallest id stays.
 
-    Documents without id stay if nothing in their group has one.
+    Groups are those of texts, whatever their ids, null and repeated ones included, and one row of each
+    stays: the one with the smallest id (null last), of rows that share it the one whose text has the
+    smallest hash, and of rows alike in both any one.
     """
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    stay = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return stay.withColumn("__first", first).where("__first = 1 or doc_id is null").drop("__first")
+    marked = docs.select(F.struct("*").alias("document"), "doc_id", "text", F.xxhash64("text").alias("mark"))
+    rows = near_duplicates(marked, keep=["mark"]).groupBy("group", "doc_id", "mark").agg(F.count("*").alias("n"))
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("mark"), F.col("n"))).alias("at"))
+    stay = materialise(first.select(F.col("at.doc_id").alias("of_id"), F.col("at.mark").alias("of_mark"), F.col("at.n").alias("n")), "stay")
+
+    def of(some: DataFrame) -> DataFrame:
+        return marked.join(some, F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
+
+    once = of(stay.where("n = 1")).select("document")
+    # repeated rows are combined before their shuffle
+    again = of(stay.where("n > 1")).groupBy("of_id", "of_mark").agg(F.first("document").alias("document")).select("document")
+    return once.unionAll(again).select("document.*")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +54,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as a mix of their sources takes them."""
-    return repeat(mix(docs), docs.columns)
+    """Documents as often as a mix of their sources takes them; within a source longer ones are preferred."""
+    return repeat(mix(docs, prefer=longer(F.col("text"))), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

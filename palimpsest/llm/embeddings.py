@@ -1,11 +1,15 @@
 """Near-duplicate vectors by Euclidean p-stable hashing.
 
-Vectors are normalised, so that cosine c means Euclidean distance sqrt(2 - 2c). Each of ``tables`` tables
+Vectors are normalised, so that cosine c means Euclidean distance sqrt(2 - 2c). Each of a number of tables
 has ``width_k`` random Gaussian directions; a vector's projections, shifted at random and cut into steps of
 ``step``, name its bucket. Vectors that share a bucket in some table are compared exactly.
 
-With the defaults a pair at cosine 0.93 (distance 0.374) shares a projection's step with probability
-0.851, and so a bucket of 6 with 0.380; all of 24 tables miss it with probability 1.1e-5, closer pairs less.
+Two vectors at distance d share a projection's step with probability p(d). ``width_k`` follows from the
+number n of different vectors of the largest label, so that an unrelated vector (at distance sqrt 2) shares
+a bucket with about ``CHANCE`` others by chance, n * p(sqrt 2) ^ width_k = CHANCE; the number of tables
+follows from that, so that a pair right at the threshold is missed by all with probability ``miss`` at most,
+and closer pairs with less. Work grows as n to the power 1.22 then: 15 projections and 100 tables for 10,000
+vectors of a label.
 
 Exact copies are brought together before. Within a bucket, vectors are compared in blocks of ``block``, as
 products of matrices: counts and a spanning forest leave a block, never its pairs. A pair is counted in
@@ -14,7 +18,9 @@ the first table in which it meets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +31,25 @@ from .common import arrow_map, materialise
 from .graph import connected_components
 
 
+#: Unrelated vectors that a vector meets in a table, on average.
+CHANCE = 0.25
+
+
+def collision(distance: float, step: float) -> float:
+    """Probability that two vectors share a projection's step."""
+    r = step / distance
+    tail = 0.5 * math.erfc(r / math.sqrt(2))
+    return 1 - 2 * tail - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+
+
+def parameters(n: int, least: float, step: float, miss: float) -> tuple[int, int]:
+    """Number of tables and of projections a table for ``n`` vectors of a label."""
+    near, far = collision(math.sqrt(max(2 - 2 * least, 1e-9)), step), collision(math.sqrt(2), step)
+    width_k = max(4, math.ceil(math.log(max(n, 2) / CHANCE) / -math.log(far)))
+    return math.ceil(math.log(miss) / math.log1p(-(near**width_k))), width_k
+
+
+@functools.lru_cache(2)
 def directions(dim: int, tables: int, width_k: int, step: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The Gaussian directions and shifts of all tables."""
     random = np.random.default_rng([seed, dim])
@@ -34,12 +59,15 @@ def directions(dim: int, tables: int, width_k: int, step: float, seed: int) -> t
 def signatures(unit: np.ndarray, tables: int, width_k: int, step: float, seed: int) -> np.ndarray:
     """The bucket of each unit vector in each table, as a 64-bit hash of its steps."""
     a, b = directions(unit.shape[1], tables, width_k, step, seed)
-    steps = np.floor((unit @ a + b) / step).astype(np.int64).astype(np.uint64).reshape(len(unit), tables, width_k)
-    out = np.full(steps.shape[:2], np.uint64(0x9E3779B97F4A7C15))
-    for k in range(width_k):
-        out = (out ^ steps[:, :, k]) * np.uint64(0xFF51AFD7ED558CCD)
-        out ^= out >> np.uint64(32)
-    return out.view(np.int64)
+    parts = []
+    for k in range(0, len(unit), 1024):
+        steps = np.floor((unit[k : k + 1024] @ a + b) / step).astype(np.int64).astype(np.uint64).reshape(-1, tables, width_k)
+        out = np.full(steps.shape[:2], np.uint64(0x9E3779B97F4A7C15))
+        for j in range(width_k):
+            out = (out ^ steps[:, :, j]) * np.uint64(0xFF51AFD7ED558CCD)
+            out ^= out >> np.uint64(32)
+        parts.append(out.view(np.int64))
+    return np.concatenate(parts) if parts else np.zeros((0, tables), np.int64)
 
 
 def _unit(batch: pa.RecordBatch, column: int) -> np.ndarray:
@@ -51,7 +79,7 @@ def _unit(batch: pa.RecordBatch, column: int) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def _compare(ids: np.ndarray, left: np.ndarray, unit: np.ndarray, sig: np.ndarray, times: np.ndarray, table: int, inner: bool, least: float) -> tuple[list, list, list]:
+def _compare(ids: np.ndarray, left: np.ndarray, unit: np.ndarray, times: np.ndarray, table: int, inner: bool, least: float, sign: Callable[[np.ndarray], np.ndarray]) -> tuple[list, list, list]:
     """Rows (id, other, links) of one block: a vector's links first met in this table (other: itself), and
     edges of a forest (links 0). ``left`` marks the first side; one side only if ``inner``."""
     if inner:
@@ -66,9 +94,12 @@ def _compare(ids: np.ndarray, left: np.ndarray, unit: np.ndarray, sig: np.ndarra
     i, j = np.nonzero(near)
     i, j = rows[i], cols[j]
     if table and len(i):
+        involved, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        sig = sign(unit[involved])[:, :table]
+        a, b = at[: len(i)], at[len(i) :]
         new = np.ones(len(i), bool)
         for t in range(table):
-            new &= sig[i, t] != sig[j, t]
+            new &= sig[a, t] != sig[b, t]
         i, j = i[new], j[new]
     if not len(i):
         return [], [], []
@@ -100,7 +131,7 @@ def _compare(ids: np.ndarray, left: np.ndarray, unit: np.ndarray, sig: np.ndarra
 
 def near_vectors(
     df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.93,
-    tables: int = 24, width_k: int = 6, step: float = 2.0, block: int = 512, seed: int = 5,
+    tables: int | None = None, width_k: int | None = None, step: float = 2.0, miss: float = 1e-4, block: int = 512, seed: int = 5,
 ) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` for every row.
 
@@ -109,6 +140,7 @@ def near_vectors(
     label. Copies of a vector are links, too. ``component_id`` is the smallest id reachable, ``kept``
     tells whether it is the row's own; a row without id is never kept, unless nothing in its component
     has one, where it is null. An empty table gives an empty result; other columns are not looked at.
+    ``tables`` and ``width_k`` follow from the number of vectors and ``miss`` unless both are given.
     """
     e = F.col(f"`{embedding}`")
     kind = "array<float>" if df.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>"
@@ -121,9 +153,12 @@ def near_vectors(
     keyed = materialise(rows.select("vec_id", "key"), "vectors")
     first = rows.where("good").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"), F.first(F.struct("label", "v")).alias("x"))
     first = first.select(F.xxhash64("key", F.lit(1)).alias("id"), "key", "least", "times", F.to_json(F.struct("x.label")).alias("label"), F.size("x.v").alias("dim"), F.col("x.v").alias("v"))
-    reps = materialise(_signed(first, tables, width_k, step, seed), "representatives")
+    reps = materialise(first, "representatives")
+    if tables is None or width_k is None:
+        largest = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        tables, width_k = parameters(largest or 0, least, step, miss)
 
-    links = materialise(_links(reps, least, block, tables), "links")
+    links = materialise(_links(reps, least, block, tables, width_k, step, seed), "links")
     counts = links.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
     parts = connected_components(links.where("n = 0").select("a", "b"))
     nodes = reps.select("id", "key", "least", "times").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -135,35 +170,40 @@ def near_vectors(
     return out.select(F.col("vec_id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def _signed(first: DataFrame, tables: int, width_k: int, step: float, seed: int) -> DataFrame:
-    """Representatives with their signature."""
+def buckets(reps: DataFrame, tables: int, width_k: int, step: float, seed: int) -> DataFrame:
+    """``id``, table ``t`` and ``bucket`` (which stands for label, length, table and steps) of vectors."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        column = batch.schema.get_field_index("v")
-        sizes = batch.column(batch.schema.get_field_index("dim")).to_numpy()
+        sizes = batch.column(1).to_numpy()
         sig = np.zeros((batch.num_rows, tables), np.int64)
         for dim in np.unique(sizes).tolist():
             at = np.flatnonzero(sizes == dim)
-            sig[at] = signatures(_unit(batch.take(pa.array(at)), column), tables, width_k, step, seed)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel()), tables).cast(pa.list_(pa.int64()))], names=[*batch.schema.names, "sig"])
+            sig[at] = signatures(_unit(batch.take(pa.array(at)), 2), tables, width_k, step, seed)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel()), tables).cast(pa.list_(pa.int64()))], names=["id", "sig"])
 
-    return arrow_map(first, run, f"id long, key string, least long, times long, label string, dim int, v {first.schema['v'].dataType.simpleString()}, sig array<long>")
+    rows = reps.select(F.struct("id", F.xxhash64("label", "dim").alias("h")).alias("id"), "dim", "v")
+    signed = arrow_map(rows, run, "id struct<id:long,h:long>, sig array<long>")
+    at = signed.select("id.id", "id.h", F.posexplode("sig").alias("t", "s"))
+    return at.select("id", "t", F.xxhash64("h", "t", "s").alias("bucket"))
 
 
-def _links(reps: DataFrame, least: float, block: int, tables: int) -> DataFrame:
+def _links(reps: DataFrame, least: float, block: int, tables: int, width_k: int, step: float, seed: int) -> DataFrame:
     """Rows ``a``, ``b``, ``n``: ``n`` links of ``a``, or an edge where ``n`` is 0."""
-    at = reps.select("id", "label", "dim", F.posexplode("sig").alias("t", "s"))
-    sizes = at.groupBy("label", "dim", "t", "s").agg(F.count("*").alias("n")).where("n > 1")
-    at = at.join(sizes, ["label", "dim", "t", "s"])
+    at = buckets(reps, tables, width_k, step, seed)
+    sizes = at.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    at = at.join(sizes, "bucket")
     # buckets of many vectors are compared block by block: own block pairs (i, j) with i <= j
     blocks = F.ceil(F.col("n") / block).cast("int")
     at = at.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.xxhash64("label", "dim", "t", "s", F.least("own", "other"), F.greatest("own", "other"))
-    at = at.select("id", "t", "s", "dim", F.xxhash64("label").alias("lab"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("first"), pair.alias("pair"))
-    at = at.join(reps.select("id", "times", "v", "sig"), "id")
-    group = ["pair", "lab", "dim", "t", "s", "i", "j"]
-    at = at.select(*group, "id", "first", "times", "v", F.slice("sig", F.lit(1), F.col("t")).alias("sig")).repartition("pair").sortWithinPartitions(*group)
+    pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    at = at.select("id", "t", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("first"), pair.alias("pair"))
+    at = at.join(reps.select("id", "times", "v", "dim", F.xxhash64("label").alias("lab")), "id")
+    group = ["pair", "lab", "dim", "bucket", "t", "i", "j"]
+    at = at.select(*group, "id", "first", "times", "v").repartition("pair").sortWithinPartitions(*group)
+
+    def sign(unit: np.ndarray) -> np.ndarray:
+        return signatures(unit, tables, width_k, step, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -190,8 +230,7 @@ def _links(reps: DataFrame, least: float, block: int, tables: int) -> DataFrame:
             v = cols["v"].slice(start, n).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
             v = v / np.abs(v).max(1, keepdims=True)
             v = v / np.sqrt((v * v).sum(1, keepdims=True))
-            sig = cols["sig"].slice(start, n).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            found = _compare(plain["id"][part], plain["first"][part], v, sig, plain["times"][part], int(plain["t"][start]), plain["i"][start] == plain["j"][start], least)
+            found = _compare(plain["id"][part], plain["first"][part], v, plain["times"][part], int(plain["t"][start]), plain["i"][start] == plain["j"][start], least, sign)
             for to, x in zip(out, found, strict=True):
                 to.extend(x)
         if out[0]:

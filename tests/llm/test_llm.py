@@ -164,6 +164,28 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(df.where("false")).count() == 0
 
 
+def test_vector_tables_follow_the_number_of_vectors():
+    """Pairs at the threshold are found, unrelated ones hardly meet, and candidates a vector grow slowly."""
+    random = np.random.default_rng(4)
+    shares = []
+    for n in (500, 8000):
+        tables, width = embeddings.parameters(n, 0.93, 2.0, 1e-4)
+        unit = random.standard_normal((n, 64))
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        away = random.standard_normal((n, 64))
+        away -= (away * unit).sum(1, keepdims=True) * unit
+        away /= np.linalg.norm(away, axis=1, keepdims=True)
+        close = 0.9301 * unit + math.sqrt(1 - 0.9301**2) * away
+        a, b = (embeddings.signatures(x, tables, width, 2.0, 5) for x in (unit, close))
+        assert (a == b).any(1).mean() >= 0.999
+        other = np.roll(a, 1, axis=0)
+        shares.append(n * (a == other).any(1).mean())
+        assert (a == other).any(1).mean() < 0.04
+    assert shares[1] < 4 * shares[0]  # 16 times the vectors
+    assert embeddings.parameters(10_000, 0.93, 2.0, 1e-4) == (100, 15)
+    assert embeddings.parameters(0, 0.93, 2.0, 1e-4)[1] >= 4
+
+
 # ------------------------------------------------------------------ suffix order and passages
 
 

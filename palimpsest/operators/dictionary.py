@@ -27,6 +27,8 @@ from .generators import Renderers, rendered
 PROBES = 64
 #: Domains of up to so many values are assigned in one pass on the driver.
 SMALL = 20_000
+#: Values of a list that a schema gives at most.
+LISTED = 10_000
 
 
 def domain_values(columns: Iterable[tuple[DataFrame, str, str]]) -> DataFrame:
@@ -38,6 +40,14 @@ def domain_values(columns: Iterable[tuple[DataFrame, str, str]]) -> DataFrame:
     return out.where("key is not null").distinct()
 
 
+def listed(keys: DataFrame, most: int = LISTED) -> tuple[str, ...]:
+    """The values of a domain as a list like that of a schema; more than ``most`` fail, as that is no list."""
+    found = [r["key"] for r in keys.select("key").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} values are no finite domain")
+    return tuple(found)
+
+
 class PoolTooSmall(ValueError):
     """The type's pool has no replacement left for some value."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,8 +19,11 @@ from .profile import aggregates, as_text, unpivoted
 TOLERANCE = 0.05
 #: Shortest text of the source looked for within wiped texts.
 NEEDLE = 6
-#: Needles that are sent to the workers at most.
+#: Needles, and bytes of them, that are sent to the workers at most.
 BROADCAST_NEEDLES = 100_000
+BROADCAST_BYTES = 1 << 25
+#: Offending values that a failed check names.
+EXAMPLES = 10
 #: Types whose values are common words and are not looked for.
 COMMON = ("marital_status", "city")
 
@@ -76,28 +80,41 @@ def needles(source: DataFrame, columns: list[str], shortest: int = NEEDLE) -> Da
     return cells.select(F.col("value").alias("needle")).distinct()
 
 
+_automata: dict[str, object] = {}
+
+
+def _automaton(mark: str, some: list[str]):
+    """The automaton of the needles sent under a mark, once per worker."""
+    import ahocorasick
+
+    if mark not in _automata:
+        _automata.clear()
+        found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for needle in some:
+            found.add_word(needle)
+        found.make_automaton()
+        _automata[mark] = found
+    return _automata[mark]
+
+
 def containing(texts: DataFrame, column: str, sought: DataFrame, most: int = BROADCAST_NEEDLES) -> int:
     """Rows whose text holds any of the needles.
 
-    Up to ``most`` needles, counted first, go to the workers as one multi-pattern automaton. Beyond that,
+    Up to ``most`` needles of ``BROADCAST_BYTES`` together, counted first, go to the workers as one
+    multi-pattern automaton. Beyond that,
     candidates are found by an equi join of the needles' first ``NEEDLE`` characters with the texts'
     substrings of that length, and compared whole: no needle is ever compared with every text.
     """
     sought = sought.where(F.length("needle") >= NEEDLE)
     body = texts.select(as_text(texts, column).alias("text")).where(F.length("text") >= NEEDLE)
-    some = [r["needle"] for r in sought.limit(most + 1).collect()]
-    if not some:
+    n, size = sought.agg(F.count("*"), F.sum(F.octet_length("needle"))).first()
+    if not n:
         return 0
-    if len(some) <= most:
-        sent = texts.sparkSession.sparkContext.broadcast(some)
+    if n <= most and size <= BROADCAST_BYTES:
+        sent, mark = texts.sparkSession.sparkContext.broadcast([r["needle"] for r in sought.collect()]), uuid.uuid4().hex
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for needle in sent.value:
-                found.add_word(needle)
-            found.make_automaton()
+            found = _automaton(mark, sent.value)
             for part in parts:
                 n = sum(next(found.iter(t), None) is not None for t in part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
@@ -169,9 +186,32 @@ def implausible(result: DataFrame, column: str, semantic_type: str) -> int | Non
     return result.select(as_text(result, column).alias("value")).where("trim(value) <> ''").where(~test).count()
 
 
+def offending(result: DataFrame, column: str, semantic_type: str, n: int = EXAMPLES) -> DataFrame:
+    """The first ``n`` different values that don't look like their type, in order."""
+    test = valid(F.col("value"), semantic_type)
+    values = result.select(as_text(result, column).alias("value")).where("trim(value) <> ''")
+    return values.where(F.lit(False) if test is None else ~test).distinct().orderBy("value").limit(n)
+
+
 def check_plausibility(result: DataFrame, column: PolicyColumn) -> CheckResult | None:
     n = implausible(result, column.address.column, column.semantic_type)
-    return None if n is None else CheckResult("F-5", f"plausibility {column.address.qualified}", n == 0, True, f"{n} values are not plausible")
+    if n is None:
+        return None
+    named = ", ".join(repr(r["value"]) for r in offending(result, column.address.column, column.semantic_type).collect()) if n else ""
+    return CheckResult("F-5", f"plausibility {column.address.qualified}", n == 0, True, f"{n} values are not plausible" + f", such as {named}" * bool(named))
+
+
+def diff_sample(source: DataFrame, result: DataFrame, keys: list[str], columns: list[str], n: int = 10) -> DataFrame:
+    """Keys with each column ``before`` and ``after``, for the ``n`` smallest keys of the source."""
+    some = source.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)]).distinct().orderBy(*[f"k{i}" for i in range(len(keys))]).limit(n)
+    parts = []
+    for c in columns:
+        pairs = _pairs(source, result, keys, c)
+        parts.append(some.join(pairs, [f"k{i}" for i in range(len(keys))]).select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.lit(c).alias("column"), "before", "after"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
 
 
 def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> int:

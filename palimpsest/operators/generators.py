@@ -44,25 +44,25 @@ def _digits_of(texts: np.ndarray) -> np.ndarray:
 
 
 class Renderers:
-    """The renderers of a rule pack: dates first, then structured identifiers, then templates."""
+    """The renderers of a rule pack: those registered with it, then dates, structured identifiers, templates."""
 
     def __init__(self, pack: RulePack):
-        self.by_type: dict[str, Render] = {}
+        self.by_type: dict[str, Render] = dict(pack.renderers)
         c = pack.components
         if "birth_year" in c:
             years = codes(c["birth_year"], 4, "birth_year").astype(np.int64)
-            self.by_type["birth_date"] = lambda s: _dates(s, years)
+            self.by_type.setdefault("birth_date", lambda s: _dates(s, years))
         if "inn_region" in c:
             regions = _digits_of(codes(c["inn_region"], 2, "inn_region"))
-            self.by_type["inn_person"] = lambda s: _text(_with_check(_with_check(np.column_stack([s.pick(regions), s.digits(8)]), INN_11), INN_12))
-            self.by_type["inn_legal"] = lambda s: _text(_with_check(np.column_stack([s.pick(regions), s.digits(7)]), INN_10))
-        self.by_type["snils"] = _snils
+            self.by_type.setdefault("inn_person", lambda s: _text(_with_check(_with_check(np.column_stack([s.pick(regions), s.digits(8)]), INN_11), INN_12)))
+            self.by_type.setdefault("inn_legal", lambda s: _text(_with_check(np.column_stack([s.pick(regions), s.digits(7)]), INN_10)))
+        self.by_type.setdefault("snils", _snils)
         if "phone_operator" in c:
             operators = codes(c["phone_operator"], 3, "phone_operator")
-            self.by_type["phone"] = lambda s: _joined("+7", s.pick(operators), _text(s.digits(7)))
+            self.by_type.setdefault("phone", lambda s: _joined("+7", s.pick(operators), _text(s.digits(7))))
         if "passport_series" in c:
             series = codes(c["passport_series"], 4, "passport_series")
-            self.by_type["passport"] = lambda s: _joined(s.pick(series), " ", _text(s.digits(6)))
+            self.by_type.setdefault("passport", lambda s: _joined(s.pick(series), " ", _text(s.digits(6))))
         for semantic_type in pack.templates:
             self.by_type.setdefault(semantic_type, lambda s, t=semantic_type: _template(s, pack, t))
 

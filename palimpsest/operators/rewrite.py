@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.canonical import canonical
@@ -110,10 +110,12 @@ def resolve(keys: DataFrame, semantic_type: str, dictionary: DataFrame, pack: Ru
     return at.select("key", F.coalesce("listed", made).alias("replacement"))
 
 
-def rewrite_column(df: DataFrame, column: PolicyColumn, dictionary: DataFrame, pack: RulePack, secret: Secret, exceptions: list[str] | None = None) -> DataFrame:
+def rewrite_column(df: DataFrame, column: PolicyColumn, dictionary: DataFrame, pack: RulePack, secret: Secret, exceptions: list[str] | None = None, base: DataFrame | None = None) -> DataFrame:
     """``df`` with one column rewritten; nulls and blanks stay, everything else is replaced or fails.
 
     Different values are resolved once and joined back; Spark broadcasts the small side by its size.
+    ``base`` is a table with the column as it was, if ``df`` has been rewritten before: its values come
+    from there, and no plan holds another's.
     """
     name = column.address.column
     if column.mode == "Document":
@@ -123,9 +125,12 @@ def rewrite_column(df: DataFrame, column: PolicyColumn, dictionary: DataFrame, p
     semantic_type = FREE_TEXT if column.mode == "TextWipe" else column.semantic_type
     kind = "Text" if column.mode == "TextWipe" else column.canonical_kind
     key = canonical(F.col(f"`{name}`"), kind)
-    keys = df.select(key.alias("key")).where("key is not null").distinct()
+    keys = (df if base is None else base).select(key.alias("key")).where("key is not null").distinct()
     found = resolve(keys, semantic_type, dictionary, pack, secret, exceptions).withColumnsRenamed({"key": "__key", "replacement": "__replacement"})
-    out = df.withColumn("__own", key).join(found, F.col("__own") == F.col("__key"), "left")
+    # rows without a key match nothing; a hash of the row spreads them over the join's partitions
+    apart = [f"`{f.name}`" for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    spread = F.coalesce(F.col("__own"), F.concat(F.lit("\0"), F.xxhash64(*apart)))
+    out = df.withColumn("__own", key).withColumn("__at", spread).join(found, F.col("__at") == F.col("__key"), "left")
     value = F.coalesce("__replacement", F.raise_error(F.lit(f"{column.address.qualified}: a value without replacement")).cast("string"))
     new = F.when(F.col("__own").isNull(), F.col(f"`{name}`")).otherwise(value.cast(df.schema[name].dataType))
     return out.select(*[new.alias(c) if c == name else F.col(f"`{c}`") for c in df.columns])
@@ -149,8 +154,17 @@ def _rewrite_document(df: DataFrame, column: PolicyColumn, dictionary: DataFrame
     return rewrite_documents(df, name, found, column.document_paths, kinds)
 
 
-def rewrite_table(df: DataFrame, columns: list[PolicyColumn], dictionary: DataFrame, pack: RulePack, secret: Secret, exceptions: list[str] | None = None) -> DataFrame:
-    """All planned columns of a table; names, order and types of columns stay."""
+def rewrite_table(df: DataFrame, columns: list[PolicyColumn], dictionary: DataFrame, pack: RulePack, secret: Secret, exceptions: list[str] | None = None, counts: Observation | None = None) -> DataFrame:
+    """All planned columns of a table; names, order and types of columns stay.
+
+    ``counts`` observes the rows and, by column, how many cells are replaced; the others have no key and
+    stay. It holds its figures once the result has been written.
+    """
+    base = df
+    if counts is not None:
+        typed = [c for c in columns if c.mode != "Document"]
+        keys = [canonical(F.col(f"`{c.address.column}`"), "Text" if c.mode == "TextWipe" else c.canonical_kind) for c in typed]
+        df = df.observe(counts, F.count(F.lit(1)).alias("rows"), *[F.count(k).alias(c.address.column) for k, c in zip(keys, typed, strict=True)])
     for column in columns:
-        df = rewrite_column(df, column, dictionary, pack, secret, exceptions)
+        df = rewrite_column(df, column, dictionary, pack, secret, exceptions, base)
     return df

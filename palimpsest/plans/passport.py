@@ -25,6 +25,8 @@ class Passport:
     model_share: float
     technical_types: list[str]
     risks: list[str] = field(default_factory=list)
+    #: By table: rows, and by column the cells replaced and unchanged.
+    counts: dict[str, dict] = field(default_factory=dict)
 
     @property
     def failed_blocking(self) -> int:

@@ -1,14 +1,17 @@
 """Rule packs: what is known about semantic types, and the material that replacements are made of.
 
 A pack is data (JSON in the form of ``RulePack.from_json``, or ``default_pack``); a new semantic type
-needs no code. The default pack has content of our own.
+needs no code, and one that templates can't express brings a function (``with_renderer``). The default
+pack's rules are fixed values; its names, streets and texts are our own.
 """
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from .model import TypeRegistry, type_id
@@ -60,6 +63,8 @@ class RulePack:
         if not rules or not components:
             raise ValueError("a rule pack has rules and components")
         self.version = version
+        #: Functions from an index stream to an array of texts, by type; they go to the workers with the pack.
+        self.renderers: dict[str, Callable] = {}
         self.rules = sorted(rules, key=lambda r: r.rank)
         self.registry = TypeRegistry({r.semantic_type: r.rank for r in rules})
         self.components = components
@@ -87,6 +92,12 @@ class RulePack:
         ]
         return cls(raw.get("version", ""), rules, raw.get("components", {}), raw.get("templates", {}), hashlib.sha256(text.encode()).hexdigest())
 
+    def with_renderer(self, semantic_type: str, render: Callable) -> RulePack:
+        """A copy of the pack in which a function renders a type, before anything else the pack has for it."""
+        out = copy.copy(self)
+        out.renderers = self.renderers | {type_id(semantic_type): render}
+        return out
+
     def cardinality(self, semantic_type: str) -> int:
         """How many different values the templates of a type can give at most, up to 2^64 - 1."""
         total = 0

@@ -53,6 +53,54 @@ def describe(df: DataFrame, schema: str, table: str, constraints: Constraints |
     ]
 
 
+def catalog_constraints(keys: DataFrame, indexes: DataFrame, checks: DataFrame, comments: DataFrame) -> dict[str, Constraints]:
+    """Sidecars of a database's tables from its catalog.
+
+    ``keys``: ``table_name``, ``kind`` (p, u or f), ``columns`` (array) and ``target`` (of a foreign key,
+    ``table.column``); ``indexes``: ``table_name`` and ``columns`` of unique indexes; ``checks``:
+    ``table_name``, ``columns`` and ``definition``; ``comments``: ``table_name``, ``column_name`` and
+    ``comment``. A unique index is a unique key; a key of one column listed twice counts once; checks of
+    several columns restrict none by itself.
+    """
+    every = keys.select("table_name", "kind", "columns", "target").unionByName(indexes.select("table_name", F.lit("u").alias("kind"), "columns", F.lit("").alias("target"))).distinct()
+    out: dict[str, Constraints] = {}
+    for r in every.orderBy("table_name", "kind", "columns").collect():  # a schema's constraints, not its data
+        c = out.setdefault(r["table_name"], Constraints())
+        if r["kind"] == "p":
+            c.primary_key = list(r["columns"])
+        elif r["kind"] == "u":
+            c.unique.append(list(r["columns"]))
+        elif len(r["columns"]) == 1:
+            c.foreign_keys[r["columns"][0]] = r["target"]
+    for r in checks.where(F.size("columns") == 1).select("table_name", F.col("columns")[0].alias("column"), "definition").collect():
+        out.setdefault(r["table_name"], Constraints()).checks[r["column"]] = r["definition"]
+    for r in comments.where("comment <> ''").collect():
+        out.setdefault(r["table_name"], Constraints()).comments[r["column_name"]] = r["comment"]
+    return out
+
+
+#: Questions to PostgreSQL's catalog whose answers ``catalog_constraints`` takes; ``{schema}`` is filled in.
+POSTGRES = {
+    "keys": """SELECT t.relname AS table_name, CAST(c.contype AS text) AS kind, ARRAY(SELECT CAST(a.attname AS text) FROM unnest(c.conkey) k JOIN pg_attribute a ON a.attrelid = t.oid AND a.attnum = k) AS columns,
+ coalesce((SELECT r.relname || '.' || a.attname FROM pg_class r JOIN pg_attribute a ON a.attrelid = r.oid WHERE r.oid = c.confrelid AND a.attnum = c.confkey[1]), '') AS target
+ FROM pg_constraint c JOIN pg_class t ON t.oid = c.conrelid JOIN pg_namespace n ON n.oid = t.relnamespace WHERE n.nspname = '{schema}' AND c.contype IN ('p', 'u', 'f')""",
+    "indexes": """SELECT t.relname AS table_name, ARRAY(SELECT CAST(a.attname AS text) FROM pg_attribute a WHERE a.attrelid = t.oid AND a.attnum = ANY (i.indkey)) AS columns
+ FROM pg_index i JOIN pg_class t ON t.oid = i.indrelid JOIN pg_namespace n ON n.oid = t.relnamespace WHERE n.nspname = '{schema}' AND i.indisunique AND i.indpred IS NULL""",
+    "checks": """SELECT t.relname AS table_name, ARRAY(SELECT CAST(a.attname AS text) FROM unnest(c.conkey) k JOIN pg_attribute a ON a.attrelid = t.oid AND a.attnum = k) AS columns, pg_get_constraintdef(c.oid) AS definition
+ FROM pg_constraint c JOIN pg_class t ON t.oid = c.conrelid JOIN pg_namespace n ON n.oid = t.relnamespace WHERE n.nspname = '{schema}' AND c.contype = 'c'""",
+    "comments": """SELECT t.relname AS table_name, CAST(a.attname AS text) AS column_name, coalesce(col_description(t.oid, a.attnum), '') AS comment
+ FROM pg_attribute a JOIN pg_class t ON t.oid = a.attrelid JOIN pg_namespace n ON n.oid = t.relnamespace WHERE n.nspname = '{schema}' AND a.attnum > 0 AND NOT a.attisdropped""",
+}
+
+
+def jdbc_constraints(spark: SparkSession, url: str, properties: dict[str, str], schema: str = "public") -> dict[str, Constraints]:
+    """Sidecars of all tables of a PostgreSQL schema, asked for through Spark's JDBC source."""
+    if not schema.replace("_", "").isalnum():
+        raise ValueError(f"no schema name: {schema}")
+    answers = {name: spark.read.format("jdbc").options(url=url, query=sql.format(schema=schema), **properties).load() for name, sql in POSTGRES.items()}
+    return catalog_constraints(**answers)
+
+
 def unique_columns(df: DataFrame) -> list[str]:
     """Columns whose values are all present and different: candidates for keys."""
     from palimpsest.operators.profile import aggregates
@@ -82,7 +130,7 @@ def simple_keys(features: list[Features]) -> dict[str, list[str]]:
 def estimated_rows(df: DataFrame) -> int:
     """Rows by the plan's statistics, 0 where there are none."""
     found = df._jdf.queryExecution().optimizedPlan().stats().rowCount()
-    return int(found.get().toString()) if found.isDefined() else 0
+    return int(str(found.get())) if found.isDefined() else 0
 
 
 def list_columns(spark: SparkSession, tables: dict[str, DataFrame], schema: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import prf
 from palimpsest.functions.canonical import canonical
 from palimpsest.functions.index_stream import IndexStream
+from palimpsest.functions.prf import Secret
 from palimpsest.functions.validators import VALIDATORS, checksum, valid
 from palimpsest.operators.derange import NoDerangement, constrained_derangement, derangement
 from palimpsest.operators.dictionary import PoolTooSmall, bijection, merged, permutation
@@ -298,3 +299,53 @@ def test_catalog(spark, tmp_path):
     assert url == "jdbc:postgresql://db:5433/d" and properties["password"] == "it's;x"
     assert libpq({"host": "h", "password": "a'b\\"}) == "host='h' password='a\\'b\\\\'"
     assert latest(["1", "10", "9"]) == "9"
+
+
+def test_decimal_plan_stays_small(spark):
+    """Each part of a value is extracted once: the plan holds few regular expressions."""
+    df = spark.createDataFrame([("1e3",)], "v string").select(canonical(F.col("v"), "Decimal").alias("c"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") < 10 and len(plan) < 20_000
+    stamp = spark.createDataFrame([("x",)], "v string").select(canonical(F.col("v"), "Timestamp").alias("c"))
+    assert len(stamp._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_rewrite_of_several_columns_reads_each_column_once(spark):
+    from palimpsest.operators.rewrite import rewrite_table
+    from palimpsest.plans.model import Address, PolicyColumn
+
+    rows = [(i, f"n{i % 5}" if i % 3 else None, f"m{i % 7}", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, __own string, b string, c string")
+    columns = [PolicyColumn(Address("s", "t", n), "string", True, "full_name", "Typed", "Function") for n in ("b", "c")]
+    none = spark.createDataFrame([], "key string, replacement string")
+    got = {r["id"]: r for r in rewrite_table(df.withColumnRenamed("__own", "a"), columns, none, default_pack(), Secret(b"k" * 32)).collect()}
+    assert len(got) == 60 and all(got[i]["a"] == r[1] and got[i]["c"] is None and got[i]["b"] != r[2] for i, r in enumerate(rows))
+    assert len({r["b"] for r in got.values()}) == 7
+
+
+def test_schema_check_looks_at_nulls(spark):
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    from palimpsest.operators import checks
+
+    strict = spark.createDataFrame([(1,)], StructType([StructField("a", IntegerType(), False)]))
+    loose = spark.createDataFrame([(1,)], "a int")
+    assert checks.check_schema(strict, loose).passed and checks.check_schema(loose, strict).passed
+    assert not checks.check_schema(strict, spark.createDataFrame([(None,)], "a int")).passed
+    assert not checks.check_schema(strict, spark.createDataFrame([(1,)], "a long")).passed
+
+
+def test_rows_with_a_null_in_the_key_are_checked(spark):
+    from palimpsest.operators import checks
+
+    a = spark.createDataFrame([(None, "x"), (1, "y")], "k int, v string")
+    assert checks.survivors(a, a, ["k"], "v") == 2
+
+
+def test_long_lists_are_no_finite_domain(spark):
+    from palimpsest.operators import dictionary
+
+    keys = spark.range(20).select(F.col("id").cast("string").alias("key"))
+    assert len(dictionary.listed(keys)) == 20
+    with pytest.raises(ValueError, match="finite"):
+        dictionary.listed(keys, 19)

@@ -16,6 +16,7 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,63 +62,79 @@ class Model:
 
     def __init__(self, languages: list[str], floors: np.ndarray, items: pa.Table):
         self.languages, self.floors, self.items = languages, floors, items
-        self.tables: list[dict[str, tuple[int, int]]] = [{} for _ in range(LONGEST + 1)]
         names, sizes = items.column("item").to_pylist(), items.column("size").to_pylist()
         self.place, self.gain = (items.column(c).to_numpy() for c in ("place", "gain"))
-        start = 0
-        for k in range(1, len(names) + 1):
-            if k == len(names) or names[k] != names[start] or sizes[k] != sizes[start]:
-                self.tables[sizes[start]][names[start]] = (start, k)
-                start = k
+        heads = [k for k in range(len(names)) if not k or names[k] != names[k - 1] or sizes[k] != sizes[k - 1]]
+        self.first = np.array([*heads, len(names)], np.int64)
+        self.tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        for number, k in enumerate(heads):
+            self.tables[sizes[k]][names[k]] = number
+        #: Words scored at once.
+        self.block = max(1000, BLOCK // max(1, len(languages)))
         self._clear()
 
     def _clear(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(self.languages)))
+        self.scores = np.zeros((0, len(self.languages)))
 
-    def word_score(self, word: str) -> np.ndarray:
-        """The score of a word in each language, by the word itself or its longest known n-grams."""
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """The score of each word in each language, by the word itself or its longest known n-grams."""
+        wide = len(self.languages)
+        out = np.zeros((len(words), wide))
+        left = range(len(words))
         for step, size in enumerate([0, *range(LONGEST, 0, -1)]):
-            table = self.tables[size]
-            found = [x for x in map(table.get, grams_of(word, size) if size else [word]) if x is not None]
-            if found:
-                gain = np.zeros(len(self.languages))
-                for a, b in found:
-                    gain[self.place[a:b]] += self.gain[a:b]
-                return self.floors[size] + gain / len(found) - STEP_DOWN * step
-        return np.zeros(len(self.languages))
+            own = [grams_of(words[k], size) if size else [words[k]] for k in left]
+            known = np.fromiter(map(self.tables[size].get, chain.from_iterable(own), repeat(-1)), np.int64)
+            owner = np.repeat(np.array(left, np.int64), np.fromiter(map(len, own), np.int64, len(own)))[known >= 0]
+            known = known[known >= 0]
+            found = np.bincount(owner, minlength=len(words))
+            many = self.first[known + 1] - self.first[known]
+            at = np.arange(int(many.sum())) + np.repeat(self.first[known] - np.cumsum(many) + many, many)
+            gains = np.bincount(np.repeat(owner, many) * wide + self.place[at], self.gain[at], len(words) * wide).reshape(-1, wide)
+            hit = found > 0
+            out[hit] = self.floors[size] + gains[hit] / found[hit, None] - STEP_DOWN * step
+            left = [k for k in left if not found[k]]
+            if not left:
+                break
+        return out
 
     def _number(self, words: list[str]) -> list[int]:
-        fresh = set(words).difference(self.numbers)
+        """Rows of ``scores`` for words, which hold until the next call."""
+        fresh = list(set(words).difference(self.numbers))
         if fresh and (len(self.numbers) + len(fresh)) * max(1, len(self.languages)) > MEMO:
             self._clear()
-            fresh = set(words)
-        for word in fresh:
-            k = len(self.numbers)
-            if k == len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[k] = self.word_score(word)
-            self.numbers[word] = k
+            fresh = list(set(words))
+        if fresh:
+            start = len(self.numbers)
+            if start + len(fresh) > len(self.scores):
+                more = np.zeros((max(len(self.scores), len(fresh), 1024), len(self.languages)))
+                self.scores = np.concatenate([self.scores, more])
+            self.scores[start : start + len(fresh)] = self.word_scores(fresh)
+            self.numbers.update(zip(fresh, range(start, start + len(fresh)), strict=True))
         return list(map(self.numbers.__getitem__, words))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The most likely language (the first of ties) and its probability, given the mean word score."""
-        words = LETTERS.findall((text or "").lower())
-        if not words or not self.languages:
-            return "und", 0.0
-        total = np.zeros(len(self.languages))
-        for k in range(0, len(words), BLOCK):
-            numbers = self._number(words[k : k + BLOCK])  # they hold until the next call
-            total += self.scores[numbers].sum(0)
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """For each text the most likely language (the first of ties) and its probability, given the mean
+        word score."""
+        if not self.languages:
+            return [("und", 0.0)] * len(texts)
+        found = [LETTERS.findall((t or "").lower()) for t in texts]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        words, owner = list(chain.from_iterable(found)), np.repeat(np.arange(len(found)), counts)
+        total = np.zeros((len(found), len(self.languages)))
+        for k in range(0, len(words), self.block):
+            numbers, own = self._number(words[k : k + self.block]), owner[k : k + self.block]
+            heads = np.flatnonzero(np.diff(own, prepend=-1))
+            total[own[heads]] += np.add.reduceat(self.scores[numbers], heads)
         # words of a text are not independent: its root mean is what its length is worth
-        total = total / math.sqrt(len(words))
-        odds = np.exp(total - total.max())
-        best = int(total.argmax())
-        return self.languages[best], float(odds[best] / odds.sum())
+        total /= np.sqrt(np.maximum(counts, 1))[:, None]
+        best = total.argmax(1)
+        share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        return [(self.languages[b], p) if n else ("und", 0.0) for b, p, n in zip(best.tolist(), share.tolist(), counts.tolist(), strict=True)]
 
 
-#: Words looked at once.
-BLOCK = 100_000
+#: Numbers looked at once.
+BLOCK = 2_000_000
 
 
 def _counts(rows: DataFrame) -> DataFrame:
@@ -199,7 +216,7 @@ def identify(df: DataFrame, model: Model, keep: list[str | Column], text: str =
         gc.disable()
         model = worker_cache(("languages", mark), lambda: Model(*sent.value))
         for batch in (part for whole in batches for part in by_size(whole)):
-            found = [model.predict(t) for t in batch.column(1).to_pylist()]
+            found = model.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["row", "lang_pred", "score"])
 
     return inner.mapInArrow(run, row_schema(inner, "lang_pred string, score double")).select(*fields_of([c for _, c in names]), "lang_pred", "score")

@@ -93,37 +93,40 @@ def rewrite_documents(df: DataFrame, column: str, replacements: DataFrame, paths
     joined with the replacements by key, and put back in order, so that no dictionary goes to a worker whole.
     """
     kinds = kinds or {}
+    doc = F.col(f"`{column}`").cast("string")
+    mark = F.when(F.trim(doc) != "", F.unhex(F.md5(doc)))  # stands for the document in joins
 
     def take_out(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for text in part["doc"]:
-                rows.append([{"type": paths.get(p, FREE_TEXT), "value": v} for p, v in leaves(load(text))])
-            yield pd.DataFrame({"doc": part["doc"], "leaves": rows})
-
-    docs = df.select(F.col(f"`{column}`").cast("string").alias("doc")).where("doc is not null and trim(doc) <> ''").distinct()
-    taken = docs.mapInPandas(take_out, "doc string, leaves array<struct<type:string,value:string>>")
-    cells = taken.select("doc", F.posexplode("leaves").alias("at", "leaf")).select("doc", "at", "leaf.type", "leaf.value")
+            rows = [[{"type": paths.get(p, FREE_TEXT), "value": v} for p, v in leaves(load(text))] for text in part["doc"]]
+            yield pd.DataFrame({"mark": part["mark"], "leaves": rows})
+
+    docs = df.select(mark.alias("mark"), doc.alias("doc")).where("mark is not null")
+    taken = docs.mapInPandas(take_out, "mark binary, leaves array<struct<type:string,value:string>>")
+    cells = taken.select("mark", F.posexplode("leaves").alias("at", "leaf")).select("mark", "at", "leaf.type", "leaf.value")
     key = F.lit(None).cast("string")
     for kind in sorted(set(kinds.values()) - {"Text"}):
         key = F.when(F.col("type").isin(*[t for t, k in kinds.items() if k == kind]), canonical(F.col("value"), kind)).otherwise(key)
-    cells = cells.withColumn("key", F.coalesce(key, canonical(F.col("value"), "Text")))
+    cells = cells.select("mark", "at", "type", F.coalesce(key, canonical(F.col("value"), "Text")).alias("key")).distinct()
     cells = cells.join(replacements.select("type", "key", "replacement"), ["type", "key"], "left")
     new = F.coalesce("replacement", F.raise_error(F.concat(F.lit("no replacement for a text of type "), F.col("type"))).cast("string"))
-    texts = cells.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", new.alias("text")))).alias("texts"))
-
-    def put_back(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for text, news in zip(part["doc"], part["texts"], strict=True):
-                order = iter([n["text"] for n in news])
-                out.append(dump(replaced(load(text), lambda p, v, order=order: next(order))))
-            yield pd.DataFrame({"doc": part["doc"], "rewritten": out})
-
-    changed = texts.mapInPandas(put_back, "doc string, rewritten string").withColumnRenamed("doc", "__doc").withColumnRenamed("rewritten", "__rewritten")
-    out = df.join(changed, F.col(f"`{column}`").cast("string") == F.col("__doc"), "left")
+    ordered = F.sort_array(F.collect_list(F.struct("at", new.alias("text"))))
+    texts = cells.groupBy(F.col("mark").alias("__mark")).agg(F.transform(ordered, lambda x: x["text"]).alias("__texts"))
+
+    @F.pandas_udf("string")
+    def put_back(docs: pd.Series, news: pd.Series) -> pd.Series:
+        out = []
+        for text, own in zip(docs, news, strict=True):
+            order = iter(own) if own is not None else None
+            out.append(text if order is None else dump(replaced(load(text), lambda p, v, order=order: next(order))))
+        return pd.Series(out, index=docs.index, dtype=object)
+
+    # rows without a document match nothing, and are spread over the join's partitions
+    apart = [f"`{f.name}`" for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    own = F.coalesce(mark, F.concat(F.lit("no "), F.xxhash64(*apart)).cast("binary"))
+    out = df.withColumn("__own", own).join(texts, F.col("__own") == F.col("__mark"), "left")
     # a document without texts is returned as it is
-    value = F.coalesce("__rewritten", F.col(f"`{column}`").cast("string"))
+    value = put_back(doc, F.col("__texts"))
     kind = df.schema[column].dataType
     put = F.parse_json(value) if kind.typeName() == "variant" else value.cast(kind)
     return out.select(*[put.alias(c) if c == column else F.col(f"`{c}`") for c in df.columns])

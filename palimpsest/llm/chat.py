@@ -17,11 +17,14 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 def turns_of(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row a conversation: ``conv_id`` and ``turns`` (role, text) in order of turn, role and text.
 
-    Null roles and texts are empty; null turns come first; rows without conversation are one of their
-    own. Repeated rows are repeated turns.
+    Null roles and texts are empty; null turns come first; each row without conversation is one of its
+    own, so that they never meet in one task. Repeated rows are repeated turns. An empty table gives an
+    empty one; other columns are not looked at.
     """
     row = F.struct(F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    found = df.groupBy(F.col(f"`{conv_id}`").alias("conv_id")).agg(F.array_sort(F.collect_list(row)).alias("turns"))
+    rows = df.select(F.col(f"`{conv_id}`").alias("conv_id"), row.alias("row"))
+    found = rows.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("turns"))
+    found = found.unionByName(rows.where("conv_id is null").select("conv_id", F.array("row").alias("turns")))
     return found.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
@@ -55,8 +58,11 @@ def format_preferences(pairs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``pairs`` with ``n_prompt_turns``, ``prompt``, and for ``chosen`` and
     ``rejected`` (arrays of role and text): ``_completion`` and ``_trained`` (spans in the completion).
 
-    Turns are common if role and text agree. Equal conversations leave empty completions; a null one
-    counts as one without turns. Row by row, without a shuffle.
+    Turns are common if role and text agree. Markers of the template that stand in roles or texts lose
+    their bars (``<|im_end|>`` becomes ``<im_end>``), so that no text can open or close a turn. Equal
+    conversations leave empty completions; a null one counts as one without turns. Row by row, without a
+    shuffle: repeated rows stay, an empty table gives an empty one. Columns in ``keep`` must not be named
+    like those made here.
     """
     empty = F.array().cast(TURNS)
     at = pairs.select(*keep, F.coalesce("chosen", empty).alias("chosen"), F.coalesce("rejected", empty).alias("rejected"))
@@ -74,8 +80,10 @@ def swapped_pairs(turns: DataFrame, block: int = 64) -> DataFrame:
 
     A conversation is chosen over itself with its last assistant turn, and whatever follows it, replaced
     by the last assistant turn of another: of the next one with such a turn among the ``block`` ids that
-    share ``floor(id / block)``, around the end. Without one (or alone in its block) it is paired with itself.
+    share ``floor(id / block)``, around the end. Without one (or alone in its block, or without id) it is paired with itself.
     """
+    single = turns.where("conv_id is null").select("conv_id", F.col("conv_id").alias("rejected_from"), F.col("turns").alias("chosen"), F.col("turns").alias("rejected"))
+    turns = turns.where("conv_id is not null")
     last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1).otherwise(0)))
     at = turns.withColumn("last", F.coalesce(last, F.lit(0))).withColumn("answers", F.col("last") > 0)
     answer = F.when(F.col("answers"), F.element_at("turns", F.greatest("last", F.lit(1))))
@@ -84,4 +92,5 @@ def swapped_pairs(turns: DataFrame, block: int = 64) -> DataFrame:
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     at = at.withColumn("other", F.coalesce(F.lead(other).over(w), F.first(other).over(whole)))
     swapped = F.concat(F.slice("turns", F.lit(1), F.greatest(F.col("last") - 1, F.lit(0))), F.array("other.turn"))
-    return at.select("conv_id", F.when(F.col("answers"), F.col("other.conv_id")).alias("rejected_from"), F.col("turns").alias("chosen"), F.when(F.col("answers"), swapped).otherwise(F.col("turns")).alias("rejected"))
+    swaps = at.select("conv_id", F.when(F.col("answers"), F.col("other.conv_id")).alias("rejected_from"), F.col("turns").alias("chosen"), F.when(F.col("answers"), swapped).otherwise(F.col("turns")).alias("rejected"))
+    return swaps.unionByName(single)

@@ -575,7 +575,7 @@ def test_mixing_goes_on_behind_long_documents(spark):
 
 
 def test_chat(spark):
-    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 2, "user", "bye"), (2, 0, "system", "s"), (2, 1, "assistant", "a <|im_end|> b"), (3, 0, "user", None), (4, 0, None, "x"), (65, 0, "assistant", "alone"), (None, 0, "user", "n")]
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 2, "user", "bye"), (2, 0, "system", "s"), (2, 1, "assistant", "a <|im_end|> b"), (3, 0, "user", None), (4, 0, None, "x"), (65, 0, "assistant", "alone"), (None, 0, "user", "n"), (None, 0, "user", "n"), (None, 1, "assistant", "m")]
     turns = chat.turns_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     got = {r["conv_id"]: r for r in chat.format_preferences(chat.swapped_pairs(turns), ["conv_id", "rejected_from"]).collect()}
     one = got[1]
@@ -585,6 +585,8 @@ def test_chat(spark):
     assert one["rejected_completion"] == "<|im_start|>assistant\na <im_end> b<|im_end|>\n"
     assert got[3]["rejected_from"] is None and got[3]["n_prompt_turns"] == 1 and got[3]["chosen_completion"] == ""
     assert got[65]["rejected_from"] == 65 and got[65]["rejected_completion"] == ""
+    alone = chat.format_preferences(chat.swapped_pairs(turns), ["conv_id", "rejected_from"]).where("conv_id is null").collect()
+    assert sorted(r["prompt"] for r in alone) == ["<|im_start|>assistant\nm<|im_end|>\n"] + ["<|im_start|>user\nn<|im_end|>\n"] * 2
     pairs = spark.createDataFrame([(1, [("user", "a")], None), (2, [("user", "a"), ("assistant", "b")], [("user", "a"), ("assistant", "b"), ("user", "c")])], f"id int, chosen {chat.TURNS}, rejected {chat.TURNS}")
     both = {r["id"]: r for r in chat.format_preferences(pairs, ["id"]).collect()}
     assert both[1]["n_prompt_turns"] == 0 and both[2]["n_prompt_turns"] == 2 and both[2]["rejected_trained"] == []

@@ -45,6 +45,9 @@ RECOGNISERS = [
     Recogniser("RU_PASSPORT", r"\b\d{4}\s\d{6}\b", 0.6, ["паспорт", "серия", "номер"]),
 ]
 
+#: What stands in every match of these recognisers, by kind: texts without it are not searched.
+LITERALS = {"EMAIL_ADDRESS": "@", "URL": "://", "RU_SNILS": "-"}
+
 
 def entities(c: Column, recognisers: list[Recogniser] | None = None) -> Column:
     """Entities that patterns find in a text; none in a null one."""
@@ -57,7 +60,9 @@ def entities(c: Column, recognisers: list[Recogniser] | None = None) -> Column:
                 near = near | F.lower(c).contains(word)
             score = F.when(near, F.lit(min(1.0, r.score + CONTEXT_BONUS))).otherwise(score)
         texts = F.regexp_extract_all(c, F.lit(f"({r.pattern})"), F.lit(1))
-        found.append(_entities_of(texts, r.entity, score))
+        if r.entity in LITERALS and r in RECOGNISERS:
+            texts = F.when(c.contains(LITERALS[r.entity]), texts)
+        found.append(F.coalesce(_entities_of(texts, r.entity, score), F.array().cast(ENTITIES)))
     return F.coalesce(F.concat(*found), F.array().cast(ENTITIES))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from .model import Address, Policy, PolicyColumn
@@ -55,3 +56,15 @@ def build_plan(policy: Policy, finite_domains: dict[Address, list[str]] | None =
             allowed = tuple(sorted(own if not allowed else own & set(allowed)))
         domains.append(Domain(semantic_type, columns, bool(restricted), allowed))
     return Plan(dict(sorted(tables.items())), domains, untouched)
+
+
+def plan_files(plan: Plan) -> dict[str, str]:
+    """One JSON text a table: its columns in order, with type, mode, strategy and canonical kind.
+
+    Columns of one name may differ between tables, so no file holds two tables.
+    """
+    out = {}
+    for table, columns in plan.tables.items():
+        rows = [{"column": c.address.column, "semantic_type": c.semantic_type, "mode": c.mode, "strategy": c.strategy, "canonical_kind": c.canonical_kind, "document_paths": c.document_paths} for c in columns]
+        out[table] = json.dumps({"table": table, "columns": rows}, ensure_ascii=False, sort_keys=True)
+    return out

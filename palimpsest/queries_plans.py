@@ -26,7 +26,7 @@ from palimpsest.operators.rewrite import preflight, resolve, rewrite_table
 from palimpsest.plans.classify import classify
 from palimpsest.plans.model import Address, Approval, CheckResult, Features, Policy, PolicyColumn, TypeRegistry
 from palimpsest.plans.passport import build_passport
-from palimpsest.plans.planner import Plan, build_plan
+from palimpsest.plans.planner import Plan, build_plan, plan_files
 from palimpsest.plans.rulepack import RulePack, Template
 from palimpsest.plans.storage import stage_table, work_dir
 from palimpsest.registry import PACK, query, secret, splitmix, sql_bijection, sql_columns, sql_derangement, sql_index, sql_keys, sql_list, sql_rendered, table, u64
@@ -457,6 +457,27 @@ def table_plans(spark, sf_dir):
     return _frame(spark, [(i, *r) for i, r in enumerate(rows, 1)], "place long, name string, domain string, allowed array<string>")
 
 
+@query(f"SELECT 'public.' || t AS \"table\", c AS \"column\", CASE k WHEN 2 THEN 'full_name' ELSE 'status' END AS semantic_type, CASE k WHEN 2 THEN 'Dictionary' ELSE 'Derangement' END AS strategy FROM (SELECT table_name AS t, column_name AS c, ordinal AS k FROM ({sql_columns('customer')} UNION ALL {sql_columns('orders')})) WHERE k IN (2, 3)")
+def table_plan_files(spark, sf_dir):
+    """The plan of each table in a file of its own, read back from there."""
+    policy = _policy(spark, sf_dir, False)
+    plan = build_plan(policy, {c.address: ["x", "y", "z"] for c in policy.columns if c.strategy == "Derangement"})
+    folder = _folder(spark)
+    for t, text in plan_files(plan).items():
+        lifecycle._write_text(spark, f"{folder}/{t}.json", text)
+    rows = spark.read.schema("table string, columns array<struct<column:string,semantic_type:string,strategy:string>>").json(folder)
+    return rows.select("table", F.explode("columns").alias("c")).select("table", "c.column", "c.semantic_type", "c.strategy")
+
+
+@query("SELECT c_custkey AS id, k AS number, p_partkey AS part FROM customer, (SELECT unnest([1, 2, 3]) AS k) JOIN part ON p_partkey = (c_custkey * 7 + k) % (SELECT count(*) FROM part) ORDER BY 1, 2")
+def seed_joins(spark, sf_dir):
+    """Test rows for every customer and a short series, joined with parts on a computed key."""
+    part = table(spark, sf_dir, "part")
+    series = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("number"))
+    at = series.withColumn("p_partkey", (F.col("c_custkey") * 7 + F.col("number")) % part.count())
+    return at.join(part.select("p_partkey"), "p_partkey").select(F.col("c_custkey").alias("id"), "number", F.col("p_partkey").alias("part"))
+
+
 @query(f"SELECT domain, CAST(count(*) AS INT) AS members FROM (SELECT CASE ordinal WHEN 2 THEN 'full_name' ELSE 'status' END AS domain FROM {_BOTH} WHERE ordinal IN (2, 3)) GROUP BY domain")
 def domains_of_a_plan(spark, sf_dir):
     policy = _policy(spark, sf_dir, False)

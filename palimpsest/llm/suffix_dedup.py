@@ -22,6 +22,7 @@ The corpus is dealt out so that equal windows always meet, and each part is solv
 from __future__ import annotations
 
 import hashlib
+import os
 import tempfile
 from collections.abc import Iterator
 
@@ -173,6 +174,13 @@ def _occurrences(texts: DataFrame, window: int) -> DataFrame:
     return arrow_map(texts, run, "id long, h long, start long, n int, anchor long, content long, again boolean")
 
 
+def scratch() -> str | None:
+    """The folder that Spark gives Python workers for spills, of its own local folders; Spark clears it."""
+    found = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")
+    usable = [f for f in found if f and os.path.isdir(f)]
+    return usable[os.getpid() % len(usable)] if usable else None
+
+
 class Shard:
     """Strings of one shard, written to a file as they come, and their repeated windows."""
 
@@ -211,7 +219,7 @@ def _shards(found: DataFrame, window: int, limit: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("shard", int)  # make room
-        with tempfile.TemporaryDirectory(prefix="suffix-") as folder:
+        with tempfile.TemporaryDirectory(prefix="suffix-", dir=scratch()) as folder:
             shard, last = Shard(folder, window, limit), None
             for batch in batches:
                 for anchor, content, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -293,7 +301,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     With ``kept_text`` a column of that name holds what is left as text; a character of which a part was
     cut off is left out of it. ``limit``: bytes of memory for a shard's queues and arrays, beyond which they
-    lie on disk, in the worker's temporary folder while the shard is solved, as Spark's own spills do. Null texts are empty; texts shorter than ``window`` stay whole; repeated rows
+    lie on disk while the shard is solved, where Spark's own spills of Python workers do; nothing outlives the task. Null texts are empty; texts shorter than ``window`` stay whole; repeated rows
     are copies of each other like any other; a null id is an id of its own; an empty table gives an empty
     one. Columns of ``df`` with the names made here are replaced.
     """

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +57,11 @@ def directions(dim: int, tables: int, width_k: int, step: float, seed: int) -> t
 
 
 def signatures(unit: np.ndarray, tables: int, width_k: int, step: float, seed: int) -> np.ndarray:
-    """The bucket of each unit vector in each table, as a 64-bit hash of its steps."""
+    """The bucket of each unit vector in each table, as a 32-bit hash of its steps.
+
+    Two vectors meet in a table if these are equal, so a chance of 1 in 2^32 that steps differ then adds
+    candidates only.
+    """
     a, b = directions(unit.shape[1], tables, width_k, step, seed)
     parts = []
     for k in range(0, len(unit), 1024):
@@ -66,8 +70,8 @@ def signatures(unit: np.ndarray, tables: int, width_k: int, step: float, seed: i
         for j in range(width_k):
             out = (out ^ steps[:, :, j]) * np.uint64(0xFF51AFD7ED558CCD)
             out ^= out >> np.uint64(32)
-        parts.append(out.view(np.int64))
-    return np.concatenate(parts) if parts else np.zeros((0, tables), np.int64)
+        parts.append((out >> np.uint64(32)).astype(np.uint32).view(np.int32))
+    return np.concatenate(parts) if parts else np.zeros((0, tables), np.int32)
 
 
 def _unit(batch: pa.RecordBatch, column: int) -> np.ndarray:
@@ -79,7 +83,7 @@ def _unit(batch: pa.RecordBatch, column: int) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def _compare(ids: np.ndarray, left: np.ndarray, unit: np.ndarray, times: np.ndarray, table: int, inner: bool, least: float, sign: Callable[[np.ndarray], np.ndarray]) -> tuple[list, list, list]:
+def _compare(ids: np.ndarray, left: np.ndarray, unit: np.ndarray, sig: np.ndarray, times: np.ndarray, table: int, inner: bool, least: float) -> tuple[list, list, list]:
     """Rows (id, other, links) of one block: a vector's links first met in this table (other: itself), and
     edges of a forest (links 0). ``left`` marks the first side; one side only if ``inner``."""
     if inner:
@@ -94,12 +98,9 @@ def _compare(ids: np.ndarray, left: np.ndarray, unit: np.ndarray, times: np.ndar
     i, j = np.nonzero(near)
     i, j = rows[i], cols[j]
     if table and len(i):
-        involved, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-        sig = sign(unit[involved])[:, :table]
-        a, b = at[: len(i)], at[len(i) :]
         new = np.ones(len(i), bool)
         for t in range(table):
-            new &= sig[a, t] != sig[b, t]
+            new &= sig[i, t] != sig[j, t]
         i, j = i[new], j[new]
     if not len(i):
         return [], [], []
@@ -170,26 +171,24 @@ def near_vectors(
     return out.select(F.col("vec_id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def buckets(reps: DataFrame, tables: int, width_k: int, step: float, seed: int) -> DataFrame:
-    """``id``, table ``t`` and ``bucket`` (which stands for label, length, table and steps) of vectors."""
+def signed(reps: DataFrame, tables: int, width_k: int, step: float, seed: int) -> DataFrame:
+    """``id``, ``h`` (which stands for label and length) and ``sig``, the buckets by table, of vectors."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes = batch.column(1).to_numpy()
-        sig = np.zeros((batch.num_rows, tables), np.int64)
+        sizes = batch.column(2).to_numpy()
+        sig = np.zeros((batch.num_rows, tables), np.int32)
         for dim in np.unique(sizes).tolist():
             at = np.flatnonzero(sizes == dim)
-            sig[at] = signatures(_unit(batch.take(pa.array(at)), 2), tables, width_k, step, seed)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel()), tables).cast(pa.list_(pa.int64()))], names=["id", "sig"])
+            sig[at] = signatures(_unit(batch.take(pa.array(at)), 3), tables, width_k, step, seed)
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel()), tables).cast(pa.list_(pa.int32()))], names=["id", "h", "sig"])
 
-    rows = reps.select(F.struct("id", F.xxhash64("label", "dim").alias("h")).alias("id"), "dim", "v")
-    signed = arrow_map(rows, run, "id struct<id:long,h:long>, sig array<long>")
-    at = signed.select("id.id", "id.h", F.posexplode("sig").alias("t", "s"))
-    return at.select("id", "t", F.xxhash64("h", "t", "s").alias("bucket"))
+    return arrow_map(reps.select("id", F.xxhash64("label", "dim").alias("h"), "dim", "v"), run, "id long, h long, sig array<int>")
 
 
 def _links(reps: DataFrame, least: float, block: int, tables: int, width_k: int, step: float, seed: int) -> DataFrame:
     """Rows ``a``, ``b``, ``n``: ``n`` links of ``a``, or an edge where ``n`` is 0."""
-    at = buckets(reps, tables, width_k, step, seed)
+    marks = materialise(signed(reps, tables, width_k, step, seed), "signatures")
+    at = marks.select("id", "h", F.posexplode("sig").alias("t", "s")).select("id", "t", F.xxhash64("h", "t", "s").alias("bucket"))
     sizes = at.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     at = at.join(sizes, "bucket")
     # buckets of many vectors are compared block by block: own block pairs (i, j) with i <= j
@@ -198,12 +197,10 @@ def _links(reps: DataFrame, least: float, block: int, tables: int, width_k: int,
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
     at = at.select("id", "t", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("first"), pair.alias("pair"))
-    at = at.join(reps.select("id", "times", "v", "dim", F.xxhash64("label").alias("lab")), "id")
+    whole = reps.select("id", "times", "v", "dim", F.xxhash64("label").alias("lab")).join(marks.select("id", "sig"), "id")
+    at = at.join(whole, "id")
     group = ["pair", "lab", "dim", "bucket", "t", "i", "j"]
-    at = at.select(*group, "id", "first", "times", "v").repartition("pair").sortWithinPartitions(*group)
-
-    def sign(unit: np.ndarray) -> np.ndarray:
-        return signatures(unit, tables, width_k, step, seed)
+    at = at.select(*group, "id", "first", "times", "v", F.slice("sig", F.lit(1), F.col("t")).alias("sig")).repartition("pair").sortWithinPartitions(*group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -230,7 +227,8 @@ def _links(reps: DataFrame, least: float, block: int, tables: int, width_k: int,
             v = cols["v"].slice(start, n).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
             v = v / np.abs(v).max(1, keepdims=True)
             v = v / np.sqrt((v * v).sum(1, keepdims=True))
-            found = _compare(plain["id"][part], plain["first"][part], v, plain["times"][part], int(plain["t"][start]), plain["i"][start] == plain["j"][start], least, sign)
+            sig = cols["sig"].slice(start, n).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            found = _compare(plain["id"][part], plain["first"][part], v, sig, plain["times"][part], int(plain["t"][start]), plain["i"][start] == plain["j"][start], least)
             for to, x in zip(out, found, strict=True):
                 to.extend(x)
         if out[0]:

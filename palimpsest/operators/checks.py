@@ -21,7 +21,7 @@ TOLERANCE = 0.05
 NEEDLE = 6
 #: Needles, and bytes of them, that are sent to the workers at most.
 BROADCAST_NEEDLES = 100_000
-BROADCAST_BYTES = 1 << 25
+BROADCAST_BYTES = 1 << 21  # an automaton takes about 50 times as much
 #: Offending values that a failed check names.
 EXAMPLES = 10
 #: Types whose values are common words and are not looked for.

@@ -148,3 +148,20 @@ def by_size(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordB
         stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
         yield batch.slice(start, stop - start)
         start = stop
+
+
+#: Bytes of a table that is sent whole to every executor at most.
+SENT = 16 << 20
+
+
+def sized(df: DataFrame, most: int = SENT) -> DataFrame:
+    """``df`` marked for a broadcast if its rows, summed first, hold at most ``most`` bytes; else as it is.
+
+    The sum reads ``df``: it should be a written table.
+    """
+    width = F.lit(16 * len(df.columns))
+    for f in df.schema.fields:
+        if f.dataType.typeName() in ("string", "binary", "array"):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0))
+    held = df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= most else df

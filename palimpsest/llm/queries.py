@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import warc
+from .align import align_documents
 from .bpe import encode_documents
 from .chat import format_preferences, swapped_pairs, turns_of
 from .common import new_path, read_table
+from .decontaminate import contamination
+from .divergence import divergence
 from .embeddings import near_vectors
 from .langid import cross_identify
 from .lm import cross_entropy_difference
@@ -95,6 +98,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.when(F.col("gap").isNotNull(), lost).otherwise(warc.page_of(F.col("record_id"))).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of the sources of each language, and the terms each source uses more than its language."""
+    return divergence(read_table(spark, sf_dir, "documents"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in windows of ten words of the benchmark, and whose windows they are."""
+    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    items = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two vocabularies cover each other in every document, and how usual its links are."""
+    return align_documents(read_table(spark, sf_dir, "documents"), BYTE_BPE, PIECES, keep=["doc_id"])
+
+
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_simhash": op2_simhash,
@@ -106,6 +126,9 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
+    "op11_divergence": op11_divergence,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_align": op13_align,
 }
 
 #: Brute force over all pairs of vectors with the same label.
@@ -164,4 +187,45 @@ SELECT p.conv_id, p.other AS rejected_from, CAST(np AS BIGINT) AS n_prompt_turns
 FROM p JOIN s USING (conv_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_embeddings": OP1_SQL, "op8_chat_format": OP8_SQL}
+#: Every group against every kept term of its language, in 128-bit integers.
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), g AS (SELECT DISTINCT lang, source FROM d),
+kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(words)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 30),
+counted AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(words) AS term FROM d) SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(term) AS v FROM (SELECT DISTINCT lang FROM g) LEFT JOIN kept USING (lang) GROUP BY lang),
+whole AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p,
+    1 + (1000000000::HUGEINT * (sum(n) OVER (PARTITION BY lang, term) + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+  FROM (SELECT lang, source, term, coalesce(n, 0)::HUGEINT AS n FROM g JOIN kept USING (lang) LEFT JOIN counted USING (lang, source, term)) JOIN v USING (lang)
+), distance AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM whole a JOIN whole b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN distance d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM whole WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (FROM pair UNION ALL FROM term) QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50
+"""
+
+#: Every window of every item against every window of every document.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS k,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), w AS (
+  SELECT item_id, array_to_string(words[i + 1 : i + least(10, len(words))], ' ') AS gram, least(10, len(words)) AS size
+  FROM (SELECT *, unnest(range(greatest(1, len(words) - 9))) AS i FROM b WHERE len(words) > 0)
+), sizes AS (SELECT DISTINCT size FROM w),
+p AS (SELECT k, i, size, array_to_string(words[i + 1 : i + size], ' ') AS gram FROM (SELECT k, words, size, unnest(range(len(words) - size + 1)) AS i FROM d, sizes WHERE len(words) >= size)),
+m AS (SELECT DISTINCT k, i, w.size, item_id FROM p JOIN w USING (gram, size)),
+hit AS (SELECT k, count(*) AS n_hit FROM (SELECT DISTINCT k, i + unnest(range(size)) AS at FROM m) GROUP BY k),
+items AS (SELECT k, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM (SELECT DISTINCT k, item_id FROM m) GROUP BY k)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (k) LEFT JOIN items USING (k)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_embeddings": OP1_SQL, "op8_chat_format": OP8_SQL, "op11_divergence": OP11_SQL, "op12_decontaminate": OP12_SQL}

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions.canonical import canonical
 from palimpsest.functions.validators import valid
 from palimpsest.plans.model import CheckResult, PolicyColumn
-from palimpsest.plans.storage import stage_table
 
+from .containment import holding
 from .profile import aggregates, as_text, unpivoted
 
 TOLERANCE = 0.05
@@ -101,9 +101,7 @@ def containing(texts: DataFrame, column: str, sought: DataFrame, most: int = BRO
     """Rows whose text holds any of the needles.
 
     Up to ``most`` needles of ``BROADCAST_BYTES`` together, counted first, go to the workers as one
-    multi-pattern automaton. Beyond that,
-    candidates are found by an equi join of the needles' first ``NEEDLE`` characters with the texts'
-    substrings of that length, and compared whole: no needle is ever compared with every text.
+    multi-pattern automaton. Beyond that, ``containment`` indexes each by its rarest gram.
     """
     sought = sought.where(F.length("needle") >= NEEDLE)
     body = texts.select(as_text(texts, column).alias("text")).where(F.length("text") >= NEEDLE)
@@ -120,12 +118,7 @@ def containing(texts: DataFrame, column: str, sought: DataFrame, most: int = BRO
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
         return body.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = stage_table(body.select(F.monotonically_increasing_id().alias("row"), "text"), "texts")
-    places = F.sequence(F.lit(1), F.length("text") - (NEEDLE - 1))
-    starts = rows.select("row", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("text"), i, F.lit(NEEDLE))))).alias("start"))
-    heads = sought.select("needle", F.substring("needle", 1, NEEDLE).alias("start"))
-    maybe = starts.join(heads, "start").select("row", "needle")
-    return maybe.join(rows, "row").where(F.contains("text", "needle")).select("row").distinct().count()
+    return holding(body, "text", sought).count()
 
 
 def check_containment(result: DataFrame, column: PolicyColumn, sought: DataFrame) -> CheckResult:

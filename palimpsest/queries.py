@@ -14,6 +14,7 @@ from palimpsest.functions.canonical import canonical
 from palimpsest.functions.validators import valid_inn, valid_snils
 from palimpsest.operators import checks as C
 from palimpsest.operators import detect, dictionary, document, generators, profile
+from palimpsest.operators.containment import candidates, mark_of, matches
 from palimpsest.operators.derange import constrained_derangement
 from palimpsest.operators.rewrite import resolve, rewrite_table
 from palimpsest.plans.classify import classify
@@ -457,6 +458,61 @@ def check_containment_joined(spark, sf_dir):
     return spark.createDataFrame([(C.containing(table(spark, sf_dir, "conversations"), "text", some, most=0),)], "n long")
 
 
+def _held_by(of: str, needles: str) -> str:
+    """SQL: how many rows of a table hold a needle, how many needles stand in one; (table.text column), SELECT of needles."""
+    name, text = of.split(".")
+    return f"SELECT '{name}' AS table_name, (SELECT count(*) FROM {name} t WHERE EXISTS (SELECT 1 FROM ({needles}) n WHERE contains(t.{text}, n.needle))) AS holding, (SELECT count(*) FROM ({needles}) n WHERE EXISTS (SELECT 1 FROM {name} t WHERE contains(t.{text}, n.needle))) AS found"
+
+
+PLACES = ["conversations.text", "pages.html"]
+WHOLE = "SELECT DISTINCT text AS needle FROM documents WHERE strlen(text) >= 6"
+LINES = "SELECT DISTINCT needle FROM (SELECT unnest(string_split(text, chr(10))) AS needle FROM documents UNION ALL SELECT substr(text, 5, 24) FROM conversations) WHERE strlen(needle) >= 6"
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n", -1)).alias("needle"))
+    return lines.unionAll(table(spark, sf_dir, "conversations").select(F.substring("text", 5, 24).alias("needle"))).where("octet_length(needle) >= 6").distinct()
+
+
+def _contained(spark, sf_dir, needles: DataFrame) -> DataFrame:
+    parts = []
+    for of in PLACES:
+        name, text = of.split(".")
+        texts = table(spark, sf_dir, name).select(text)
+        found = matches(texts, text, needles)
+        pairs = stage_table(found, "matches")
+        rows = texts.join(pairs.select("mark").distinct(), mark_of(texts, text) == F.col("mark"), "left_semi").agg(F.count("*").alias("holding"))
+        parts.append(rows.select(F.lit(name).alias("table_name"), "holding").join(pairs.agg(F.count_distinct("id").alias("found")), how="full"))
+    return parts[0].unionAll(parts[1])
+
+
+@query(" UNION ALL ".join(_held_by(of, WHOLE) for of in PLACES))
+def containment_documents(spark, sf_dir):
+    """All documents as needles, in conversations and pages, by the indexed join."""
+    return _contained(spark, sf_dir, table(spark, sf_dir, "documents").select(F.col("text").alias("needle")))
+
+
+@query(" UNION ALL ".join(_held_by(of, LINES) for of in PLACES))
+def containment_lines(spark, sf_dir):
+    """All lines of documents, and a stretch of each conversation, in conversations and pages."""
+    return _contained(spark, sf_dir, _lines(spark, sf_dir))
+
+
+@query("SELECT 'conversations' AS table_name, count(*) AS texts, true AS few, true AS spread FROM conversations UNION ALL SELECT 'pages', count(*), true, true FROM pages")
+def containment_candidates(spark, sf_dir):
+    """That the index proposes fewer than two places a text for all documents, and no gram over a hundredth of them
+    (or two hundred)."""
+    parts, needles = [], table(spark, sf_dir, "documents").select(F.col("text").cast("binary").alias("raw")).where("octet_length(raw) >= 6").distinct()
+    for of in PLACES:
+        name, text = of.split(".")
+        texts = table(spark, sf_dir, name).select(text)
+        maybe = candidates(texts.select(mark_of(texts, text).alias("mark"), F.col(text).cast("binary").alias("raw")), needles)
+        each = maybe.groupBy("key").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+        rows = texts.agg(F.count("*").alias("texts")).join(each, how="full")
+        parts.append(rows.select(F.lit(name).alias("table_name"), "texts", (F.col("n") < 2 * F.col("texts")).alias("few"), (F.col("most") <= F.greatest(F.lit(200), F.col("n") / 100)).alias("spread")))
+    return parts[0].unionAll(parts[1])
+
+
 @query("SELECT CAST(o_custkey AS VARCHAR) AS \"key\", count(DISTINCT o_orderpriority) AS replacements FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1")
 def check_conflicts(spark, sf_dir):
     return C.conflicts(table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("key"), F.col("o_orderpriority").alias("after")))

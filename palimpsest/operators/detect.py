@@ -18,12 +18,14 @@ MIN_SCORE = 0.6
 IGNORED = ("DATE_TIME", "ORGANIZATION", "NRP", "URL")
 #: What a context word near a match adds to its score.
 CONTEXT_BONUS = 0.35
+#: How many words before a match are its context.
+CONTEXT_WORDS = 5
 ENTITIES = "array<struct<type:string,score:double,text:string>>"
 
 
 @dataclass
 class Recogniser:
-    """A pattern for one kind of entity; words of ``context`` in the text raise the score."""
+    """A pattern for one kind of entity; words that begin like one of ``context`` shortly before it raise the score."""
 
     entity: str
     pattern: str
@@ -50,14 +52,17 @@ LITERALS = {"EMAIL_ADDRESS": "@", "URL": "://", "RU_SNILS": "-"}
 
 
 def entities(c: Column, recognisers: list[Recogniser] | None = None) -> Column:
-    """Entities that patterns find in a text; none in a null one."""
+    """Entities that patterns find in a text; none in a null one.
+
+    Context counts for all matches of a pattern in a text once it stands before one of them; ``entities.spans``
+    tells matches apart and gives their places.
+    """
     found = []
     for r in RECOGNISERS if recognisers is None else recognisers:
         score = F.lit(r.score)
         if r.context:
-            near = F.lit(False)
-            for word in r.context:
-                near = near | F.lower(c).contains(word)
+            # a context word among the few words before a match
+            near = F.lower(c).rlike(rf"(?U:(?:{'|'.join(r.context)})\w*\W+(?:\w+\W+){{0,{CONTEXT_WORDS - 1}}})(?:{r.pattern})")
             score = F.when(near, F.lit(min(1.0, r.score + CONTEXT_BONUS))).otherwise(score)
         texts = F.regexp_extract_all(c, F.lit(f"({r.pattern})"), F.lit(1))
         if r.entity in LITERALS and r in RECOGNISERS:

@@ -265,8 +265,9 @@ def text_entity_hits(spark, sf_dir):
     return of.select("doc_id", count("EMAIL_ADDRESS", False).alias("n_email"), count("PHONE_NUMBER", True).alias("n_phone"))
 
 
-def _near(words: list[str]) -> str:
-    return "(" + " OR ".join(f"contains(lower(value), '{w}')" for w in words) + ")"
+def _near(words: list[str], pattern: str) -> str:
+    """SQL: one of the words begins among the five words before a match."""
+    return rf"regexp_matches(lower(value), '(?:{'|'.join(words)})[\pL\pN_]*[^\pL\pN_]+(?:[\pL\pN_]+[^\pL\pN_]+){{0,4}}(?:{pattern})')"
 
 
 def _hit_share_sql(of: str, column: str) -> str:
@@ -276,7 +277,7 @@ def _hit_share_sql(of: str, column: str) -> str:
         if r.entity in detect.IGNORED:
             continue
         found = f"regexp_matches(value, '{r.pattern}')"
-        tests.append(found if r.score >= detect.MIN_SCORE else f"({found} AND {_near(r.context)})")
+        tests.append(found if r.score >= detect.MIN_SCORE else _near(r.context, r.pattern))
     sample = f"SELECT DISTINCT {column} AS value FROM {of} WHERE {column} IS NOT NULL ORDER BY md5(value), value LIMIT {profile.DETECTOR_SAMPLE}"
     return f"SELECT '{of}' AS \"table\", '{column}' AS \"column\", avg(CAST({' OR '.join(tests)} AS DOUBLE)) AS hit_share FROM ({sample})"
 
@@ -568,4 +569,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_customer(spark, sf_dir)
 
 
-from palimpsest import queries_plans  # noqa: E402, F401  (registers its queries)
+from palimpsest import queries_plans, queries_text  # noqa: E402, F401  (registers their queries)

@@ -15,6 +15,7 @@ from palimpsest.plans.planner import Plan
 from palimpsest.plans.rulepack import RulePack
 from palimpsest.plans.storage import stage_table
 
+from .cells import rewrite_cells
 from .dictionary import bijection, domain_values, function_replacement, merged, permutation
 from .document import document_leaves, rewrite_documents
 from .generators import Renderers
@@ -154,9 +155,11 @@ def _rewrite_document(df: DataFrame, column: PolicyColumn, dictionary: DataFrame
     return rewrite_documents(df, name, found, column.document_paths, kinds)
 
 
-def rewrite_table(df: DataFrame, columns: list[PolicyColumn], dictionary: DataFrame, pack: RulePack, secret: Secret, exceptions: list[str] | None = None, counts: Observation | None = None) -> DataFrame:
+def rewrite_table(df: DataFrame, columns: list[PolicyColumn], dictionary: DataFrame, pack: RulePack, secret: Secret, exceptions: list[str] | None = None, counts: Observation | None = None, row_key: list[str] | None = None, by_cells: bool = False) -> DataFrame:
     """All planned columns of a table; names, order and types of columns stay.
 
+    ``by_cells``: whole values are rewritten together by ``rewrite_cells`` (``row_key`` tells it rows apart),
+    the way for dictionaries and tables too large to be sent or shuffled once a column.
     ``counts`` observes the rows and, by column, how many cells are replaced; the others have no key and
     stay. It holds its figures once the result has been written.
     """
@@ -165,6 +168,8 @@ def rewrite_table(df: DataFrame, columns: list[PolicyColumn], dictionary: DataFr
         typed = [c for c in columns if c.mode != "Document"]
         keys = [canonical(F.col(f"`{c.address.column}`"), "Text" if c.mode == "TextWipe" else c.canonical_kind) for c in typed]
         df = df.observe(counts, F.count(F.lit(1)).alias("rows"), *[F.count(k).alias(c.address.column) for k, c in zip(keys, typed, strict=True)])
-    for column in columns:
+    whole = [c for c in columns if by_cells and c.mode in ("Typed", "TextWipe")]
+    df = rewrite_cells(df, whole, dictionary, pack, secret, row_key, exceptions)
+    for column in (c for c in columns if c not in whole):
         df = rewrite_column(df, column, dictionary, pack, secret, exceptions, base)
     return df

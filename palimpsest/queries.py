@@ -569,4 +569,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_customer(spark, sf_dir)
 
 
-from palimpsest import queries_plans, queries_text  # noqa: E402, F401  (registers their queries)
+from palimpsest import queries_plans, queries_tables, queries_text  # noqa: E402, F401  (registers their queries)

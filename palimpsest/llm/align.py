@@ -25,7 +25,7 @@ from .common import by_size, fields_of, materialise, row_of, row_schema, sized,
 
 CUT = re.compile(r"(?<=\S)(?= )")
 #: Entries of each memo, pieces and characters of them that a worker remembers, characters read at a time.
-STATES, PIECES, PIECE_CHARS, READ = 1_000_000, 400_000, 16_000_000, 1_000_000
+STATES, PIECES, PIECE_CHARS, READ = 1_000_000, 600_000, 16_000_000, 1_000_000
 #: Codes of pairs a worker gathers before it combines them.
 GATHERED = 4_000_000
 #: Different id pairs (24 bytes each) whose counts are sent to every executor at most.
@@ -66,26 +66,31 @@ class Transducer:
         self.moves[state * BASE + token] = found = self.numbers[to]
         return found
 
-    def groups(self, left: list[int], right: list[int]) -> list[tuple[list[int], list[int]]]:
+    def groups(self, left: list[int], right: list[int]) -> tuple[list[list[int]], list[list[int]]]:
         """The ids of both sides in each group, in order."""
         if len(self.moves) > STATES or len(self.states) > STATES:
             self._clear()
-        moves, states, streams = self.moves, self.states, (iter(left), iter(right))
-        out: list[tuple[list[int], list[int]]] = []
-        state, open_ = 0, ([], [])
-        while True:
-            lags = states[state][0]
-            token = next(streams[lags], None)
-            if token is None:
-                if state or next(streams[1 - lags], None) is not None:
-                    raise Mismatch
-                return out
-            open_[lags].append(token)
-            found = moves.get(state * BASE + token)
-            state = self._move(state, token) if found is None else found
-            if not state:
-                out.append(open_)
-                open_ = [], []
+        moves, states = self.moves, self.states
+        lefts: list[list[int]] = []
+        rights: list[list[int]] = []
+        state = i = j = a = b = 0
+        try:
+            while i < len(left) or j < len(right) or state:
+                if states[state][0]:
+                    token = right[j]
+                    j += 1
+                else:
+                    token = left[i]
+                    i += 1
+                found = moves.get(state * BASE + token)
+                state = self._move(state, token) if found is None else found
+                if not state:
+                    lefts.append(left[a:i])
+                    rights.append(right[b:j])
+                    a, b = i, j
+        except IndexError:  # the side that lags has no more tokens
+            raise Mismatch from None
+        return lefts, rights
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -95,6 +100,27 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Grown:
+    """Rows in one array that grows by doubling; ``held`` is what has been added so far."""
+
+    def __init__(self, width: int = 0):
+        self._rows = np.zeros((1024, width) if width else 1024, np.int64)
+        self._n = 0
+
+    @property
+    def held(self) -> np.ndarray:
+        return self._rows[: self._n]
+
+    def add(self, rows: np.ndarray) -> None:
+        n = self._n + len(rows)
+        if n > len(self._rows):
+            more = np.zeros((2 * n, *self._rows.shape[1:]), np.int64)
+            more[: self._n] = self.held
+            self._rows = more
+        self._rows[self._n : n] = rows
+        self._n = n
+
+
 class Aligner:
     """Both vocabularies, the transducer, and what it gave for pieces of texts."""
 
@@ -113,6 +139,7 @@ class Aligner:
             left[i] = bytes(map(of.__getitem__, token)) if all(c in of for c in token) else token.encode()
         right = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
         self.space = self.b.piece_to_id("▁")
+        self.sizes = [np.array([len(t) for t in of], np.int64) for of in (left, right)]
         self.transducer = Transducer(left, right)
         self.left, self.right = left, right
         self.counts: Counts | None = None
@@ -123,45 +150,73 @@ class Aligner:
         self.held = 0
         self.texts: list[bytes] = []
         #: Tokens of both sides, groups, links, best links, sum of counts; a row a piece. All negative: no alignment.
-        self.figures = np.zeros((0, 6), np.int64)
-        self.codes = np.zeros(0, np.int64)
-        self.ends = np.zeros(1, np.int64)
+        self.figures = Grown(6)
+        #: Pairs of linked ids, piece by piece, and where those of each piece end.
+        self.codes, self.ends = Grown(), Grown()
+        self.ends.add(np.zeros(1, np.int64))
 
     def use(self, counts: Counts | None) -> None:
         """From now on pieces are judged by these counts."""
         if self.counts is not counts:
             self.counts = counts
-            self._judge(self.figures, self.codes, np.diff(self.ends))
+            self._judge(self.figures.held, self.codes.held, np.diff(self.ends.held))
+
+    def _encoded(self, pieces: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
+        """The ids of pieces, which all start with a space (the right side adds it by itself).
+
+        Pieces that end in no white space, and thus fall apart where they meet, are encoded as one text.
+        """
+        apart = [p for p in pieces if p[-1].isspace() or "▁" in p]
+        rest = [p for p in pieces if not (p[-1].isspace() or "▁" in p)]
+        if rest:
+            whole = "".join(rest)
+            ids = self.a.encode(whole, add_special_tokens=False).ids, self.b.encode(whole[1:], num_threads=1)
+            ends = np.cumsum([len(p.encode()) for p in rest])
+            cuts = []
+            for k in (0, 1):
+                at = np.cumsum(self.sizes[k][np.array(ids[k], np.int64)])
+                cut = np.searchsorted(at, ends)
+                if cut[-1] >= len(at) or (at[cut] != ends).any():  # never seen; then one by one
+                    apart, cuts = pieces, None
+                    break
+                cuts.append([0, *(cut + 1).tolist()])
+            if cuts:
+                for k, p in enumerate(rest):
+                    yield p, ids[0][cuts[0][k] : cuts[0][k + 1]], ids[1][cuts[1][k] : cuts[1][k + 1]]
+        for p in apart:
+            yield p, self.a.encode(p, add_special_tokens=False).ids, self.b.encode(p[1:], num_threads=1) if len(p) > 1 else [self.space]
 
     def learn(self, pieces: list[str]) -> None:
-        """Aligns pieces that the memo lacks. Each starts with a space, which the right side adds by itself."""
-        figures, codes = [], []
-        many = self.a.encode_batch(pieces, add_special_tokens=False)
-        others = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        for piece, a, b in zip(pieces, many, others, strict=True):
-            self.numbers[piece] = len(self.texts)
+        """Aligns pieces that the memo lacks."""
+        figures, codes, sizes, numbers, texts, groups = [], [], [], self.numbers, self.texts, self.transducer.groups
+        for piece, a, b in self._encoded(pieces):
+            numbers[piece] = len(texts)
             self.held += len(piece)
-            a, b = a.ids, b if len(piece) > 1 else [self.space]
             try:
-                if b"".join(map(self.left.__getitem__, a)) != piece.encode():
+                if "▁" in piece:  # comes back as a space
                     raise Mismatch
-                groups = self.transducer.groups(a, b)
+                lefts, rights = groups(a, b)
             except Mismatch:
                 figures.append((-1,) * 6)
-                self.texts.append(b"")
-                code = np.zeros(0, np.int64)
-            else:
-                code = np.array([x * BASE + y for g, h in groups for x in g for y in h], np.int64)
-                figures.append((len(a), len(b), len(groups), len(code), 0, 0))
-                self.texts.append(";".join([f"{','.join(map(str, g))}|{','.join(map(str, h))}" for g, h in groups]).encode())
-            codes.append(code)
-        every = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        sizes = np.fromiter(map(len, codes), np.int64, len(codes))
-        new = np.array(figures, np.int64).reshape(-1, 6)
-        self._judge(new, every, sizes)
-        self.figures = np.concatenate([self.figures, new])
-        self.codes = np.concatenate([self.codes, every])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+                texts.append(b"")
+                sizes.append(0)
+                continue
+            before, parts = len(codes), []
+            for g, h in zip(lefts, rights, strict=True):
+                if len(g) == len(h) == 1:
+                    codes.append(g[0] * BASE + h[0])
+                    parts.append(f"{g[0]}|{h[0]}")
+                else:
+                    codes += [x * BASE + y for x in g for y in h]
+                    parts.append(f"{','.join(map(str, g))}|{','.join(map(str, h))}")
+            texts.append(";".join(parts).encode())
+            sizes.append(len(codes) - before)
+            figures.append((len(a), len(b), len(lefts), sizes[-1], 0, 0))
+        every, size, new = np.array(codes, np.int64), np.array(sizes, np.int64), np.array(figures, np.int64).reshape(-1, 6)
+        self._judge(new, every, size)
+        self.figures.add(new)
+        self.codes.add(every)
+        self.ends.add(self.ends.held[-1] + np.cumsum(size))
 
     def _judge(self, figures: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> None:
         """Sums up what the counts say of each piece's links."""
@@ -180,10 +235,10 @@ class Aligner:
             found = CUT.search(whole, start + READ) if len(whole) - start > READ else None
             stop = found.start() if found else len(whole)
             pieces = CUT.split(whole[start:stop])
-            fresh = list(dict.fromkeys([p for p in pieces if p not in self.numbers]))
+            fresh = list(set(pieces).difference(self.numbers))
             if fresh and (len(self.texts) + len(fresh) > PIECES or self.held > PIECE_CHARS):
                 self._clear()
-                fresh = list(dict.fromkeys(pieces))
+                fresh = list(set(pieces))
             if fresh:
                 self.learn(fresh)
             yield np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
@@ -197,9 +252,10 @@ class Aligner:
 
     def codes_of(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The id pairs linked in pieces, and where each piece's end."""
-        sizes = self.ends[pieces + 1] - self.ends[pieces]
+        first = self.ends.held[pieces]
+        sizes = self.ends.held[pieces + 1] - first
         ends = np.cumsum(sizes)
-        return self.codes[np.arange(int(sizes.sum())) - np.repeat(ends - sizes, sizes) + np.repeat(self.ends[pieces], sizes)], sizes
+        return self.codes.held[np.arange(int(sizes.sum())) - np.repeat(ends - sizes - first, sizes)], sizes
 
 
 class Counts:
@@ -230,7 +286,7 @@ def _linked(aligner: Aligner, text: str) -> tuple[np.ndarray, np.ndarray] | None
     codes, times = [], []
     for numbers in aligner.read(text) if text else ():
         piece, often = np.unique(numbers, return_counts=True)
-        if (aligner.figures[piece, 0] < 0).any():
+        if (aligner.figures.held[piece, 0] < 0).any():
             return None
         code, sizes = aligner.codes_of(piece)
         codes.append(code)
@@ -321,7 +377,7 @@ def align_documents(df: DataFrame, byte_bpe: str, pieces: str, keep: list[str],
             for one in batch.column(1).to_pylist():
                 total, digest, sep, groups, at = np.zeros(6, np.int64), hashlib.sha256(), b"", [], 0
                 for numbers in aligner.read(one) if one else ():
-                    figures = aligner.figures[numbers]
+                    figures = aligner.figures.held[numbers]
                     if (figures[:, 0] < 0).any():
                         total = None
                         break

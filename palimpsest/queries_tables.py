@@ -1,14 +1,19 @@
-"""Queries over whole tables: rewriting by cells."""
+"""Queries over whole tables: rewriting by cells, SQL dumps."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.cells import bucketed
 from palimpsest.operators.rewrite import rewrite_table
 from palimpsest.plans.model import Address, PolicyColumn
+from palimpsest.plans.storage import work_dir
 from palimpsest.registry import PACK, query, secret, table
+from palimpsest.sources import catalog
+from palimpsest.sources.catalog import Resource
 
 
 def _digested(df: DataFrame, texts: list[str], number: str) -> DataFrame:
@@ -29,3 +34,27 @@ def rewrite_orders_by_cells(spark, sf_dir):
 def rewrite_lineitem_by_cells(spark, sf_dir):
     """Three columns of a table without a key, two of them with few values that each fill a third of the rows or more."""
     return _digested(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_partkey")
+
+
+def _dumped(spark, sf_dir, of: str) -> DataFrame:
+    """Three tables as one plain dump, of which one is read back."""
+    sink = Resource("dump", "sql", f"{work_dir(spark)}/dump-{uuid.uuid4().hex}")
+    for name in ("customer", "orders", "documents"):
+        catalog.write(table(spark, sf_dir, name), sink, name)
+    return catalog.read(spark, Resource("dump", "dump", sink.path), of, table(spark, sf_dir, of).schema)
+
+
+@query("SELECT * FROM customer")
+def dump_customer(spark, sf_dir):
+    return _dumped(spark, sf_dir, "customer")
+
+
+@query("SELECT * FROM orders")
+def dump_orders(spark, sf_dir):
+    return _dumped(spark, sf_dir, "orders")
+
+
+@query("SELECT doc_id, text, lang FROM documents")
+def dump_documents(spark, sf_dir):
+    """Texts with line ends, tabs and backslashes."""
+    return _dumped(spark, sf_dir, "documents").select("doc_id", "text", "lang")

@@ -1,4 +1,4 @@
-"""Sources and sinks by name: Parquet, ORC, JSON, CSV, JDBC, and dumps (folders told apart by content)."""
+"""Sources and sinks by name: Parquet, ORC, JSON, CSV, JDBC, plain SQL dumps, and dumps (told apart by content)."""
 
 from __future__ import annotations
 
@@ -9,9 +9,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 
+from .dump import read_dump, write_dump
+
 FORMATS = ("parquet", "orc", "json", "csv", "jdbc")
 #: First bytes of file formats.
 MAGIC = {b"PAR1": "parquet", b"ORC": "orc"}
+#: How plain SQL dumps begin.
+STATEMENTS = (b"--", b"COPY ", b"SET ", b"CREATE ", b"BEGIN;")
 
 
 @dataclass
@@ -26,7 +30,7 @@ class Resource:
     options: dict[str, str] = field(default_factory=dict)
 
     def check(self) -> None:
-        if self.kind not in (*FORMATS, "dump"):
+        if self.kind not in (*FORMATS, "dump", "sql"):
             raise ValueError(f"{self.id}: unknown kind {self.kind}")
         if self.kind == "jdbc" and not self.connection:
             raise ValueError(f"{self.id}: a database needs a connection")
@@ -113,6 +117,8 @@ def sniff(spark: SparkSession, path: str) -> str:
     for magic, kind in MAGIC.items():
         if head.startswith(magic):
             return kind
+    if head.upper().startswith(STATEMENTS):
+        return "sql"
     return "json" if head.lstrip()[:1] in (b"{", b"[") else "csv"
 
 
@@ -134,6 +140,8 @@ def read(spark: SparkSession, source: Resource, table: str, schema=None) -> Data
     if source.kind == "jdbc":
         url, properties = jdbc_url(source.connection) if not source.connection.startswith("jdbc:") else (source.connection, {})
         return spark.read.format("jdbc").options(url=url, dbtable=table, **properties, **source.options).load()
+    if source.kind == "sql" or source.kind == "dump" and _is_sql(spark, source.path):
+        return read_dump(spark, source.path, table, schema)
     reader: DataFrameReader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
@@ -143,6 +151,11 @@ def read(spark: SparkSession, source: Resource, table: str, schema=None) -> Data
     return reader.format(kind).options(**options).load(_existing(spark, path, kind))
 
 
+def _is_sql(spark: SparkSession, path: str) -> bool:
+    """A file, or a folder of files, that is a plain SQL dump."""
+    return sniff(spark, path) == "sql"
+
+
 def _existing(spark: SparkSession, path: str, kind: str) -> str:
     for name in dict.fromkeys((path, f"{path}.{kind}", *(f"{path}.{k}" for k in FORMATS))):
         at = spark._jvm.org.apache.hadoop.fs.Path(name)
@@ -158,6 +171,9 @@ def write(df: DataFrame, sink: Resource, table: str) -> None:
         url, properties = jdbc_url(sink.connection) if not sink.connection.startswith("jdbc:") else (sink.connection, {})
         df.write.format("jdbc").mode("overwrite").options(url=url, dbtable=table, **properties, **sink.options).save()
         return
+    if sink.kind == "sql":
+        write_dump(df, f"{sink.path.rstrip('/')}/{table}", table)
+        return
     kind = "parquet" if sink.kind == "dump" else sink.kind
     options = {"header": "true"} | sink.options if kind == "csv" else sink.options
     df.write.mode("overwrite").format(kind).options(**options).save(f"{sink.path.rstrip('/')}/{table}")

@@ -280,7 +280,8 @@ def repeated_spans(texts: DataFrame, window: int, limit: int) -> DataFrame:
     windows = windows.join(ones, ["anchor", "content"], "left_semi").unionAll(whole)
     hits = live.join(windows, ["anchor", "content"])
     hits = hits.select("id", "h", F.struct((F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") + (window - 1)).alias("b")).alias("span"))
-    return hits.groupBy("id", "h").agg(F.collect_list("span").alias("spans"))
+    # rows that repeat an id and its text have the same spans: a set of them, combined before the shuffle
+    return hits.groupBy("id", "h").agg(F.collect_set("span").alias("spans"))
 
 
 def cut_out(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise, sized
+
 TURNS = "array<struct<role:string,text:string>>"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -61,9 +63,11 @@ def format_preferences(pairs: DataFrame, keep: list[str]) -> DataFrame:
     Turns are common if role and text agree. Markers of the template that stand in roles or texts lose
     their bars (``<|im_end|>`` becomes ``<im_end>``), so that no text can open or close a turn. Equal
     conversations leave empty completions; a null one counts as one without turns. Row by row, without a
-    shuffle: repeated rows stay, an empty table gives an empty one. Columns in ``keep`` must not be named
-    like those made here.
+    shuffle: repeated rows stay, an empty table gives an empty one. A column in ``keep`` that is named like
+    one made here is refused.
     """
+    if clash := sorted({*keep} & {"n_prompt_turns", "prompt", *(f"{c}_{x}" for c in ("chosen", "rejected") for x in ("completion", "trained"))}):
+        raise ValueError(f"columns named like those made here: {', '.join(clash)}")
     empty = F.array().cast(TURNS)
     at = pairs.select(*keep, F.coalesce("chosen", empty).alias("chosen"), F.coalesce("rejected", empty).alias("rejected"))
     same = F.zip_with("chosen", "rejected", lambda a, b: a.isNotNull() & b.isNotNull() & a.eqNullSafe(b))
@@ -75,22 +79,39 @@ def format_preferences(pairs: DataFrame, keep: list[str]) -> DataFrame:
     return at.select(*keep, "n_prompt_turns", prompt, *made)
 
 
+def _ordered(ids: DataFrame) -> DataFrame:
+    """``ids`` with ``rank``: the place of each row in the order of ``conv_id`` (all different), from 0, and ``all`` rows.
+
+    Sorted parts are written, so that their numbers hold; what comes before a part is summed over the parts.
+    """
+    parts = ids.repartitionByRange("conv_id").sortWithinPartitions("conv_id")
+    held = materialise(parts.select("*", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % (1 << 33)).alias("k")), "ordered")
+    sizes = held.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy()
+    offsets = materialise(sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("all")), "offsets")
+    return held.join(sized(offsets), "part").withColumn("rank", F.col("before") + F.col("k")).drop("part", "k", "before")
+
+
 def swapped_pairs(turns: DataFrame, block: int = 64) -> DataFrame:
     """Pairs from conversations alone: ``conv_id``, ``rejected_from``, ``chosen``, ``rejected``.
 
     A conversation is chosen over itself with its last assistant turn, and whatever follows it, replaced
-    by the last assistant turn of another: of the next one with such a turn among the ``block`` ids that
-    share ``floor(id / block)``, around the end. Without one (or alone in its block, or without id) it is paired with itself.
+    by the last assistant turn of another. Conversations with such a turn are taken ``block`` at a time in
+    order of their ids, whatever their values (the last block takes what is left over, too), and each gets
+    that of the next one in its block, the last one that of the first. One without such a turn, without id,
+    or the only one of all is paired with itself.
     """
     single = turns.where("conv_id is null").select("conv_id", F.col("conv_id").alias("rejected_from"), F.col("turns").alias("chosen"), F.col("turns").alias("rejected"))
-    turns = turns.where("conv_id is not null")
-    last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1).otherwise(0)))
-    at = turns.withColumn("last", F.coalesce(last, F.lit(0))).withColumn("answers", F.col("last") > 0)
-    answer = F.when(F.col("answers"), F.element_at("turns", F.greatest("last", F.lit(1))))
-    w = Window.partitionBy(F.floor(F.col("conv_id") / block), "answers").orderBy("conv_id")
-    other = F.struct("conv_id", answer.alias("turn"))
+    last = F.coalesce(F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1).otherwise(0))), F.lit(0))
+    at = turns.where("conv_id is not null").withColumn("last", last)
+    answers = _ordered(at.where("last > 0").select("conv_id", F.element_at("turns", F.greatest("last", F.lit(1))).alias("turn")))
+    blocks = answers.withColumn("block", F.least(F.expr(f"rank div {block}"), F.greatest(F.expr(f"`all` div {block}") - 1, F.lit(0))))
+    w = Window.partitionBy("block").orderBy("conv_id")
+    other = F.struct("conv_id", "turn")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    at = at.withColumn("other", F.coalesce(F.lead(other).over(w), F.first(other).over(whole)))
+    given = blocks.select("conv_id", F.coalesce(F.lead(other).over(w), F.first(other).over(whole)).alias("other"))
+    at = at.join(given, "conv_id", "left")
     swapped = F.concat(F.slice("turns", F.lit(1), F.greatest(F.col("last") - 1, F.lit(0))), F.array("other.turn"))
-    swaps = at.select("conv_id", F.when(F.col("answers"), F.col("other.conv_id")).alias("rejected_from"), F.col("turns").alias("chosen"), F.when(F.col("answers"), swapped).otherwise(F.col("turns")).alias("rejected"))
+    swaps = at.select("conv_id", F.col("other.conv_id").alias("rejected_from"), F.col("turns").alias("chosen"), F.when(F.col("last") > 0, swapped).otherwise(F.col("turns")).alias("rejected"))
     return swaps.unionByName(single)

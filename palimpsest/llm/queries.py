@@ -151,7 +151,7 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce
 FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id
 """
 
-#: The last answers are swapped along the ids of a block of 64; the common prefix is all turns before.
+#: The last answers are swapped along blocks of 64 conversations in order; the common prefix is all turns before.
 OP8_SQL = r"""
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role,
@@ -162,10 +162,12 @@ WITH t AS (
   SELECT conv_id, count(*) AS n, max(CASE WHEN role = 'assistant' THEN k END) AS a FROM t GROUP BY conv_id
 ), own AS (
   SELECT c.conv_id, n, a, t.text, t.raw FROM c LEFT JOIN t ON t.conv_id = c.conv_id AND t.k = c.a
+), placed AS (
+  SELECT *, CASE WHEN a IS NOT NULL THEN least((row_number() OVER (PARTITION BY a IS NOT NULL ORDER BY conv_id) - 1) // 64, greatest(count(*) OVER (PARTITION BY a IS NOT NULL) // 64 - 1, 0)) END AS block FROM own
 ), nxt AS (
   SELECT *, CASE WHEN a IS NOT NULL THEN coalesce(lead(conv_id) OVER w, first(conv_id) OVER b) END AS other
-  FROM own WINDOW w AS (PARTITION BY conv_id // 64, a IS NOT NULL ORDER BY conv_id),
-    b AS (PARTITION BY conv_id // 64, a IS NOT NULL ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+  FROM placed WINDOW w AS (PARTITION BY block ORDER BY conv_id),
+    b AS (PARTITION BY block ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 ), p AS (
   SELECT x.conv_id, x.other, x.n, x.a, y.text AS other_text,
     CASE WHEN x.a IS NULL THEN x.n WHEN x.raw = y.raw THEN x.a ELSE x.a - 1 END AS np

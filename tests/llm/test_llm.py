@@ -574,6 +574,46 @@ def test_mixing_goes_on_behind_long_documents(spark):
         assert {r["doc_id"] for r in of if r["__taken"]} == want
 
 
+def test_repeats_in_repeated_rows(spark):
+    """Rows that repeat one id and text, or have no id, cost what rows with ids of their own do."""
+    import time
+
+    text = " ".join(f"word{i} said{i * 7 % 89}" for i in range(55))
+    frame = lambda ids: spark.range(20_000).select(F.expr(ids).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    took, want = {}, (len(text), len(text), 1, hashlib.sha256(b"").hexdigest())
+    for name, ids in (("first", "id"), ("own", "id"), ("one", "7"), ("none", "null")):
+        began = time.time()
+        rows = suffix_dedup.remove_repeats(frame(ids)).groupBy("n_bytes", "n_removed", "n_spans", "kept_sha256").count().collect()
+        took[name] = time.time() - began
+        assert [tuple(r) for r in rows] == [(*want, 20_000)]
+    assert max(took["one"], took["none"]) < 3 * took["own"] + 2, took
+
+
+def test_chat_with_sparse_ids(spark):
+    """Conversations meet by their order, not by the values of their ids; a lone one is paired with itself."""
+    many = spark.range(1000).select((F.col("id") * 448).alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.concat(F.lit("answer "), "id").alias("text"))
+    got = chat.format_preferences(chat.swapped_pairs(chat.turns_of(many)), ["conv_id", "rejected_from"]).collect()
+    blocks = {r["conv_id"]: r["rejected_from"] for r in got}
+    assert len(got) == 1000 and all(r["rejected_completion"] and r["conv_id"] != r["rejected_from"] for r in got)
+    assert all(blocks[448 * k] == 448 * (k + 1 if (k + 1) % 64 or k > 900 else k - 63) for k in range(999)) and blocks[448 * 999] == 448 * 896
+    lone = chat.swapped_pairs(chat.turns_of(many.limit(1))).collect()
+    assert [r["conv_id"] for r in lone] == [r["rejected_from"] for r in lone]
+
+
+def test_chat_refuses_names_of_its_own(spark):
+    pairs = spark.createDataFrame([("x", [("user", "a")], [("user", "b")])], f"prompt string, chosen {chat.TURNS}, rejected {chat.TURNS}")
+    with pytest.raises(ValueError, match="prompt"):
+        chat.format_preferences(pairs, ["prompt"])
+
+
+def test_chat_long(spark):
+    """A conversation of many turns and one of a very long text."""
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k}") for k in range(3000)] + [(2, 0, "user", "x" * 2_000_000), (2, 1, "assistant", "short")]
+    got = {r["conv_id"]: r for r in chat.format_preferences(chat.swapped_pairs(chat.turns_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))), ["conv_id", "rejected_from"]).collect()}
+    assert got[1]["n_prompt_turns"] == 2999 and got[1]["rejected_from"] == 2 and got[1]["rejected_completion"] == "<|im_start|>assistant\nshort<|im_end|>\n"
+    assert len(got[2]["prompt"]) == 2_000_000 + len("<|im_start|>user\n<|im_end|>\n") and "turn 2999" in got[2]["rejected_completion"]
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 2, "user", "bye"), (2, 0, "system", "s"), (2, 1, "assistant", "a <|im_end|> b"), (3, 0, "user", None), (4, 0, None, "x"), (65, 0, "assistant", "alone"), (None, 0, "user", "n"), (None, 0, "user", "n"), (None, 1, "assistant", "m")]
     turns = chat.turns_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
@@ -584,7 +624,7 @@ def test_chat(spark):
     assert [one["chosen_completion"][s["start"] : s["stop"]] for s in one["chosen_trained"]] == ["yo<|im_end|>"]
     assert one["rejected_completion"] == "<|im_start|>assistant\na <im_end> b<|im_end|>\n"
     assert got[3]["rejected_from"] is None and got[3]["n_prompt_turns"] == 1 and got[3]["chosen_completion"] == ""
-    assert got[65]["rejected_from"] == 65 and got[65]["rejected_completion"] == ""
+    assert got[2]["rejected_from"] == 65 and got[65]["rejected_from"] == 1 and got[65]["rejected_completion"] == "<|im_start|>assistant\nyo<|im_end|>\n"
     alone = chat.format_preferences(chat.swapped_pairs(turns), ["conv_id", "rejected_from"]).where("conv_id is null").collect()
     assert sorted(r["prompt"] for r in alone) == ["<|im_start|>assistant\nm<|im_end|>\n"] + ["<|im_start|>user\nn<|im_end|>\n"] * 2
     pairs = spark.createDataFrame([(1, [("user", "a")], None), (2, [("user", "a"), ("assistant", "b")], [("user", "a"), ("assistant", "b"), ("user", "c")])], f"id int, chosen {chat.TURNS}, rejected {chat.TURNS}")

@@ -18,14 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import by_size, fields_of, materialise, row_of, row_schema, sized, worker_cache
+from .common import by_size, fields_of, materialise, row_of, row_schema, worker_cache
 
 CUT = re.compile(r"(?<=\S)(?= )")
 #: Entries of each memo, pieces and characters of them that a worker remembers, characters read at a time.
-STATES, PIECES, PIECE_CHARS, READ = 1_000_000, 600_000, 16_000_000, 1_000_000
+STATES, PIECES, PIECE_CHARS, READ = 1_000_000, 800_000, 16_000_000, 1_000_000
 #: Codes of pairs a worker gathers before it combines them.
 GATHERED = 4_000_000
 #: Different id pairs (24 bytes each) whose counts are sent to every executor at most.
@@ -142,25 +144,18 @@ class Aligner:
         self.sizes = [np.array([len(t) for t in of], np.int64) for of in (left, right)]
         self.transducer = Transducer(left, right)
         self.left, self.right = left, right
-        self.counts: Counts | None = None
         self._clear()
 
     def _clear(self) -> None:
         self.numbers: dict[str, int] = {}
         self.held = 0
         self.texts: list[bytes] = []
-        #: Tokens of both sides, groups, links, best links, sum of counts; a row a piece. All negative: no alignment.
-        self.figures = Grown(6)
+        #: Tokens of both sides, groups, links; a row a piece. All negative: no alignment.
+        self.figures = Grown(4)
         #: Pairs of linked ids, piece by piece, and where those of each piece end.
         self.codes, self.ends = Grown(), Grown()
         self.ends.add(np.zeros(1, np.int64))
 
-    def use(self, counts: Counts | None) -> None:
-        """From now on pieces are judged by these counts."""
-        if self.counts is not counts:
-            self.counts = counts
-            self._judge(self.figures.held, self.codes.held, np.diff(self.ends.held))
-
     def _encoded(self, pieces: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
         """The ids of pieces, which all start with a space (the right side adds it by itself).
 
@@ -197,7 +192,7 @@ class Aligner:
                     raise Mismatch
                 lefts, rights = groups(a, b)
             except Mismatch:
-                figures.append((-1,) * 6)
+                figures.append((-1,) * 4)
                 texts.append(b"")
                 sizes.append(0)
                 continue
@@ -211,22 +206,10 @@ class Aligner:
                     parts.append(f"{','.join(map(str, g))}|{','.join(map(str, h))}")
             texts.append(";".join(parts).encode())
             sizes.append(len(codes) - before)
-            figures.append((len(a), len(b), len(lefts), sizes[-1], 0, 0))
-        every, size, new = np.array(codes, np.int64), np.array(sizes, np.int64), np.array(figures, np.int64).reshape(-1, 6)
-        self._judge(new, every, size)
-        self.figures.add(new)
-        self.codes.add(every)
-        self.ends.add(self.ends.held[-1] + np.cumsum(size))
-
-    def _judge(self, figures: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> None:
-        """Sums up what the counts say of each piece's links."""
-        figures[:, 4:] = np.where(figures[:, :1] < 0, -1, 0)
-        if self.counts is not None and len(codes):
-            count, best = self.counts.of(codes)
-            ends = np.r_[0, np.cumsum(sizes)]
-            for k, values in ((4, best), (5, count)):
-                total = np.r_[0, np.cumsum(values)]
-                figures[:, k] += total[ends[1:]] - total[ends[:-1]]
+            figures.append((len(a), len(b), len(lefts), sizes[-1]))
+        self.figures.add(np.array(figures, np.int64).reshape(-1, 4))
+        self.codes.add(np.array(codes, np.int64))
+        self.ends.add(self.ends.held[-1] + np.cumsum(np.array(sizes, np.int64)))
 
     def read(self, text: str) -> Iterator[np.ndarray]:
         """The numbers of a text's pieces, some at a time; they hold until the next ones are asked for."""
@@ -258,92 +241,149 @@ class Aligner:
         return self.codes.held[np.arange(int(sizes.sum())) - np.repeat(ends - sizes - first, sizes)], sizes
 
 
-class Counts:
-    """In how many documents an id pair is linked, and whether that is the most of its left id."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, best: np.ndarray):
-        self.codes, self.counts, self.best = codes, counts, best
-
-    @classmethod
-    def of_table(cls, table: pa.Table) -> Counts:
-        code = table["a"].to_numpy().astype(np.int64) * BASE + table["b"].to_numpy()
-        order = np.argsort(code)
-        return cls(code[order], table["docs"].to_numpy()[order], np.array(table["best"].to_pylist(), bool)[order])
-
-    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.codes):
-            return np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)  # pieces of other tables may hold unknown pairs
-        return self.counts[at], self.best[at].astype(np.int64)
-
-
 def _aligner(byte_bpe: str, pieces: str) -> Aligner:
     return worker_cache(("align", byte_bpe, pieces), lambda: Aligner(byte_bpe, pieces))
 
 
-def _linked(aligner: Aligner, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-    """The different id pairs of a text and how often each is linked; None if it has no alignment."""
-    codes, times = [], []
-    for numbers in aligner.read(text) if text else ():
-        piece, often = np.unique(numbers, return_counts=True)
-        if (aligner.figures.held[piece, 0] < 0).any():
+def _linked(aligner: Aligner, text: str, keep_groups: bool) -> tuple | None:
+    """Figures and digest of a text's alignment, its different id pairs and how often each is linked, and its groups if
+    wanted; None if it has no alignment."""
+    total, digest, sep, codes, times, groups, at = np.zeros(4, np.int64), hashlib.sha256(), b"", [], [], [], 0
+    for numbers in aligner.read(text):
+        figures = aligner.figures.held[numbers]
+        if (figures[:, 0] < 0).any():
             return None
+        total += figures.sum(axis=0)
+        digest.update(sep + b";".join(map(aligner.texts.__getitem__, numbers.tolist())))
+        sep = b";"
+        piece, often = np.unique(numbers, return_counts=True)
         code, sizes = aligner.codes_of(piece)
         codes.append(code)
         times.append(np.repeat(often, sizes))
-    if not codes:
-        return None
-    code, where = np.unique(np.concatenate(codes), return_inverse=True)
-    total = np.zeros(len(code), np.int64)
-    np.add.at(total, where.reshape(-1), np.concatenate(times))
-    return code, total
+        if keep_groups:
+            for a, b in (g for k in numbers.tolist() for g in aligner.groups(k)):
+                stop = at + sum(len(aligner.left[t]) for t in a)
+                groups.append({"a": a, "b": b, "start": at, "stop": stop})
+                at = stop
+    code, n = _combined(codes, times)
+    return total.tolist(), digest.hexdigest(), code, n, groups
 
 
-def pair_counts(df: DataFrame, byte_bpe: str, pieces: str, text: str = "text") -> DataFrame:
-    """``a``, ``b``, ``docs`` (rows of ``df`` that hold the pair linked), ``best`` (none of ``a`` is in more).
+def _combined(codes: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes, and the sum of the times of each."""
+    code, n = np.concatenate(codes), np.concatenate(times)
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+    return code[first], np.add.reduceat(n, first) if len(first) else n
 
-    Pairs leave a worker counted; their number is bounded by the vocabularies, whatever the rows.
+
+FIGURES = "n_a long, n_b long, n_groups long, n_links long"
+GROUPS = "groups array<struct<a:array<int>,b:array<int>,start:long,stop:long>>"
+LINKS = "a array<int>, b array<int>, times array<int>"
+GROUP = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("start", pa.int64()), ("stop", pa.int64())]))
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.r_[0, np.cumsum([len(v) for v in values])].astype(np.int32)
+    flat = np.concatenate(values) if values else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
+
+
+def links(df: DataFrame, byte_bpe: str, pieces: str, keep_groups: bool = False) -> DataFrame:
+    """``row``, ``id`` (different in each row), figures, digest and different linked pairs of the texts of ``df`` (``row``, ``text``).
+
+    Row by row, without a shuffle. Ids are those of tasks: read them from where they have been written.
     """
-    rows = df.select(F.col(f"`{text}`").alias("text")).where("text <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(byte_bpe, pieces)
-        codes, counts, held = [], [], 0
+        aligner, number = _aligner(byte_bpe, pieces), TaskContext.get().partitionId() << 33
+        for batch in (part for whole in batches for part in by_size(whole)):
+            rows = [(_linked(aligner, t, keep_groups) if t else None) or ([0] * 4, "", NONE, NONE, None) for t in batch.column(1).to_pylist()]
+            made = [pa.array([r[0][k] for r in rows], pa.int64()) for k in range(4)] + [pa.array([r[1] for r in rows], pa.string())]
+            made += [_lists([r[2] // BASE for r in rows]), _lists([r[2] % BASE for r in rows]), _lists([r[3] for r in rows])]
+            made += [pa.array([r[4] for r in rows], GROUP)] * keep_groups
+            ids = pa.array(np.arange(number, number + len(rows)))
+            number += len(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, *made], names=["row", "id", *NAMES, "groups_sha256", "a", "b", "times", *["groups"] * keep_groups])
 
-        def combined() -> tuple[np.ndarray, np.ndarray]:
-            code, where = np.unique(np.concatenate(codes), return_inverse=True)
-            total = np.zeros(len(code), np.int64)
-            np.add.at(total, where.reshape(-1), np.concatenate(counts))
-            return code, total
+    return df.mapInArrow(run, row_schema(df, f"id long, {FIGURES}, groups_sha256 string, {LINKS}" + f", {GROUPS}" * keep_groups))
 
-        def out() -> pa.RecordBatch:
-            code, total = combined()
-            return pa.RecordBatch.from_arrays([pa.array((code // BASE).astype(np.int32)), pa.array((code % BASE).astype(np.int32)), pa.array(total)], names=["a", "b", "docs"])
 
-        for batch in (part for whole in batches for part in by_size(whole)):
-            for one in batch.column(0).to_pylist():
-                found = _linked(aligner, one)
-                if found is None:
-                    continue
-                codes.append(found[0])
-                counts.append(np.ones(len(found[0]), np.int64))
-                held += len(found[0])
-                if held > GATHERED:
-                    code, total = combined()
-                    codes, counts, held = [code], [total], len(code)
-                    if held > GATHERED // 2:
-                        yield out()
-                        codes, counts, held = [], [], 0
+NONE = np.zeros(0, np.int64)
+NAMES = ["n_a", "n_b", "n_groups", "n_links"]
+
+
+def _codes(batch: pa.RecordBatch, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes in the columns ``first`` (left ids) and the next (right ids), and where each row's begin and end."""
+    a, b = batch.column(first), batch.column(first + 1)
+    ends = a.offsets.to_numpy().astype(np.int64)
+    left, right = (np.asarray(x.values)[x.offsets[0].as_py() : x.offsets[-1].as_py()].astype(np.int64) for x in (a, b))
+    return left * BASE + right, ends - ends[0]
+
+
+def pair_counts(linked: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``docs`` (rows of ``links`` that hold the pair), ``best`` (none of ``a`` is in more).
+
+    Pairs leave a worker counted; their number is bounded by the vocabularies, whatever the rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts, held = [], [], 0
+        for batch in batches:
+            code, _ = _codes(batch, 0)
+            codes.append(code)
+            counts.append(np.ones(len(code), np.int64))
+            held += len(code)
+            if held > GATHERED:
+                code, total = _combined(codes, counts)
+                codes, counts, held = [code], [total], len(code)
+                if held > GATHERED // 2:
+                    yield out(code, total)
+                    codes, counts, held = [], [], 0
         if codes:
-            yield out()
+            yield out(*_combined(codes, counts))
 
-    found = rows.mapInArrow(run, "a int, b int, docs long").groupBy("a", "b").agg(F.sum("docs").alias("docs"))
+    def out(code: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array((code // BASE).astype(np.int32)), pa.array((code % BASE).astype(np.int32)), pa.array(total)], names=["a", "b", "docs"])
+
+    found = linked.select("a", "b").mapInArrow(run, "a int, b int, docs long").groupBy("a", "b").agg(F.sum("docs").alias("docs"))
     # at most a row for each id of the other vocabulary in a window
     return found.withColumn("best", F.col("docs") == F.max("docs").over(Window.partitionBy("a")))
 
 
-MADE = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-GROUPS = "groups array<struct<a:array<int>,b:array<int>,start:long,stop:long>>"
+def _judged(linked: DataFrame, counts: DataFrame) -> DataFrame:
+    """``linked`` with ``n_best`` and ``count_sum``, by counts that every executor gets."""
+    found = counts.toArrow()
+    code = found["a"].to_numpy().astype(np.int64) * BASE + found["b"].to_numpy()
+    order = np.argsort(code)
+    sent = linked.sparkSession.sparkContext.broadcast((code[order], found["docs"].to_numpy()[order], np.array(found["best"].to_pylist(), np.int64)[order]))
+    at = linked.columns.index("a")
+    rest = [c for c in linked.columns if c not in ("a", "b", "times", "id")]
+    kinds = StructType([linked.schema[c] for c in rest] + StructType.fromDDL("n_best long, count_sum long").fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, docs, best = sent.value
+        for batch in batches:
+            codes, ends = _codes(batch, at)
+            times = np.asarray(batch.column(at + 2).values)[batch.column(at + 2).offsets[0].as_py() :][: len(codes)].astype(np.int64)
+            where = np.searchsorted(known, codes)
+            new = []
+            for of in (best, docs):
+                total = np.r_[0, np.cumsum(of[where] * times)]
+                new.append(pa.array(total[ends[1:]] - total[ends[:-1]], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.names.index(c)) for c in rest], *new], names=[*rest, "n_best", "count_sum"])
+
+    return linked.mapInArrow(run, kinds)
+
+
+def _joined(linked: DataFrame, counts: DataFrame, salts: int = 32) -> DataFrame:
+    """The same where counts are too many to send: pairs meet them in a join; one that most texts hold is spread
+    over ``salts`` copies of its count."""
+    each = linked.select("id", F.explode(F.arrays_zip("a", "b", "times")).alias("x")).select("id", "x.*", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    spread = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    sums = each.join(spread, ["a", "b", "salt"]).groupBy("id").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum"))
+    return linked.drop("a", "b", "times").join(sums, "id", "left").fillna(0, ["n_best", "count_sum"])
 
 
 def align_documents(df: DataFrame, byte_bpe: str, pieces: str, keep: list[str], text: str = "text", keep_groups: bool = False, sent_pairs: int = SENT_PAIRS) -> DataFrame:
@@ -356,72 +396,16 @@ def align_documents(df: DataFrame, byte_bpe: str, pieces: str, keep: list[str],
     as ``a1,a2|b1;a3|b2``. With ``keep_groups``, ``groups`` holds their ids and offsets in the bytes of
     space and text.
 
-    Counts of pairs are gathered first. Up to ``sent_pairs`` of them, counted, are sent to the workers;
-    beyond that each text's pairs are joined with their counts. A null or empty text, or one whose tokens
-    do not spell it (the lower block U+2581 comes back as a space), has no tokens: zeros, an empty digest,
-    null groups. Repeated rows stay and count one by one; an empty table gives an empty one. Columns of
-    ``keep`` named like those made here are left out.
+    Texts are encoded once; their different pairs are written, and counted from there. Up to ``sent_pairs``
+    counts, counted, are sent to the workers; beyond that pairs are joined with them. A null or empty text,
+    or one whose tokens do not spell it (the lower block U+2581 comes back as a space), has no tokens:
+    zeros, an empty digest, null groups. Repeated rows stay and count one by one; an empty table gives an
+    empty one. Columns of ``keep`` named like those made here are left out.
     """
-    made = [c.split()[0] for c in MADE.split(", ")] + ["groups"] * keep_groups
+    made = [*NAMES, "n_best", "count_sum", "groups_sha256", *["groups"] * keep_groups]
     keep = [c for c in keep if c not in made]
-    counts = materialise(pair_counts(df, byte_bpe, pieces, text), "pairs")
-    small = counts.count() <= sent_pairs
-    sent = df.sparkSession.sparkContext.broadcast(Counts.of_table(counts.toArrow())) if small else None
     inner = df.select(row_of(keep), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(byte_bpe, pieces)
-        aligner.use(sent.value if sent else None)
-        for batch in (part for whole in batches for part in by_size(whole)):
-            rows = []
-            for one in batch.column(1).to_pylist():
-                total, digest, sep, groups, at = np.zeros(6, np.int64), hashlib.sha256(), b"", [], 0
-                for numbers in aligner.read(one) if one else ():
-                    figures = aligner.figures.held[numbers]
-                    if (figures[:, 0] < 0).any():
-                        total = None
-                        break
-                    total += figures.sum(axis=0)
-                    digest.update(sep + b";".join([aligner.texts[k] for k in numbers.tolist()]))
-                    sep = b";"
-                    if keep_groups:
-                        for a, b in (g for k in numbers.tolist() for g in aligner.groups(k)):
-                            stop = at + sum(len(aligner.left[t]) for t in a)
-                            groups.append({"a": a, "b": b, "start": at, "stop": stop})
-                            at = stop
-                empty = total is None or not one
-                rows.append([*([0] * 6 if empty else total.tolist()), "" if empty else digest.hexdigest(), *[None if empty else groups] * keep_groups])
-            kinds = [pa.int64()] * 6 + [pa.string()] + [pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("start", pa.int64()), ("stop", pa.int64())]))] * keep_groups
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]], names=["row", *made])
-
-    schema = lambda rows: row_schema(rows, MADE + f", {GROUPS}" * keep_groups)
-    if small:
-        return inner.mapInArrow(run, schema(inner)).select(*fields_of(keep), *made)
-    mark = F.md5(F.col("text").cast("binary")).alias("mark")
-    sums = sized(_sums(inner.select(mark, "text"), counts, byte_bpe, pieces))
-    marked = inner.select(F.struct("row", mark).alias("row"), "text")
-    found = marked.mapInArrow(run, schema(marked)).select("row.row", "row.mark", *made).drop("n_best", "count_sum").join(sums, "mark", "left").fillna(0, ["n_best", "count_sum"])
+    linked = materialise(links(inner, byte_bpe, pieces, keep_groups), "links")
+    counts = materialise(pair_counts(linked), "pairs")
+    found = _judged(linked, counts) if counts.count() <= sent_pairs else _joined(linked, counts)
     return found.select(*fields_of(keep), *made)
-
-
-def _sums(texts: DataFrame, counts: DataFrame, byte_bpe: str, pieces: str, salts: int = 32) -> DataFrame:
-    """``mark``, ``n_best``, ``count_sum`` of texts with a mark, where counts are too many to send.
-
-    Each different text's pairs meet their counts in a join; a pair that most texts hold is spread over
-    ``salts`` copies of its count.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(byte_bpe, pieces)
-        for batch in (part for whole in batches for part in by_size(whole)):
-            for mark, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = _linked(aligner, one)
-                if found is not None:
-                    code, times = found
-                    yield pa.RecordBatch.from_arrays([pa.array([mark] * len(code), pa.string()), pa.array((code // BASE).astype(np.int32)), pa.array((code % BASE).astype(np.int32)), pa.array(times)], names=["mark", "a", "b", "times"])
-
-    links = texts.mapInArrow(run, "mark string, a int, b int, times long").groupBy("mark", "a", "b").agg(F.first("times").alias("times"))
-    links = links.withColumn("salt", F.pmod(F.xxhash64("mark"), F.lit(salts)).cast("int"))
-    spread = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    sums = links.join(spread, ["a", "b", "salt"]).groupBy("mark").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum"))
-    return materialise(sums, "sums")

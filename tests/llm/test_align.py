@@ -104,7 +104,7 @@ def test_long_texts_and_small_memos(spark, monkeypatch):
     one = align.Aligner(BYTE_BPE, PIECES)
     total = sum(one.figures.held[n].sum(axis=0) for n in one.read(text))
     assert tuple(total[:4]) == want[0][:4]
-    code, times = align._linked(one, text)
+    *_, code, times, _ = align._linked(one, text, False)
     assert times.sum() == want[0][3] and len(set(code.tolist())) == len(code)
 
 

@@ -1,4 +1,4 @@
-"""Queries over whole tables: rewriting by cells, SQL dumps."""
+"""Queries over whole tables: rewriting by cells, SQL dumps, rows that go with their parents."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.cells import bucketed
+from palimpsest.operators.closure import ForeignKey, losses
 from palimpsest.operators.rewrite import rewrite_table
 from palimpsest.plans.model import Address, PolicyColumn
 from palimpsest.plans.storage import work_dir
@@ -58,3 +59,34 @@ def dump_orders(spark, sf_dir):
 def dump_documents(spark, sf_dir):
     """Texts with line ends, tabs and backslashes."""
     return _dumped(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+
+
+KEYS = [
+    ForeignKey("nation", ("n_regionkey",), "region", ("r_regionkey",)), ForeignKey("customer", ("c_nationkey",), "nation", ("n_nationkey",)),
+    ForeignKey("supplier", ("s_nationkey",), "nation", ("n_nationkey",)), ForeignKey("orders", ("o_custkey",), "customer", ("c_custkey",)),
+    ForeignKey("lineitem", ("l_orderkey",), "orders", ("o_orderkey",)), ForeignKey("lineitem", ("l_suppkey",), "supplier", ("s_suppkey",)),
+]
+GONE = {"region": "r_regionkey % 10 = 3", "customer": "c_custkey % 10 = 0", "orders": "o_orderkey % 10 = 7"}
+
+
+@query(f"""
+WITH RECURSIVE gone(t, k) AS (
+  SELECT t, k FROM (SELECT 'region' AS t, r_regionkey AS k FROM region WHERE {GONE['region']} UNION SELECT 'customer', c_custkey FROM customer WHERE {GONE['customer']} UNION SELECT 'orders', o_orderkey FROM orders WHERE {GONE['orders']})
+  UNION SELECT links.t, links.k FROM gone JOIN (
+    SELECT 'nation' AS t, n_nationkey AS k, 'region' AS p, n_regionkey AS u FROM nation UNION ALL SELECT 'customer', c_custkey, 'nation', c_nationkey FROM customer
+    UNION ALL SELECT 'supplier', s_suppkey, 'nation', s_nationkey FROM supplier UNION ALL SELECT 'orders', o_orderkey, 'customer', o_custkey FROM orders
+  ) links ON links.p = gone.t AND links.u = gone.k
+) SELECT t AS table_name, count(*) AS lost, CAST(sum(k) AS BIGINT) AS key_sum FROM gone GROUP BY t
+UNION ALL SELECT 'lineitem', count(*), CAST(sum(l_orderkey) AS BIGINT) FROM lineitem WHERE l_orderkey IN (SELECT k FROM gone WHERE t = 'orders') OR l_suppkey IN (SELECT k FROM gone WHERE t = 'supplier')
+""")
+def lost_with_parents(spark, sf_dir):
+    """Rows of all tables that go with a region, a tenth of the customers and a tenth of the orders."""
+    names = ["region", "nation", "customer", "supplier", "orders", "lineitem"]
+    tables = {t: table(spark, sf_dir, t) for t in names}
+    found = losses(tables, KEYS, {t: tables[t].where(test) for t, test in GONE.items()})
+    key = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "orders": "o_orderkey", "lineitem": "l_orderkey"}
+    parts = [found.rows(t).agg(F.lit(t).alias("table_name"), F.count("*").alias("lost"), F.sum(key[t]).cast("long").alias("key_sum")) for t in names]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out

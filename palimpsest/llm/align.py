@@ -27,7 +27,7 @@ from .common import by_size, fields_of, materialise, row_of, row_schema, worker_
 
 CUT = re.compile(r"(?<=\S)(?= )")
 #: Entries of each memo, pieces and characters of them that a worker remembers, characters read at a time.
-STATES, PIECES, PIECE_CHARS, READ = 1_000_000, 800_000, 16_000_000, 1_000_000
+STATES, PIECES, PIECE_CHARS, READ = 1_000_000, 400_000, 16_000_000, 1_000_000
 #: Codes of pairs a worker gathers before it combines them.
 GATHERED = 4_000_000
 #: Different id pairs (24 bytes each) whose counts are sent to every executor at most.
@@ -103,10 +103,10 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Grown:
-    """Rows in one array that grows by doubling; ``held`` is what has been added so far."""
+    """Rows in one array that grows by half; ``held`` is what has been added so far."""
 
-    def __init__(self, width: int = 0):
-        self._rows = np.zeros((1024, width) if width else 1024, np.int64)
+    def __init__(self, width: int = 0, kind: type = np.int64):
+        self._rows = np.zeros((1024, width) if width else 1024, kind)
         self._n = 0
 
     @property
@@ -116,7 +116,7 @@ class Grown:
     def add(self, rows: np.ndarray) -> None:
         n = self._n + len(rows)
         if n > len(self._rows):
-            more = np.zeros((2 * n, *self._rows.shape[1:]), np.int64)
+            more = np.zeros((n + n // 2, *self._rows.shape[1:]), self._rows.dtype)
             more[: self._n] = self.held
             self._rows = more
         self._rows[self._n : n] = rows
@@ -151,7 +151,7 @@ class Aligner:
         self.held = 0
         self.texts: list[bytes] = []
         #: Tokens of both sides, groups, links; a row a piece. All negative: no alignment.
-        self.figures = Grown(4)
+        self.figures = Grown(4, np.int32)
         #: Pairs of linked ids, piece by piece, and where those of each piece end.
         self.codes, self.ends = Grown(), Grown()
         self.ends.add(np.zeros(1, np.int64))
@@ -253,7 +253,7 @@ def _linked(aligner: Aligner, text: str, keep_groups: bool) -> tuple | None:
         figures = aligner.figures.held[numbers]
         if (figures[:, 0] < 0).any():
             return None
-        total += figures.sum(axis=0)
+        total += figures.sum(axis=0, dtype=np.int64)
         digest.update(sep + b";".join(map(aligner.texts.__getitem__, numbers.tolist())))
         sep = b";"
         piece, often = np.unique(numbers, return_counts=True)

@@ -10,12 +10,17 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.canonical import canonical
 from palimpsest.plans.model import FREE_TEXT
 
+from .profile import not_blank
+
+#: Bytes and levels of documents that the JVM takes apart: each level repeats what lies around a part.
+WIDE, DEEP = 1 << 16, 16
+
 
 class _Number:
     """A number with its own spelling."""
@@ -61,15 +66,57 @@ def replaced(value, change: Callable[[str, str], str], path: str = ""):
     return change(path, value) if isinstance(value, str) and value.strip() else value
 
 
+def _brackets(doc: Column) -> Column:
+    """The brackets of a document in order, those in texts left out."""
+    bare = F.regexp_replace(doc, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    return F.regexp_replace(bare, r"[^\[\]{}]+", "")
+
+
+def _depth(brackets: Column) -> Column:
+    """How deep they lie within each other."""
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(F.split(brackets, ""), start, _deeper, lambda s: s["most"])
+
+
+def _deeper(held: Column, step: Column) -> Column:
+    now = held["now"] + F.when(step.isin("[", "{"), 1).when(step.isin("]", "}"), -1).otherwise(0)
+    return F.struct(now.alias("now"), F.greatest(held["most"], now).alias("most"))
+
+
+def _exploded(docs: DataFrame, depth: int) -> DataFrame:
+    """``path`` and ``value`` of the texts in ``doc``, one level of all documents at a time, in the JVM."""
+    at = docs.select(F.lit("").alias("path"), F.try_parse_json("doc").alias("v"))
+    for _ in range(depth):
+        inner = at.lateralJoin(docs.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
+        path = F.when(F.col("key").isNull(), F.col("path")).when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
+        at = inner.select(path.alias("path"), F.coalesce("value", "v").alias("v"))  # what is no container stays
+    return at.where(F.schema_of_variant("v") == "STRING").select("path", F.variant_get("v", "$", "string").alias("value"))
+
+
 def document_leaves(df: DataFrame, column: str) -> DataFrame:
-    """``path`` and ``value`` of every text in a column of documents; what is no JSON fails."""
+    """``path`` and ``value`` of every text in a column of documents; what is no JSON fails.
+
+    Documents of up to ``WIDE`` bytes and ``DEEP`` levels are taken apart in the JVM. Others, and those that
+    name something twice (the last one counts), go through Python one by one.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [leaf for text in part["doc"] if text and text.strip() for leaf in leaves(load(text))]
+            rows = [leaf for text in part["doc"] for leaf in leaves(load(text))]
             yield pd.DataFrame(rows, columns=["path", "value"])
 
-    return df.select(F.col(f"`{column}`").cast("string").alias("doc")).where("doc is not null").mapInPandas(run, "path string, value string")
+    docs = df.select(F.col(f"`{column}`").cast("string").alias("doc")).where(not_blank(F.col("doc")))
+    short = F.octet_length("doc") <= WIDE
+    shape = F.when(short & F.try_parse_json("doc").isNotNull(), _brackets(F.col("doc")))
+    # documents of one shape are as deep; of the shapes only the deepest is asked for
+    shapes = docs.select(shape.alias("shape")).groupBy("shape").agg(F.lit(1).alias("one"))
+    deep = F.coalesce(_depth(F.col("shape")), F.lit(DEEP + 1))
+    depth, others = shapes.agg(F.max(F.when(deep <= DEEP, deep)), F.count_if(deep > DEEP)).first()
+    plain = F.coalesce(_depth(shape) <= DEEP, F.lit(False)) if others else F.lit(True)
+    found = _exploded(docs.where(plain), depth or 0).where(not_blank(F.col("value")))
+    if not others:
+        return found
+    return found.unionByName(docs.where(~plain).mapInPandas(run, "path string, value string"))
 
 
 def path_summary(df: DataFrame, column: str, size: int = 200) -> DataFrame:

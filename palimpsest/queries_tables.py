@@ -1,4 +1,4 @@
-"""Queries over whole tables: rewriting by cells, SQL dumps, rows that go with their parents."""
+"""Queries over whole tables: rewriting by cells, SQL dumps, rows that go with their parents, a database."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from palimpsest.operators.rewrite import rewrite_table
 from palimpsest.plans.model import Address, PolicyColumn
 from palimpsest.plans.storage import work_dir
 from palimpsest.registry import PACK, query, secret, table
-from palimpsest.sources import catalog
+from palimpsest.sources import catalog, database
 from palimpsest.sources.catalog import Resource
 
 
@@ -90,3 +90,60 @@ def lost_with_parents(spark, sf_dir):
     for part in parts[1:]:
         out = out.unionAll(part)
     return out
+
+
+#: Tables of a database with constraints; Derby is part of Spark.
+MADE = [
+    'CREATE TABLE "nation" ("n_nationkey" INT NOT NULL PRIMARY KEY, "n_name" VARCHAR(60) UNIQUE NOT NULL, "n_regionkey" INT)',
+    'CREATE TABLE "customer" ("c_custkey" BIGINT NOT NULL PRIMARY KEY, "c_name" VARCHAR(60), "c_nationkey" INT REFERENCES "nation" ("n_nationkey"), "c_acctbal" DOUBLE, "c_mktsegment" VARCHAR(20))',
+    """CREATE TABLE "orders" ("o_orderkey" BIGINT NOT NULL PRIMARY KEY, "o_custkey" BIGINT REFERENCES "customer" ("c_custkey"), "o_orderstatus" VARCHAR(1) CHECK ("o_orderstatus" IN ('F', 'O', 'P')), "o_totalprice" DOUBLE, "o_orderpriority" VARCHAR(20))""",
+]
+
+
+def _database(spark, sf_dir):
+    """The tables of a database within this process, filled through Spark: local sessions only."""
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("executors of a cluster do not reach a database within the driver")
+    url = f"jdbc:derby:memory:x{uuid.uuid4().hex};create=true"
+    with database.Connection(spark, url, {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}) as db:
+        db.execute(*MADE)
+    for name, columns in (("nation", None), ("customer", None), ("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])):
+        df = table(spark, sf_dir, name)
+        df = df.select(*(columns or df.columns))
+        df.write.format("jdbc").mode("append").options(url=url, dbtable=f'"{name}"', driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    return database.load(spark, url, {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}, "APP", 4)
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def database_orders(spark, sf_dir):
+    """A table of a database, read in four parts."""
+    return _database(spark, sf_dir).tables["orders"]
+
+
+@query("""
+SELECT c_custkey, c_name, n_name, o.n, o.cents FROM customer JOIN nation ON n_nationkey = c_nationkey
+JOIN (SELECT o_custkey, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey WHERE c_custkey % 2 = 0
+""")
+def database_joined(spark, sf_dir):
+    """Three tables of a database, with filters that go there."""
+    db = _database(spark, sf_dir).tables
+    sums = db["orders"].groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
+    found = db["customer"].where("c_custkey % 2 = 0").join(db["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(sums, F.col("c_custkey") == F.col("o_custkey"))
+    return found.select("c_custkey", "c_name", "n_name", "n", "cents")
+
+
+@query("""
+WITH d(table_name, column_name, is_primary_key, is_unique, is_foreign_key, listed) AS (VALUES
+  ('nation', 'n_nationkey', true, true, false, ''), ('nation', 'n_name', false, true, false, ''), ('nation', 'n_regionkey', false, false, false, ''),
+  ('customer', 'c_custkey', true, true, false, ''), ('customer', 'c_name', false, false, false, ''), ('customer', 'c_nationkey', false, false, true, ''), ('customer', 'c_acctbal', false, false, false, ''), ('customer', 'c_mktsegment', false, false, false, ''),
+  ('orders', 'o_orderkey', true, true, false, ''), ('orders', 'o_custkey', false, false, true, ''), ('orders', 'o_orderstatus', false, false, false, 'F,O,P'), ('orders', 'o_totalprice', false, false, false, ''), ('orders', 'o_orderpriority', false, false, false, '')
+), n AS (SELECT 'nation' AS table_name, count(*) AS rows FROM nation UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'orders', count(*) FROM orders)
+SELECT d.*, rows FROM d JOIN n USING (table_name)
+""")
+def database_description(spark, sf_dir):
+    """What the database says of its columns, and how many rows its tables have."""
+    db = _database(spark, sf_dir)
+    rows = [(f.address.table, f.address.column, f.is_primary_key, f.is_unique, f.is_foreign_key, ",".join(f.finite_domain)) for f in db.features()]
+    found = spark.createDataFrame(rows, "table_name string, column_name string, is_primary_key boolean, is_unique boolean, is_foreign_key boolean, listed string")
+    counts = [df.agg(F.lit(t).alias("table_name"), F.count("*").alias("rows")) for t, df in sorted(db.tables.items())]
+    return found.join(counts[0].unionAll(counts[1]).unionAll(counts[2]), "table_name")

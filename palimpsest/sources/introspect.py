@@ -27,12 +27,17 @@ class Constraints:
 
 
 def domain_literals(definition: Column) -> Column:
-    """The values that a CHECK of the form ``= ANY (ARRAY['a'::text, ...])`` lists; empty for other checks.
+    """The values that a CHECK of the form ``= ANY (ARRAY['a'::text, ...])`` or ``column IN ('a', ...)`` lists; empty
+    for other checks.
 
     A doubled quote within a value is one quote.
     """
-    found = F.regexp_extract_all(definition, F.lit("'((?:[^']|'')*)'::"), F.lit(1))
-    return F.when(definition.contains("ANY"), F.transform(found, lambda v: F.replace(v, F.lit("''"), F.lit("'")))).otherwise(F.array().cast("array<string>"))
+    typed = F.regexp_extract_all(definition, F.lit("'((?:[^']|'')*)'::"), F.lit(1))
+    plain = F.regexp_extract_all(definition, F.lit("'((?:[^']|'')*)'"), F.lit(1))
+    text = "'(?:[^']|'')*'"
+    listed = definition.rlike(rf'(?i)^[(\s]*"?\w+"?\s+IN\s*\(\s*{text}(?:\s*,\s*{text})*\s*\)[)\s]*$')
+    found = F.when(definition.contains("ANY"), typed).when(listed, plain).otherwise(F.array().cast("array<string>"))
+    return F.transform(found, lambda v: F.replace(v, F.lit("''"), F.lit("'")))
 
 
 def describe(df: DataFrame, schema: str, table: str, constraints: Constraints | None = None) -> list[Features]:

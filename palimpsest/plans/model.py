@@ -6,6 +6,9 @@ import json
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 MODES = ("Typed", "TextWipe", "TextSpot", "Document")
 STRATEGIES = ("None", "Dictionary", "Derangement", "Function")
 UNKNOWN = "unknown"
@@ -34,6 +37,13 @@ class TypeRegistry:
         """The most specific of several; types without rank come last, by name; none gives ``unknown``."""
         return min((type_id(t) for t in types), key=lambda t: (self.ranks.get(t, 1 << 62), t), default=UNKNOWN)
 
+    def most_specific_of(self, types: Column) -> Column:
+        """The same of an array in each row; null or blank types are none."""
+        ranks = F.create_map(*[F.lit(x) for pair in self.ranks.items() for x in pair]) if self.ranks else F.create_map().cast("map<string,long>")
+        named = F.filter(F.transform(types, lambda t: F.lower(F.trim(t))), lambda t: t != "")
+        ranked = F.transform(named, lambda t: F.struct(F.coalesce(F.try_element_at(ranks, t).cast("long"), F.lit(1 << 62)).alias("rank"), t.alias("type")))
+        return F.coalesce(F.array_min(ranked)["type"], F.lit(UNKNOWN))
+
 
 @dataclass(frozen=True, order=True)
 class Address:

@@ -14,6 +14,9 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from .model import TypeRegistry, type_id
 
 
@@ -111,6 +114,17 @@ class RulePack:
     def name_patterns(self, rule: Rule) -> list[re.Pattern[str]]:
         return [re.compile(p, re.IGNORECASE) for p in rule.names]
 
+    def name_matches(self, rule: Rule, name: Column) -> Column:
+        """Whether a column's name looks like the rule's, whatever its case; an expression."""
+        found = F.lit(False)
+        for pattern in rule.names:
+            found = found | name.rlike(f"(?iu){pattern}")
+        return found
+
+    def value_matches(self, rule: Rule, value: Column) -> Column:
+        """Whether a value looks like the rule's; no value does where the rule has no pattern."""
+        return value.rlike(rule.value) if rule.value else F.lit(False)
+
     def comment_patterns(self, rule: Rule) -> list[re.Pattern[str]]:
         return [re.compile(p, re.IGNORECASE) for p in rule.comments]
 

@@ -368,16 +368,8 @@ def rule_patterns(spark, sf_dir):
     """Names are matched whatever their case, values as they are."""
     pack = RulePack("v", [_rule()], {"x": ["y"]}, {"thing": ["{x}"]})
     rule = pack.rules[0]
-    names, value = pack.name_patterns(rule), re.compile(rule.value)
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-
-    def run(parts):
-        for part in parts:
-            part["by_name"] = [any(p.search(n) for p in names) for n in part.pop("c_name")]
-            part["by_value"] = [bool(value.search(v)) for v in part.pop("c_mktsegment")]
-            yield part.rename(columns={"c_custkey": "id"})
-
-    return rows.mapInPandas(run, "id long, by_name boolean, by_value boolean")
+    rows = table(spark, sf_dir, "customer")
+    return rows.select(F.col("c_custkey").alias("id"), pack.name_matches(rule, F.col("c_name")).alias("by_name"), pack.value_matches(rule, F.col("c_mktsegment")).alias("by_value"))
 
 
 def _rule():
@@ -394,15 +386,9 @@ _TYPES = sorted(PACK.registry.ranks)
 SELECT id, arg_min(p.t, (coalesce(k, 1000000), p.t)) AS type FROM p LEFT JOIN {_RANKS} USING (t) GROUP BY id""")
 def most_specific_type(spark, sf_dir):
     """Of several types the one with the least rank; types without rank come last."""
-    registry, types = TypeRegistry(PACK.registry.ranks), _TYPES
-
-    def run(parts):
-        for part in parts:
-            ids = part["c_custkey"].tolist()
-            part["type"] = [registry.most_specific([types[k % len(types)], types[k * 7 % len(types)], f"zz{k % 3}"]) for k in ids]
-            yield part.rename(columns={"c_custkey": "id"})
-
-    return table(spark, sf_dir, "customer").select("c_custkey").mapInPandas(run, "id long, type string")
+    k, types = F.col("c_custkey"), F.array(*[F.lit(t) for t in _TYPES])
+    some = F.array(F.get(types, (k % len(_TYPES)).cast("int")), F.get(types, (k * 7 % len(_TYPES)).cast("int")), F.concat(F.lit("zz"), k % 3))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), TypeRegistry(PACK.registry.ranks).most_specific_of(some).alias("type"))
 
 
 def _policy(spark, sf_dir, faults: bool) -> Policy:
@@ -732,8 +718,8 @@ def stream_restart(spark, sf_dir):
     none = _frame(spark, [], "key string, replacement string")
     c.where("cast(k as long) % 2 = 0").coalesce(1).write.parquet(f"{folder}/in/a")
 
-    def go():
-        stream = spark.readStream.schema("k string").option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    def go(lost: bool = False):
+        stream = spark.readStream.schema("k string").option("recursiveFileLookup", "true").option("ignoreMissingFiles", lost).parquet(f"{folder}/in")
         return start(rewrite_stream(stream, [column], none, PACK, secret()), f"{folder}/out", f"{folder}/checkpoint")
 
     go().awaitTermination()
@@ -748,11 +734,7 @@ def stream_restart(spark, sf_dir):
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/in/b")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     c.where("cast(k as long) % 2 = 1").coalesce(1).write.parquet(f"{folder}/in/b")
-    spark.conf.set("spark.sql.files.ignoreMissingFiles", "true")  # the bad file is gone for good
-    try:
-        go().awaitTermination()
-        go().awaitTermination()
-    finally:
-        spark.conf.unset("spark.sql.files.ignoreMissingFiles")
+    for _ in range(2):
+        go(lost=True).awaitTermination()  # the bad file is gone for good
     n = spark.read.parquet(f"{folder}/out").where(valid(F.col("k"), "snils")).count()
     return _frame(spark, [(n, stopped, first < n)], "rows long, stopped boolean, resumed boolean")

@@ -1,4 +1,5 @@
-"""Queries over whole tables: rewriting by cells, SQL dumps, rows that go with their parents, a database."""
+"""Queries over whole tables: rewriting by cells, SQL dumps, rows that go with their parents, a database,
+a stream of documents."""
 
 from __future__ import annotations
 
@@ -9,12 +10,14 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators.cells import bucketed
 from palimpsest.operators.closure import ForeignKey, losses
+from palimpsest.operators.document import rewrite_documents
 from palimpsest.operators.rewrite import rewrite_table
 from palimpsest.plans.model import Address, PolicyColumn
-from palimpsest.plans.storage import work_dir
-from palimpsest.registry import PACK, query, secret, table
+from palimpsest.plans.storage import stage_table, work_dir
+from palimpsest.registry import ORACLE_SQL, PACK, query, secret, table
 from palimpsest.sources import catalog, database
 from palimpsest.sources.catalog import Resource
+from palimpsest.streaming.rewrite import start_batches, written_batches
 
 
 def _digested(df: DataFrame, texts: list[str], number: str) -> DataFrame:
@@ -147,3 +150,34 @@ def database_description(spark, sf_dir):
     found = spark.createDataFrame(rows, "table_name string, column_name string, is_primary_key boolean, is_unique boolean, is_foreign_key boolean, listed string")
     counts = [df.agg(F.lit(t).alias("table_name"), F.count("*").alias("rows")) for t, df in sorted(db.tables.items())]
     return found.join(counts[0].unionAll(counts[1]).unionAll(counts[2]), "table_name")
+
+
+@query(ORACLE_SQL["document_rewrite"])
+def stream_documents(spark, sf_dir):
+    """Documents as a stream of four batches; the second is written, but fails before that is noted, and comes again."""
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"who":{"mail":"u'), F.col("event_id"), F.lit('@Example.ORG"},"tags":["tag'), F.col("event_id") % 5, F.lit('"," "]}')).alias("doc"))
+    mails = e.select(F.lit("email").alias("type"), F.concat(F.lit("u"), F.col("event_id"), F.lit("@example.org")).alias("key"), F.concat(F.lit("x"), F.col("event_id")).alias("replacement"))
+    tags = spark.range(5).select(F.lit("free_text").alias("type"), F.concat(F.lit("tag"), F.col("id")).alias("key"), F.concat(F.lit("t"), F.col("id")).alias("replacement"))
+    folder, words, seen = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}", stage_table(mails.unionByName(tags), "words"), []
+    e.repartition(4, "event_id").write.parquet(f"{folder}/in")
+
+    def rewrite(batch: DataFrame) -> DataFrame:
+        seen.append(batch)
+        out = rewrite_documents(batch, "doc", words, {"who.mail": "email"}, {"email": "EmailAddress"})
+        if len(seen) == 2:
+            out.write.mode("overwrite").parquet(f"{folder}/out/batch=1")
+            raise InterruptedError("stopped on the way")
+        return out
+
+    def go():
+        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        return start_batches(stream, rewrite, f"{folder}/out", f"{folder}/checkpoint")
+
+    stopped = go()
+    try:
+        stopped.awaitTermination()
+    except Exception as error:
+        if "stopped on the way" not in str(error):
+            raise
+    go().awaitTermination()
+    return written_batches(spark, f"{folder}/out", e.schema)

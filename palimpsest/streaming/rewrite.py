@@ -1,10 +1,14 @@
-"""The batch rewrite on streams: stateless, row by row, against a static dictionary."""
+"""The batch rewrite on streams: stateless, row by row, against a static dictionary; or batch by batch, for documents
+and exceptions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from palimpsest.functions.canonical import canonical
 from palimpsest.functions.prf import Secret, index_hex
@@ -43,3 +47,21 @@ def start(stream: DataFrame, path: str, checkpoint: str, file_format: str = "par
     """Writes a stream's rows as files; a restart goes on where it stopped. Stop it with ``query.stop()``."""
     writer = stream.writeStream.format(file_format).option("path", path).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def start_batches(stream: DataFrame, rewrite: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Rewrites a stream batch by batch, with all that the batch rewrite can do, into ``path``.
+
+    Each batch has a folder of its own that it replaces: one that was stopped or failed on the way, or whose
+    end was not noted, is written anew under its number after a restart, and no row is there twice.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        rewrite(batch).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def written_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of all batches that ``start_batches`` has written."""
+    return spark.read.schema(StructType(list(schema.fields)).add("batch", "long")).option("basePath", path).parquet(f"{path.rstrip('/')}/batch=*").select(*[f"`{f.name}`" for f in schema.fields])

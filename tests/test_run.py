@@ -188,3 +188,34 @@ def test_profile_counts_exactly_at_every_size(spark, monkeypatch):
     db = lifecycle.Database({"customer": queries.table(spark, folder, "customer")}, {})
     found = {f.address.column: f.distinct for f in lifecycle.profile(db, None)}
     assert found["c_name"] == db.tables["customer"].select("c_name").distinct().count()
+
+
+def test_stream_of_batches(spark, run, tmp_path):
+    """Documents and exceptions by stream, stopped once and restarted, are those of the batch rewrite."""
+    from palimpsest.operators.rewrite import rewrite_table
+    from palimpsest.streaming.rewrite import start_batches, written_batches
+
+    db, policy, done = run
+    rows = db.tables["clients"]
+    columns = done.plan.tables["public.clients"]
+    words = build_dictionary(done.plan, db.table, PACK, Secret(KEY))
+    marks = [Secret(KEY).fingerprint(rows.first()["full_name"])]
+    rows.repartition(3, "id").write.parquet(str(tmp_path / "in"))
+    n = []
+
+    def rewrite(batch):
+        n.append(1)
+        if len(n) == 3:
+            raise InterruptedError("stopped on the way")
+        return rewrite_table(batch, columns, words, PACK, Secret(KEY), marks)
+
+    def go():
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        return start_batches(stream, rewrite, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+
+    with pytest.raises(Exception, match="stopped on the way"):
+        go().awaitTermination()
+    go().awaitTermination()
+    go().awaitTermination()  # nothing is left
+    got = written_batches(spark, str(tmp_path / "out"), rows.schema)
+    assert sorted(map(str, got.collect())) == sorted(map(str, rewrite_table(rows, columns, words, PACK, Secret(KEY), marks).collect()))

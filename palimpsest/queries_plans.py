@@ -602,20 +602,22 @@ def spellings_of_unique_values(spark, sf_dir):
 
 @query("SELECT 'passport.json' AS name, count(*) AS rows, true AS whole FROM customer")
 def published_result(spark, sf_dir):
-    """A result moves to its place in one step, with its passport; a second one of the same run is refused."""
+    """A manifest publishes a result with its passport in one step; a second one of the same run is refused."""
     c, words, columns = _words(spark, sf_dir)
     db = lifecycle.Database({"customer": rewrite_table(c, columns, words, PACK, secret())}, {})
     policy = Policy("s", "a", columns)
     run = lifecycle.Run(f"run-{uuid.uuid4().hex}", policy, build_plan(policy), db, build_passport("run", policy, [CheckResult("F-9", "volume", True, True)], []))
-    target = lifecycle.publish(run, _folder(spark))
+    area = _folder(spark)
+    before, target = lifecycle.published(spark, area, run.run_id), lifecycle.publish(run, area)
     try:
-        lifecycle.publish(run, target.rpartition("/")[0])
+        lifecycle.publish(run, area)
         again = True
     except FileExistsError:
         again = False
     names = [r["path"].rpartition("/")[2] for r in spark.read.format("binaryFile").option("pathGlobFilter", "passport.*").load(target).select("path").collect()]
-    n = spark.read.parquet(f"{target}/customer").count()
-    return _frame(spark, [("passport.json", n, not again and sorted(names) == ["passport.json", "passport.md"])], "name string, rows long, whole boolean")
+    found = lifecycle.published(spark, area, run.run_id)
+    n = spark.read.parquet(f"{found}/customer").count()
+    return _frame(spark, [("passport.json", n, before is None and found == target and not again and sorted(names) == ["passport.json", "passport.md"])], "name string, rows long, whole boolean")
 
 
 # ---------------------------------------------------------------- control data

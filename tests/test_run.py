@@ -219,3 +219,35 @@ def test_stream_of_batches(spark, run, tmp_path):
     go().awaitTermination()  # nothing is left
     got = written_batches(spark, str(tmp_path / "out"), rows.schema)
     assert sorted(map(str, got.collect())) == sorted(map(str, rewrite_table(rows, columns, words, PACK, Secret(KEY), marks).collect()))
+
+
+def test_publishing(spark, run, tmp_path, monkeypatch):
+    """What has no whole manifest is not published; of two that publish at once the first one wins."""
+    from palimpsest import lifecycle
+
+    db, policy, done = run
+    area = str(tmp_path)
+    with monkeypatch.context() as m:
+        m.setattr(lifecycle, "plan_files", lambda plan: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            publish(done, area)
+    assert lifecycle.published(spark, area, "run-1") is None
+    (tmp_path / "run-1.json").write_text('{"run_id": "ru')
+    assert lifecycle.published(spark, area, "run-1") is None
+    (tmp_path / "run-1.json").unlink()
+
+    late, begun = [], []
+
+    def at_once(plan):
+        if not begun:
+            begun.append(1)
+            late.append(publish(done, area))
+        return {}
+
+    with monkeypatch.context() as m:
+        m.setattr(lifecycle, "plan_files", at_once)
+        with pytest.raises(FileExistsError):
+            publish(done, area)
+    assert lifecycle.published(spark, area, "run-1") == late[0]
+    assert len(list(tmp_path.glob("run-1.*"))) == 3  # the manifest, its folder, and what the first attempt left
+    assert spark.read.parquet(f"{late[0]}/clients").count() == db.tables["clients"].count()

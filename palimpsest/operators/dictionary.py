@@ -53,13 +53,23 @@ class PoolTooSmall(ValueError):
 
 
 def bijection(keys: DataFrame, semantic_type: str, pack: RulePack, secret: Secret, small: int = SMALL) -> DataFrame:
-    """``key`` and ``replacement`` for each row of ``keys`` (column ``key``, all different)."""
+    """``key`` and ``replacement`` for each row of ``keys`` (column ``key``, all different).
+
+    A domain that the type's templates are too few for takes all its replacements from the pack's reserve.
+    """
     if not Renderers(pack).supports(semantic_type):
         raise ValueError(f"no generator for type {semantic_type}")
     at = stage_table(secret.keyed(keys).select("key", index_hex(F.col("key")).alias("index")), "keys")
-    if at.count() <= small:
-        return _assigned(at, semantic_type, pack)
-    return _proposed(at, semantic_type, pack)
+    n, wider = at.count(), pack.wider(semantic_type)
+    assign = _assigned if n <= small else _proposed
+    if wider is None:
+        return assign(at, semantic_type, pack)
+    if n <= pack.cardinality(semantic_type):
+        try:
+            return assign(at, semantic_type, pack)
+        except PoolTooSmall:
+            pass
+    return assign(at, semantic_type, wider)
 
 
 def _assigned(at: DataFrame, semantic_type: str, pack: RulePack) -> DataFrame:

@@ -233,6 +233,26 @@ def test_bijection_rounds_equal_one_by_one(spark):
         bijection(df, "other", small_pack(5), secret)
 
 
+def test_bijection_of_more_values_than_the_templates_have(spark):
+    secret, rules = prf.Secret(KEY), [Rule("thing", 1)]
+    parts = {"a": [f"t{i}" for i in range(5)], "b": [f"u{i}" for i in range(60)]}
+    pack = RulePack("v", rules, parts, {"thing": ["{a}"]}, reserve={"thing": ["{b}"]})
+    keys = [f"t{i}" for i in range(40)]
+    for n in (3, 40):  # 3: the type's own templates, as without a reserve
+        df = spark.createDataFrame([(k,) for k in keys[:n]], "key string")
+        want = sequential(keys[:n], small_pack(5) if n == 3 else pack.wider("thing"), secret)
+        for small in (0, 1000):
+            assert {r["key"]: r["replacement"] for r in bijection(df, "thing", pack, secret, small).collect()} == want
+    assert pack.fingerprint != RulePack("v", rules, parts, {"thing": ["{a}"]}).fingerprint
+    assert pack.wider("other") is None and pack.wider("thing").wider("thing") is None
+    with pytest.raises(PoolTooSmall):
+        bijection(spark.range(70).selectExpr("concat('k', id) AS key"), "thing", pack, secret)
+    # more names than the 30,000 of the default pack
+    made = bijection(spark.range(40_000).selectExpr("concat('Customer', id) AS key"), "full_name", default_pack(), secret)
+    n, different, named = made.selectExpr("count(*)", "count(DISTINCT replacement)", "count_if(replacement rlike '^[а-яёА-ЯЁ]+ [а-яёА-ЯЁ]+ [а-яёА-ЯЁ]+$')").first()
+    assert n == different == named == 40_000
+
+
 def test_merge_and_permutation(spark):
     one = spark.createDataFrame([("a", "b")], "key string, replacement string")
     with pytest.raises(ValueError, match="two dictionaries"):

@@ -104,3 +104,14 @@ def test_long_text(model):
     text = "Nothing of note. " * 5000 + "Yesterday Oleg Morozov moved to Minsk again."
     ((*_, person, place),) = find([text], [], model)
     assert text[person[2] : person[3]] == "Oleg Morozov" and text[place[2] : place[3]] == "Minsk" and min(person[1], place[1]) > 0.6
+
+
+def test_evidence_of_a_new_word_is_the_same_in_a_larger_corpus():
+    """Names of a fixed list in training, beside more and more different words."""
+
+    def margin(n):
+        m = Tagger(["B-x", "O"], np.array([0.001, 0.999]), np.zeros((3, 2)), {}, {"Xx": np.array([30.0, n]), "x": np.array([0.0, 3 * n])})
+        name, other = m.evidence("Livny", False)
+        return name - other
+
+    assert margin(1e3) > 1 and abs(margin(1e3) - margin(1e6)) < 0.1

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import fields_of, materialise, row_of, sized
 
-#: A word before A-Z are lowered.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A word before A-Z are lowered: ``[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+``. Single characters are one look into a
+#: table to Java's expressions, where ranges of an excluding class are tested one by one.
+WORD = "[^" + "".join(f"\\x{k:02X}" for k in range(128) if not chr(k).isalnum()) + "]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a window, and its terms whose lists are intersected.
 WINDOW, LEADS = 10, 3

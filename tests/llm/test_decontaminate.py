@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import common, decontaminate
 
@@ -101,3 +102,10 @@ def test_proximity(spark):
                 if w[k] in p and all(near.count(x) >= p.count(x) for x in p):
                     want.add((text, tuple(p), k))
     assert got == want and len(want) > 20
+
+
+def test_the_words_of_every_character_without_ranges(spark):
+    ranges = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    points = spark.createDataFrame([(chr(k),) for k in range(0x30000) if not 0xD800 <= k < 0xE000], "c string")
+    assert points.where(F.regexp_count("c", F.lit(ranges)) != F.size(decontaminate.raw_words(F.col("c")))).count() == 0
+    assert "-" not in decontaminate.WORD  # a range is tested on its own for every character

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.canonical import canonical
 from palimpsest.functions.validators import valid
 from palimpsest.plans.model import CheckResult, PolicyColumn
+from palimpsest.plans.storage import stage_table
 
 from .containment import holding
 from .profile import aggregates, as_text, unpivoted
@@ -103,7 +104,7 @@ def containing(texts: DataFrame, column: str, sought: DataFrame, most: int = BRO
     Up to ``most`` needles of ``BROADCAST_BYTES`` together, counted first, go to the workers as one
     multi-pattern automaton. Beyond that, ``containment`` indexes each by its rarest gram.
     """
-    sought = sought.where(F.length("needle") >= NEEDLE)
+    sought = stage_table(sought.where(F.length("needle") >= NEEDLE), "sought")  # counted, then sent or indexed
     body = texts.select(as_text(texts, column).alias("text")).where(F.length("text") >= NEEDLE)
     n, size = sought.agg(F.count("*"), F.sum(F.octet_length("needle"))).first()
     if not n:

@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,8 @@ ESCAPES = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
 ESCAPED = re.compile(r"\\(x[0-9A-Fa-f]{1,2}|[0-7]{1,3}|.)", re.DOTALL)
 #: Lines that open or close a block in all files, at most.
 MARKS = 1_000_000
+#: Bytes of lines taken apart at a time; their fields lie in memory several times.
+PIECE = 1 << 20
 
 
 class DumpError(ValueError):
@@ -85,6 +88,15 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int
             k += size
 
 
+def _pieces(lines: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Lines in slices of about ``PIECE`` bytes (one at least), and the number of the first line in each."""
+    ends, start = np.cumsum(pc.binary_length(lines).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while start < len(lines):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PIECE, "right")))
+        yield start, lines.slice(start, stop - start)
+        start = stop
+
+
 def _marks(spark: SparkSession, path: str) -> tuple[list, dict[tuple[str, int], int]]:
     """(file, start, number, line) of the lines that may open or close a block, in order; lines by split."""
 
@@ -155,6 +167,23 @@ def read_dump(spark: SparkSession, path: str, table: str, schema: StructType | N
         by_file.setdefault(b.file, []).append((b.opened, b.closed))
     before = {split: n for split, n in before.items() if split[0] in by_file}
 
+    def taken(lines: pa.Array, file: str, number: int) -> pa.RecordBatch:
+        fields = pc.split_pattern(lines, "\t")
+        sizes = pc.list_value_length(fields)
+        bad = pc.not_equal(sizes, len(columns)).index(pa.scalar(True)).as_py()
+        if bad >= 0:
+            raise DumpError(f"{file}: line {number + bad}: {sizes[bad].as_py()} fields for {len(columns)} columns of {table}")
+        flat = pc.list_flatten(fields)
+        flat = pc.if_else(pc.equal(flat, "\\N"), pa.scalar(None, pa.string()), flat.cast(pa.string()))
+        places = pa.array(range(0, len(flat), len(columns)), pa.int64())
+        made = []
+        for k in range(len(columns)):
+            values = flat.take(pc.add(places, k))
+            if pc.any(pc.match_substring(values, "\\")).as_py():
+                values = pa.array([None if v is None else unescaped(v) for v in values.to_pylist()], pa.string())
+            made.append(values)
+        return pa.RecordBatch.from_arrays(made, names=[f"c{k}" for k in range(len(columns))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, start, first, lines in _numbered(batches):
             for opened, closed in by_file.get(file, []):
@@ -162,21 +191,8 @@ def read_dump(spark: SparkSession, path: str, table: str, schema: StructType | N
                 high = len(lines) if start < closed[0] else min(len(lines), closed[1] - first) if start == closed[0] else 0
                 if low >= high:
                     continue
-                fields = pc.split_pattern(lines.slice(low, high - low), "\t")
-                sizes = pc.list_value_length(fields)
-                bad = pc.not_equal(sizes, len(columns)).index(pa.scalar(True)).as_py()
-                if bad >= 0:
-                    raise DumpError(f"{file}: line {before[file, start] + first + low + bad + 1}: {sizes[bad].as_py()} fields for {len(columns)} columns of {table}")
-                flat = pc.list_flatten(fields)
-                flat = pc.if_else(pc.equal(flat, "\\N"), pa.scalar(None, pa.string()), flat.cast(pa.string()))
-                places = pa.array(range(0, len(flat), len(columns)), pa.int64())
-                made = []
-                for k in range(len(columns)):
-                    values = flat.take(pc.add(places, k))
-                    if pc.any(pc.match_substring(values, "\\")).as_py():
-                        values = pa.array([None if v is None else unescaped(v) for v in values.to_pylist()], pa.string())
-                    made.append(values)
-                yield pa.RecordBatch.from_arrays(made, names=[f"c{k}" for k in range(len(columns))])
+                for at, piece in _pieces(lines.slice(low, high - low)):
+                    yield taken(piece, file, before[file, start] + first + low + at + 1)
 
     out = _lines(spark, path).mapInArrow(run, ", ".join(f"c{k} string" for k in range(len(columns))))
     if schema is None:

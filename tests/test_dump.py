@@ -2,9 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from palimpsest.sources import catalog
+from palimpsest.sources import dump as dump_module
 from palimpsest.sources.catalog import Resource
 from palimpsest.sources.dump import DumpError, blocks, names, read_dump, tables, unescaped, write_dump
 
@@ -86,3 +88,18 @@ def test_there_and_back(spark, tmp_path):
         write_dump(some, str(tmp_path / "t"), "s.t")
         got = read_dump(spark, str(tmp_path), "s.t", spark.createDataFrame([], 'id int, `odd "name"` string, x double, b boolean, l string').schema)
         assert sorted((r[0], r[1] or "", r[1] is None, r[2], r[3], r[4]) for r in got.collect()) == sorted((r[0], r[1] or "", r[1] is None, r[2], r[3], f"[{r[0]}]") for r in some.collect())
+
+
+def test_lines_are_taken_apart_in_pieces(spark, tmp_path):
+    """However many lines come at a time, a megabyte of them is taken apart; a bad one is still told by its line."""
+    lines = pa.array(["x" * random.randint(0, 3000) for _ in range(3000)] + ["y" * 3_000_000, "z"])
+    parts = list(dump_module._pieces(lines.slice(1)))
+    assert pa.concat_arrays([p for _, p in parts]).equals(lines.slice(1))
+    assert [at for at, _ in parts] == [sum(len(p) for _, p in parts[:k]) for k in range(len(parts))]
+    assert len(parts) > 5 and all(len(p) == 1 or sum(map(len, p.to_pylist())) <= dump_module.PIECE for _, p in parts)
+    rows = [(i, "a" * 900, r"b\nc") for i in range(4000)]
+    (tmp_path / "x.sql").write_text(dump(rows))
+    assert read_dump(spark, str(tmp_path / "x.sql"), "public.clients").where("note = 'b\\nc'").count() == 4000
+    (tmp_path / "y.sql").write_text(dump([*rows[:3000], (3000, "a", "b\tc"), *rows[3001:]]))
+    with pytest.raises(Exception, match="line 3011: 4 fields for 3 columns"):
+        read_dump(spark, str(tmp_path / "y.sql"), "public.clients").collect()

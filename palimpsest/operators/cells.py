@@ -4,7 +4,8 @@ Cells of all planned columns are unpivoted to (row, column, key). Their differen
 shuffle, are resolved once, and the outcome lies bucketed by key like the dictionary itself, so both are
 joined where they lie. Cells meet it in one shuffle of cells, are put back together by row in another, and
 the table itself is shuffled once, whatever the number of columns. A key of more than ``1 / HOT`` of all
-cells (there can be fewer than ``HOT`` of them) goes to every executor instead of to one.
+cells (there can be fewer than ``HOT`` of them) goes to every executor instead of to one; its cells travel with
+the number of their word.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from palimpsest.plans.storage import stage_table, work_dir
 from .dictionary import function_replacement
 from .generators import Renderers
 
-#: A key is hot from this part of all cells on.
-HOT = 500
+#: A key is hot from this part of all cells on; its cells are spread over so many keys.
+HOT, SPREAD = 500, 4096
 
 
 def _count(spark: SparkSession, buckets: int | None) -> int:
@@ -113,13 +114,15 @@ def rewrite_cells(df: DataFrame, columns: list[PolicyColumn], dictionary: DataFr
     keys = cells.groupBy("type", "key").agg(F.count("*").alias("n"))
     found = bucketed(resolve_all(keys, dictionary, pack, secret, exceptions, sorted({_type(c) for c in columns})), ["type", "key"], n)
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = found.where(F.col("n") * HOT > total).select("type", "key", F.col("replacement").alias("hot"))
-    met = cells.join(F.broadcast(hot), ["type", "key"], "left")
+    hot = found.where(F.col("n") * HOT > total)
+    words = F.array(*[F.lit(r[0]) for r in hot.select("replacement").where("replacement is not null").distinct().collect()]).cast("array<string>")
+    met = cells.join(F.broadcast(hot.select("type", "key", F.array_position(words, F.col("replacement")).alias("hot"))), ["type", "key"], "left")
     # a hot cell meets nothing in the second join; a hash of its row spreads it there
-    spread = F.when(F.col("hot").isNull(), F.col("key")).otherwise(F.concat(F.lit("\0"), F.xxhash64(*row).cast("string")))
-    met = met.select(*row, "column", "type", spread.alias("key"), "hot").join(found.select("type", "key", "replacement"), ["type", "key"], "left")
-    word = F.coalesce("hot", "replacement")
-    put = met.groupBy(*row).agg(*[F.max(F.when(F.col("column") == k, word)).alias(f"new{k}") for k in range(len(columns))], *[F.count_if(F.col("column") == k).alias(f"times{k}") for k in range(len(columns))])
+    spread = F.when(F.col("hot").isNull(), F.col("key")).otherwise(F.concat(F.lit("\0"), F.pmod(F.xxhash64(*row), F.lit(SPREAD)).cast("string")))
+    met = met.select(*row, "column", "type", spread.alias("key"), F.col("hot").cast("int").alias("hot")).join(found.select("type", "key", "replacement"), ["type", "key"], "left")
+    # cells are dealt by row as they are: partial sums of a row would be wider than its cells
+    met = met.select(*row, "column", F.coalesce(F.concat(F.lit("#"), "hot"), F.concat(F.lit("="), "replacement")).alias("word")).repartition(*row)
+    put = met.groupBy(*row).agg(*[F.max(F.when(F.col("column") == k, F.col("word"))).alias(f"new{k}") for k in range(len(columns))], *[F.count_if(F.col("column") == k).alias(f"times{k}") for k in range(len(columns))])
     same = [F.col(f"`{c}`") == F.col(r) for c, r in zip(row_key, row, strict=True)]
     out = df.join(put, same, "left")
     news = {}
@@ -127,6 +130,8 @@ def rewrite_cells(df: DataFrame, columns: list[PolicyColumn], dictionary: DataFr
         name = c.address.column
         lost = F.raise_error(F.lit(f"{c.address.qualified}: a value without replacement")).cast("string")
         twice = F.raise_error(F.lit(f"{c.address.qualified}: several rows have one row key")).cast("string")
-        value = F.when(F.col(f"times{k}") > 1, twice).otherwise(F.coalesce(F.col(f"new{k}"), lost))
+        new = F.col(f"new{k}")
+        word = F.when(new.startswith("#"), F.element_at(words, F.substring(new, 2, 9).cast("int"))).otherwise(F.expr(f"substring(new{k}, 2)"))
+        value = F.when(F.col(f"times{k}") > 1, twice).otherwise(F.coalesce(word, lost))
         news[name] = F.when(_key(c).isNull(), F.col(f"`{name}`")).otherwise(value.cast(df.schema[name].dataType)).alias(name)
     return out.select(*[news.get(c, F.col(f"`{c}`")) for c in shown])

@@ -102,3 +102,11 @@ def test_one_shuffle_of_the_table_and_none_of_the_dictionary(spark, of, columns,
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_hot_cells_travel_by_number(spark):
+    """Cells go back to their rows without sums before the shuffle, and a hot one as the number of its word."""
+    out = rewrite_cells(rows(spark), COLUMNS[:2], bucketed(words(spark), ["key"], 2), PACK, secret(), ["id"], buckets=2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and "partial_max" in plan[: plan.index("REPARTITION_BY_COL")] and "partial_max" not in plan[plan.index("REPARTITION_BY_COL") :]
+    assert out.where("b = 'a town'").count() == rows(spark).where("b = 'hot town'").count() > 0

@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from .common import by_size, fields_of, row_of, row_schema, worker_cache
 
 #: Entries kept by each memo of a worker; the memo is emptied when it is full, which costs time only.
-MEMO = 300_000
+MEMO = 100_000
 #: Characters that both memos hold at most, however long their entries are.
-MEMO_CHARS = 40_000_000
+MEMO_CHARS = 16_000_000
+#: Bytes of texts that are encoded together.
+READ = 1_000_000
 NEVER = 1 << 60
 #: Pre-tokens of up to so many bytes are encoded side by side.
 WIDE = 32
@@ -166,6 +168,8 @@ class PrefixBpe:
         )
         self._pair_keys, self._pair_fits, self._pairs_held = np.full(1 << 21, -1), np.zeros(1 << 21, bool), 0
         self.digits = [str(i) for i in range(max(self.bytes_of) + 1)]
+        #: One object for each id: memos refer to these and hold no numbers of their own.
+        self._ids = list(range(len(self.digits)))
         self._library = None
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -231,7 +235,7 @@ class PrefixBpe:
                 else:
                     raise ValueError("the vocabulary lacks a byte")
                 states.append((state, matched))
-                last.append(token)
+                last.append(self._ids[token])
                 back.append(length)
             before = piece
             out, i = [], n
@@ -319,7 +323,7 @@ class PrefixBpe:
             every = every[at[every] > 0]
         whose, tokens = order[np.concatenate(whose[::-1])], np.concatenate(tokens[::-1])
         by_piece = np.argsort(whose, kind="stable")
-        flat = tokens[by_piece].tolist()
+        flat = list(map(self._ids.__getitem__, tokens[by_piece].tolist()))
         ends = np.cumsum(np.bincount(whose, minlength=n)).tolist()
         return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends)]
 
@@ -418,7 +422,7 @@ def encode_documents(df: DataFrame, file: str, text: str = "text", keep_ids: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the memos hold no cycles, and walking them again and again takes a third of the time
         bpe = loaded(file)
-        for batch in (part for whole in batches for part in by_size(whole)):
+        for batch in (part for whole in batches for part in by_size(whole, READ)):
             n, ids_hash, text_hash, all_ids, all_texts = [], [], [], [], []
             for ids in bpe.encode_batch(batch.column(1).to_pylist()):
                 decoded = bpe.decode(ids)

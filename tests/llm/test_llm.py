@@ -54,6 +54,18 @@ def test_bpe_operator(spark):
     assert bpe.encode_documents(docs(spark, EDGES).where("false"), BYTE_BPE).count() == 0
 
 
+def test_bpe_memos_are_small():
+    """Memos hold no numbers of their own and stay below their bounds, whatever comes."""
+    own, most = bpe.PrefixBpe(BYTE_BPE), 0
+    for k in range(0, 240_000, 20_000):
+        text = " ".join(f"q{n * 2654435761 % (1 << 32):x}z" for n in range(k, k + 20_000)) + " " + "".join(chr(97 + n * n * (k + 7) % 26) for n in range(99))
+        assert own.decode(own.encode(text)) == text
+        held = [*own._words.values(), *own._pieces_memo.values()]
+        most = max(most, len(held))
+        assert len({id(t) for tokens in held for t in tokens}) <= len(own.bytes_of)
+    assert 100_000 < most < 350_000
+
+
 # ------------------------------------------------------------------ graph, SimHash, embeddings
 
 

@@ -6,7 +6,8 @@ and transitions are remembered by residual and token. A group closes when nothin
 
 Neither vocabulary has a token that reaches over the start of a run of spaces behind something that is no
 white space, so both tokenisations fall apart there, and the transducer is in its first state. Texts are
-therefore cut at these places, and what it gives for a piece is remembered, too.
+therefore cut at these places, and what it gives for a piece is remembered, too. New pieces of many texts
+go through it side by side, a token of each at a step.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import by_size, fields_of, materialise, row_of, row_schema, worker_
 CUT = re.compile(r"(?<=\S)(?= )")
 #: Entries of each memo, pieces and characters of them that a worker remembers, characters read at a time.
 STATES, PIECES, PIECE_CHARS, READ = 1_000_000, 400_000, 16_000_000, 1_000_000
+#: Pieces that are encoded and aligned together; of fewer than ``FEW`` the rest is walked one by one.
+TOGETHER, FEW = 4096, 32
 #: Codes of pairs a worker gathers before it combines them.
 GATHERED = 4_000_000
 #: Different id pairs (24 bytes each) whose counts are sent to every executor at most.
@@ -51,6 +54,8 @@ class Transducer:
         self.states: list[tuple[int, bytes]] = [(0, b"")]
         self.numbers = {(0, b""): 0}
         self.moves: dict[int, int] = {}
+        #: The same moves as sorted arrays, and which side lags in each state.
+        self.keys, self.to, self.lags = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, bool)
 
     def _move(self, state: int, token: int) -> int:
         lags, residual = self.states[state]
@@ -68,14 +73,9 @@ class Transducer:
         self.moves[state * BASE + token] = found = self.numbers[to]
         return found
 
-    def groups(self, left: list[int], right: list[int]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of both sides in each group, in order."""
-        if len(self.moves) > STATES or len(self.states) > STATES:
-            self._clear()
+    def _walk(self, left: list[int], right: list[int], state: int, i: int, j: int) -> Iterator[tuple[int, int]]:
+        """Where groups end on both sides, from tokens ``i`` and ``j`` on."""
         moves, states = self.moves, self.states
-        lefts: list[list[int]] = []
-        rights: list[list[int]] = []
-        state = i = j = a = b = 0
         try:
             while i < len(left) or j < len(right) or state:
                 if states[state][0]:
@@ -87,12 +87,71 @@ class Transducer:
                 found = moves.get(state * BASE + token)
                 state = self._move(state, token) if found is None else found
                 if not state:
-                    lefts.append(left[a:i])
-                    rights.append(right[b:j])
-                    a, b = i, j
+                    yield i, j
         except IndexError:  # the side that lags has no more tokens
             raise Mismatch from None
-        return lefts, rights
+
+    def _moved(self, keys: np.ndarray) -> np.ndarray:
+        """The states that moves lead to; -1 where the sides differ."""
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        if not known.all():
+            fresh, to = np.unique(keys[~known]), []
+            for key in fresh.tolist():
+                try:
+                    to.append(self.moves.get(key) or self._move(*divmod(key, BASE)))
+                except Mismatch:
+                    to.append(-1)
+            where = np.searchsorted(self.keys, fresh)
+            self.keys, self.to = np.insert(self.keys, where, fresh), np.insert(self.to, where, to)
+            self.lags = np.r_[self.lags, np.array([lags for lags, _ in self.states[len(self.lags) :]], bool)]
+            at = np.searchsorted(self.keys, keys)
+        return self.to[at]
+
+    def aligned(self, left: np.ndarray, left_ends: np.ndarray, right: np.ndarray, right_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Groups of many pairs of streams, laid one behind the other: whose each group is, where it ends on both
+        sides, in order; and which pairs spell the same bytes (of others some groups are missing)."""
+        if len(self.moves) > STATES or len(self.states) > STATES or len(self.keys) > STATES:
+            self._clear()
+        n, good = len(left_ends), np.ones(len(left_ends), bool)
+        i, j, state = np.r_[0, left_ends[:-1]], np.r_[0, right_ends[:-1]], np.zeros(n, np.int64)
+        closed, live = [], np.arange(n)
+        while True:
+            live = live[(state[live] > 0) | (i[live] < left_ends[live]) | (j[live] < right_ends[live])]
+            if len(live) < FEW:
+                break
+            second = self.lags[state[live]]
+            lacks = np.where(second, j[live] >= right_ends[live], i[live] >= left_ends[live])
+            if lacks.any():
+                good[live[lacks]] = False
+                live, second = live[~lacks], second[~lacks]
+            token = np.empty(len(live), np.int64)
+            token[second], token[~second] = right[j[live[second]]], left[i[live[~second]]]
+            j[live] += second
+            i[live] += ~second
+            state[live] = to = self._moved(state[live] * BASE + token)
+            done = live[to == 0]
+            closed.append(np.stack([done, i[done], j[done]]))
+            good[live[to < 0]] = False
+            live = live[to >= 0]
+        for k in live.tolist():
+            a, b = int(i[k]), int(j[k])
+            try:
+                ends = [(k, a + x, b + y) for x, y in self._walk(left[a : left_ends[k]].tolist(), right[b : right_ends[k]].tolist(), int(state[k]), 0, 0)]
+                closed.append(np.array(ends, np.int64).reshape(-1, 3).T)
+            except Mismatch:
+                good[k] = False
+        whose, i, j = np.concatenate([np.zeros((3, 0), np.int64), *closed], axis=1)
+        order = np.lexsort((j, i, whose))
+        return whose[order], i[order], j[order], good
+
+    def groups(self, left: list[int], right: list[int]) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of both sides in each group, in order."""
+        _, i, j, good = self.aligned(np.array(left, np.int64), np.array([len(left)]), np.array(right, np.int64), np.array([len(right)]))
+        if not good.all():
+            raise Mismatch
+        return [left[a:b] for a, b in zip([0, *i], i)], [right[a:b] for a, b in zip([0, *j], j)]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -144,6 +203,11 @@ class Aligner:
         self.sizes = [np.array([len(t) for t in of], np.int64) for of in (left, right)]
         self.transducer = Transducer(left, right)
         self.left, self.right = left, right
+        #: Ids as texts, followed by what comes behind them in a list of groups.
+        self.marks = [b",", b"|", b";", b""]
+        self.most = max(len(left), len(right))
+        self.written = [str(t).encode() + mark for mark in self.marks for t in range(self.most)]
+        self.widths = np.array([len(w) for w in self.written], np.int64)
         self._clear()
 
     def _clear(self) -> None:
@@ -156,60 +220,80 @@ class Aligner:
         self.codes, self.ends = Grown(), Grown()
         self.ends.add(np.zeros(1, np.int64))
 
-    def _encoded(self, pieces: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
-        """The ids of pieces, which all start with a space (the right side adds it by itself).
-
-        Pieces that end in no white space, and thus fall apart where they meet, are encoded as one text.
-        """
-        apart = [p for p in pieces if p[-1].isspace() or "▁" in p]
-        rest = [p for p in pieces if not (p[-1].isspace() or "▁" in p)]
-        if rest:
-            whole = "".join(rest)
-            ids = self.a.encode(whole, add_special_tokens=False).ids, self.b.encode(whole[1:], num_threads=1)
-            ends = np.cumsum([len(p.encode()) for p in rest])
-            cuts = []
-            for k in (0, 1):
-                at = np.cumsum(self.sizes[k][np.array(ids[k], np.int64)])
-                cut = np.searchsorted(at, ends)
-                if cut[-1] >= len(at) or (at[cut] != ends).any():  # never seen; then one by one
-                    apart, cuts = pieces, None
-                    break
-                cuts.append([0, *(cut + 1).tolist()])
-            if cuts:
-                for k, p in enumerate(rest):
-                    yield p, ids[0][cuts[0][k] : cuts[0][k + 1]], ids[1][cuts[1][k] : cuts[1][k + 1]]
-        for p in apart:
-            yield p, self.a.encode(p, add_special_tokens=False).ids, self.b.encode(p[1:], num_threads=1) if len(p) > 1 else [self.space]
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of pieces, which all start with a space (the right side adds it by itself), and where each piece's
+        end, on both sides. None of several pieces may end in white space: they fall apart where they meet."""
+        whole = "".join(pieces)
+        found = self.a.encode(whole, add_special_tokens=False).ids, self.b.encode(whole[1:], num_threads=1) if len(whole) > 1 else [self.space]
+        ids = [np.array(x, np.int64) for x in found]
+        if len(pieces) == 1:
+            return ids[0], np.array([len(ids[0])]), ids[1], np.array([len(ids[1])])
+        ends, out = np.cumsum([len(p.encode()) for p in pieces]), []
+        for k in (0, 1):
+            at = np.cumsum(self.sizes[k][ids[k]])
+            cut = np.searchsorted(at, ends)
+            if not len(at) or cut[-1] >= len(at) or (at[cut] != ends).any():  # something in them is spelt otherwise
+                halves = [self._encoded(pieces[: len(pieces) // 2]), self._encoded(pieces[len(pieces) // 2 :])]
+                return tuple(np.r_[halves[0][m], halves[1][m] + (len(halves[0][m - 1]) if m % 2 else 0)] for m in range(4))
+            out += [ids[k][: cut[-1] + 1], cut + 1]
+        return tuple(out)
 
     def learn(self, pieces: list[str]) -> None:
         """Aligns pieces that the memo lacks."""
-        figures, codes, sizes, numbers, texts, groups = [], [], [], self.numbers, self.texts, self.transducer.groups
-        for piece, a, b in self._encoded(pieces):
-            numbers[piece] = len(texts)
-            self.held += len(piece)
-            try:
-                if "▁" in piece:  # comes back as a space
-                    raise Mismatch
-                lefts, rights = groups(a, b)
-            except Mismatch:
-                figures.append((-1,) * 4)
-                texts.append(b"")
-                sizes.append(0)
-                continue
-            before, parts = len(codes), []
-            for g, h in zip(lefts, rights, strict=True):
-                if len(g) == len(h) == 1:
-                    codes.append(g[0] * BASE + h[0])
-                    parts.append(f"{g[0]}|{h[0]}")
-                else:
-                    codes += [x * BASE + y for x in g for y in h]
-                    parts.append(f"{','.join(map(str, g))}|{','.join(map(str, h))}")
-            texts.append(";".join(parts).encode())
-            sizes.append(len(codes) - before)
-            figures.append((len(a), len(b), len(lefts), sizes[-1]))
-        self.figures.add(np.array(figures, np.int64).reshape(-1, 4))
-        self.codes.add(np.array(codes, np.int64))
-        self.ends.add(self.ends.held[-1] + np.cumsum(np.array(sizes, np.int64)))
+        apart = [p for p in pieces if p[-1].isspace() or "▁" in p]
+        rest = [p for p in pieces if not (p[-1].isspace() or "▁" in p)] if apart else pieces
+        for some in [rest[k : k + TOGETHER] for k in range(0, len(rest), TOGETHER)] + [[p] for p in apart]:
+            self._learn(some)
+
+    def _learn(self, pieces: list[str]) -> None:
+        left, left_ends, right, right_ends = self._encoded(pieces)
+        whose, i, j, good = self.transducer.aligned(left, left_ends, right, right_ends)
+        if len(pieces) == 1 and "▁" in pieces[0]:  # comes back as a space
+            good[0] = False
+        n_a, n_b = np.diff(left_ends, prepend=0), np.diff(right_ends, prepend=0)
+        if not good.all():  # from here on only what is aligned whole
+            held = good[whose]
+            whose, shift_a, shift_b = whose[held], np.cumsum(np.where(good, 0, n_a)), np.cumsum(np.where(good, 0, n_b))
+            i, j = i[held] - shift_a[whose], j[held] - shift_b[whose]
+            left, right = left[np.repeat(good, n_a)], right[np.repeat(good, n_b)]
+        in_a, in_b = np.diff(i, prepend=0), np.diff(j, prepend=0)
+        n_groups, size = np.bincount(whose, minlength=len(pieces)), in_a * in_b
+        # all pairs within each group
+        group = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
+        codes = left[(i - in_a)[group] + at // in_b[group]] * BASE + right[(j - in_b)[group] + at % in_b[group]]
+        n_links = np.bincount(whose, size, len(pieces)).astype(np.int64)
+        # ids of both sides in the order of their groups, each with the mark behind it
+        words = np.empty(len(left) + len(right), np.int64)
+        words[np.arange(len(left)) + np.repeat(j - in_b, in_a)] = left
+        words[np.arange(len(right)) + np.repeat(i, in_b)] = right
+        words[i + j - in_b - 1] += self.most
+        last = np.r_[whose[1:] != whose[:-1], True] if len(whose) else np.zeros(0, bool)
+        words[i + j - 1] += np.where(last, 3, 2) * self.most
+        text = b"".join(map(self.written.__getitem__, words.tolist()))
+        stop = np.zeros(len(pieces), np.int64)
+        stop[whose[last]] = (i + j)[last]
+        stop = np.r_[0, np.cumsum(self.widths[words])][np.maximum.accumulate(stop)].tolist()
+        self.numbers.update(zip(pieces, range(len(self.texts), len(self.texts) + len(pieces)), strict=True))
+        self.held += sum(map(len, pieces))
+        self.texts += [text[a:b] for a, b in zip([0, *stop], stop)]
+        figures = np.stack([n_a, n_b, n_groups, n_links], axis=1)
+        figures[~good] = -1
+        self.figures.add(figures)
+        self.codes.add(codes)
+        self.ends.add(self.ends.held[-1] + np.cumsum(n_links))
+
+    def _known(self, pieces: set[str]) -> None:
+        """Sees to it that all of some pieces are in the memo."""
+        fresh = list(pieces.difference(self.numbers))
+        if fresh and (len(self.texts) + len(fresh) > PIECES or self.held > PIECE_CHARS):
+            self._clear()
+            fresh = list(pieces)
+        if fresh:
+            self.learn(fresh)
+
+    def _numbered(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
 
     def read(self, text: str) -> Iterator[np.ndarray]:
         """The numbers of a text's pieces, some at a time; they hold until the next ones are asked for."""
@@ -218,15 +302,20 @@ class Aligner:
             found = CUT.search(whole, start + READ) if len(whole) - start > READ else None
             stop = found.start() if found else len(whole)
             pieces = CUT.split(whole[start:stop])
-            fresh = list(set(pieces).difference(self.numbers))
-            if fresh and (len(self.texts) + len(fresh) > PIECES or self.held > PIECE_CHARS):
-                self._clear()
-                fresh = list(set(pieces))
-            if fresh:
-                self.learn(fresh)
-            yield np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+            self._known(set(pieces))
+            yield self._numbered(pieces)
             start = stop
 
+    def read_all(self, texts: list[str]) -> Iterator[Iterator[np.ndarray]]:
+        """``read`` of each text, in order. Texts of up to ``READ`` characters together are learnt together."""
+        if sum(map(len, texts)) > READ:
+            yield from map(self.read, texts)
+            return
+        split = [CUT.split(" " + t) for t in texts]
+        self._known(set().union(*split))
+        for pieces in split:
+            yield iter([self._numbered(pieces)])
+
     def groups(self, number: int) -> Iterator[tuple[list[int], list[int]]]:
         """The ids of both sides in each group of a piece."""
         for group in self.texts[number].decode().split(";"):
@@ -248,8 +337,13 @@ def _aligner(byte_bpe: str, pieces: str) -> Aligner:
 def _linked(aligner: Aligner, text: str, keep_groups: bool) -> tuple | None:
     """Figures and digest of a text's alignment, its different id pairs and how often each is linked, and its groups if
     wanted; None if it has no alignment."""
+    return _summed(aligner, aligner.read(text), keep_groups)
+
+
+def _summed(aligner: Aligner, parts: Iterator[np.ndarray], keep_groups: bool) -> tuple | None:
+    """The same of a text whose pieces have the numbers ``parts``."""
     total, digest, sep, codes, times, groups, at = np.zeros(4, np.int64), hashlib.sha256(), b"", [], [], [], 0
-    for numbers in aligner.read(text):
+    for numbers in parts:
         figures = aligner.figures.held[numbers]
         if (figures[:, 0] < 0).any():
             return None
@@ -298,8 +392,10 @@ def links(df: DataFrame, byte_bpe: str, pieces: str, keep_groups: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, number = _aligner(byte_bpe, pieces), TaskContext.get().partitionId() << 33
-        for batch in (part for whole in batches for part in by_size(whole)):
-            rows = [(_linked(aligner, t, keep_groups) if t else None) or ([0] * 4, "", NONE, NONE, None) for t in batch.column(1).to_pylist()]
+        for batch in (part for whole in batches for part in by_size(whole, READ)):
+            texts = batch.column(1).to_pylist()
+            found = aligner.read_all([t for t in texts if t])
+            rows = [(_summed(aligner, next(found), keep_groups) if t else None) or ([0] * 4, "", NONE, NONE, None) for t in texts]
             made = [pa.array([r[0][k] for r in rows], pa.int64()) for k in range(4)] + [pa.array([r[1] for r in rows], pa.string())]
             made += [_lists([r[2] // BASE for r in rows]), _lists([r[2] % BASE for r in rows]), _lists([r[3] for r in rows])]
             made += [pa.array([r[4] for r in rows], GROUP)] * keep_groups

@@ -115,3 +115,18 @@ def test_transducer():
     for left, right in (([1], [4]), ([1], []), ([], [1]), ([1, 2], [1])):
         with pytest.raises(align.Mismatch):
             t.groups(left, right)
+
+
+def test_texts_are_learnt_together(monkeypatch):
+    """The new pieces of many texts are encoded at once, and come out as one text at a time does, misspelt ones among them."""
+    texts = [t for t in EDGES if t] + made_up()
+    one, all_ = align.Aligner(BYTE_BPE, PIECES), align.Aligner(BYTE_BPE, PIECES)
+    calls, encoded = [], all_._encoded
+    monkeypatch.setattr(all_, "_encoded", lambda pieces: calls.append(len(pieces)) or encoded(pieces))
+    plain = [f"w{k} v{k} x{k * k}" for k in range(500)]
+    assert len([list(x) for x in all_.read_all(plain)]) == 500 and calls == [1500]
+    for text, parts in zip(texts, all_.read_all(texts), strict=True):
+        want, got = align._linked(one, text, True), align._summed(all_, parts, True)
+        assert (want is None) == (got is None), text
+        if want:
+            assert got[:2] == want[:2] and got[2].tolist() == want[2].tolist() and got[3].tolist() == want[3].tolist() and got[4] == want[4], text

@@ -29,9 +29,13 @@ class _Number:
         self.text = text
 
 
+_READER = json.JSONDecoder(parse_float=_Number, parse_int=_Number, parse_constant=_Number)
+_WRITER = json.JSONEncoder(ensure_ascii=False)
+
+
 def load(text: str):
     """A document; numbers keep their spelling, objects the order and repetition of names are not kept."""
-    return json.loads(text, parse_float=_Number, parse_int=_Number, parse_constant=_Number)
+    return _READER.decode(text)
 
 
 def dump(value) -> str:
@@ -39,10 +43,10 @@ def dump(value) -> str:
     if isinstance(value, _Number):
         return value.text
     if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{dump(v)}" for k, v in value.items()) + "}"
+        return "{" + ",".join(f"{_WRITER.encode(k)}:{dump(v)}" for k, v in value.items()) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(dump, value)) + "]"
-    return json.dumps(value, ensure_ascii=False)
+    return _WRITER.encode(value)
 
 
 def leaves(value, path: str = "") -> Iterator[tuple[str, str]]:
@@ -138,6 +142,7 @@ def rewrite_documents(df: DataFrame, column: str, replacements: DataFrame, paths
     ``replacements``: ``type``, ``key`` (canonical) and ``replacement``; ``paths``: the type of each path,
     ``free_text`` for others. A text without replacement fails. Texts are taken out with their place,
     joined with the replacements by key, and put back in order, so that no dictionary goes to a worker whole.
+    Equal documents are taken apart once, behind a shuffle: a batch that lies in one file is one task up to there only.
     """
     kinds = kinds or {}
     doc = F.col(f"`{column}`").cast("string")
@@ -145,17 +150,17 @@ def rewrite_documents(df: DataFrame, column: str, replacements: DataFrame, paths
 
     def take_out(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [[{"type": paths.get(p, FREE_TEXT), "value": v} for p, v in leaves(load(text))] for text in part["doc"]]
-            yield pd.DataFrame({"mark": part["mark"], "leaves": rows})
+            rows = [(own, at, paths.get(p, FREE_TEXT), v) for own, text in zip(part["mark"], part["doc"], strict=True) for at, (p, v) in enumerate(leaves(load(text)))]
+            yield pd.DataFrame(rows, columns=["mark", "at", "type", "value"])
 
-    docs = df.select(mark.alias("mark"), doc.alias("doc")).where("mark is not null")
-    taken = docs.mapInPandas(take_out, "mark binary, leaves array<struct<type:string,value:string>>")
-    cells = taken.select("mark", F.posexplode("leaves").alias("at", "leaf")).select("mark", "at", "leaf.type", "leaf.value")
+    docs = df.select(mark.alias("mark"), doc.alias("doc")).where("mark is not null").distinct()
+    cells = docs.mapInPandas(take_out, "mark binary, at int, type string, value string")
     key = F.lit(None).cast("string")
     for kind in sorted(set(kinds.values()) - {"Text"}):
         key = F.when(F.col("type").isin(*[t for t, k in kinds.items() if k == kind]), canonical(F.col("value"), kind)).otherwise(key)
-    cells = cells.select("mark", "at", "type", F.coalesce(key, canonical(F.col("value"), "Text")).alias("key")).distinct()
-    cells = cells.join(replacements.select("type", "key", "replacement"), ["type", "key"], "left")
+    cells = cells.select("mark", "at", "type", F.coalesce(key, canonical(F.col("value"), "Text")).alias("key"))
+    # keys come before types, which are few and tell nothing apart when rows are sorted
+    cells = cells.join(replacements.select("type", "key", "replacement"), ["key", "type"], "left")
     new = F.coalesce("replacement", F.raise_error(F.concat(F.lit("no replacement for a text of type "), F.col("type"))).cast("string"))
     ordered = F.sort_array(F.collect_list(F.struct("at", new.alias("text"))))
     texts = cells.groupBy(F.col("mark").alias("__mark")).agg(F.transform(ordered, lambda x: x["text"]).alias("__texts"))

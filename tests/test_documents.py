@@ -6,7 +6,7 @@ import random
 import pytest
 
 from palimpsest.operators import document
-from palimpsest.operators.document import document_leaves, leaves, load
+from palimpsest.operators.document import document_leaves, leaves, load, rewrite_documents
 
 
 def made_up(n, depth):
@@ -41,3 +41,17 @@ def test_no_python_in_the_plan(spark):
 def test_no_json_fails(spark):
     with pytest.raises(Exception, match="JSONDecodeError"):
         document_leaves(spark.createDataFrame([("{no json",)], "doc string"), "doc").collect()
+
+
+def test_a_batch_in_one_file_is_spread(spark, tmp_path):
+    """A file that cannot be split is taken apart behind a shuffle, equal documents once."""
+    doc = '{"a": ["x", {"b": "y"}, 1.0], "c": "x"}'
+    spark.createDataFrame([(k, doc if k % 3 else '["y"]') for k in range(30)], "id int, doc string").coalesce(1).write.parquet(str(tmp_path / "one"))
+    df = spark.read.parquet(str(tmp_path / "one"))
+    words = spark.createDataFrame([("free_text", "x", "X"), ("free_text", "y", "Y")], "type string, key string, replacement string")
+    out = rewrite_documents(df, "doc", words, {})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    taken = plan[plan.index("MapInPandas") :]
+    assert "Exchange hashpartitioning(mark" in taken[: taken.index("FileScan")]
+    new = '{"a":["X",{"b":"Y"},1.0],"c":"X"}'
+    assert {r["id"]: r["doc"] for r in out.collect()} == {k: new if k % 3 else '["Y"]' for k in range(30)}

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -115,3 +116,25 @@ def test_evidence_of_a_new_word_is_the_same_in_a_larger_corpus():
         return name - other
 
     assert margin(1e3) > 1 and abs(margin(1e3) - margin(1e6)) < 0.1
+
+
+def test_memory_of_a_batch_is_bounded_by_pieces(model):
+    """Words of a batch of many texts are held for a piece of it at a time, evidence of new words once an ending."""
+    texts = [f"Nobody lives in Minsk{k} now. " + "nothing of note " * 600 for k in range(250)]
+    one = [find([t], [], model)[0] for t in texts[:60]]
+    model.held.clear()
+    tracemalloc.start()
+    found = find(texts, [], model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 250 and found[:60] == one and peak < 60_000_000, peak
+    a, b = model.evidence("Zabcdqqq", False), model.evidence("Yefgdqqq", False)
+    assert a is b
+
+
+def test_counts_are_handed_on_in_parts(spark, monkeypatch):
+    rows = [(f"Report {k} of Oleg Morozov{k}", [("PERSON", text.index("Oleg"), len(text))]) for k in range(40) if (text := f"Report {k} of Oleg Morozov{k}")]
+    df = spark.createDataFrame(rows, "text string, spans array<struct<type:string,start:int,stop:int>>").coalesce(1)
+    whole = sorted(tuple(r) for r in tagger._counts(df).collect())
+    monkeypatch.setattr(tagger, "TOGETHER", 5)
+    assert sorted(tuple(r) for r in tagger._counts(df).collect()) == whole and sum(r[-1] for r in whole) == 2 * 40 * 5

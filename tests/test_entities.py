@@ -138,3 +138,15 @@ def test_counts_are_handed_on_in_parts(spark, monkeypatch):
     whole = sorted(tuple(r) for r in tagger._counts(df).collect())
     monkeypatch.setattr(tagger, "TOGETHER", 5)
     assert sorted(tuple(r) for r in tagger._counts(df).collect()) == whole and sum(r[-1] for r in whole) == 2 * 40 * 5
+
+
+def test_words_reach_the_driver_as_columns(spark, monkeypatch):
+    """Rows are collected for successions of tags only; a model keeps the most frequent words, ties by name."""
+    rows = [("to Minsk and Pinsk", [("TOWN", 3, 8), ("TOWN", 13, 18)]), ("to and fro", []), ("to Minsk", [])]
+    df = spark.createDataFrame(rows, "text string, spans array<struct<type:string,start:int,stop:int>>")
+    sizes, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: sizes.append(self.columns) or collect(self))
+    m = tagger.train(df, words=3)
+    assert sizes == [["item", "tag", "n"]] and list(m.words) == ["to", "Minsk", "and"]
+    at = {t: k for k, t in enumerate(m.tags)}
+    assert m.words["Minsk"][at["B-TOWN"]] == m.words["Minsk"][at["O"]] == 1 and m.words["to"].sum() == 3 and m.words["to"][at["<TOWN"]] == 1
